@@ -329,11 +329,14 @@ def effects_and_stacking(spark, sf):
 
 @query("f14_date_parsing", """
 SELECT l_orderkey, l_linenumber,
-  epoch_ms(l_shipdate) + 30600000 AS us_ms,
-  epoch_ms(make_date(CAST(y AS INT), 1, 1) + to_months(CAST(d-1 AS INT)) + to_days(CAST(m-1 AS INT))) + 30600000 AS eu_ms,
-  epoch_ms(l_shipdate) + 30600000 AS iso_ms, epoch_ms(l_shipdate) + 30600000 AS spaced_ms,
+  CASE WHEN y BETWEEN 2000 AND 2100 THEN stamp END AS us_ms,
+  CASE WHEN year(swapped) BETWEEN 2000 AND 2100 THEN epoch_us(swapped) // 1000 + 30600000 END AS eu_ms,
+  CASE WHEN y BETWEEN 2000 AND 2100 THEN stamp END AS iso_ms,
+  CASE WHEN y BETWEEN 2000 AND 2100 THEN stamp END AS spaced_ms,
   'LIBRE_US,ISO,DEXCOM' AS formats
-FROM (SELECT *, year(l_shipdate) AS y, month(l_shipdate) AS m, day(l_shipdate) AS d FROM lineitem)""")
+FROM (SELECT *, epoch_us(l_shipdate) // 1000 + 30600000 AS stamp,
+        make_date(CAST(y AS INT), 1, 1) + to_months(CAST(d-1 AS INT)) + to_days(CAST(m-1 AS INT)) AS swapped
+FROM (SELECT *, year(l_shipdate) AS y, month(l_shipdate) AS m, day(l_shipdate) AS d FROM lineitem))""")
 def date_parsing(spark, sf):
     """The same dates written three ways; month and day swapped roll over."""
     ship = F.col("l_shipdate")

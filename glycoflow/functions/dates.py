@@ -13,9 +13,13 @@ SPACED = r"^(\d{4})-(\d{2})-(\d{2})\s+(\d{2}):(\d{2}):(\d{2})$"
 TIMESTAMP_HINTS = r"^\d{4}-\d{2}-\d{2}|^\d{2}-\d{2}-\d{4}|T\d{2}:\d{2}|\d{2}:\d{2}:\d{2}"
 
 
+def _once(x: Column, then) -> Column:
+    """`then(x)` with x evaluated a single time, however often `then` mentions it."""
+    return F.get(F.transform(F.array(x), then), 0)
+
+
 def _sane(ts: Column) -> Column:
-    year = F.year(ts)
-    return F.when((year >= 2000) & (year <= 2100), ts)
+    return _once(ts, lambda t: F.when((F.year(t) >= 2000) & (F.year(t) <= 2100), t))
 
 
 def date_format(text: Column) -> Column:
@@ -39,14 +43,20 @@ def parse_spaced(text: Column) -> Column:
 def parse_libre(text: Column, us_format: bool = True) -> Column:
     """`MM-DD-YYYY HH:mm` (or day first); parts that overflow roll over, as in month 15."""
 
-    def part(group: int) -> Column:
-        return F.regexp_extract(text, US_DATE, group).try_cast("int")
+    month_at, day_at = (0, 1) if us_format else (1, 0)
+
+    def build(parts: Column) -> Column:
+        def number(at: int) -> Column:
+            return parts.getItem(at).cast("int")
+
+        first = F.make_date(number(2), F.lit(1), F.lit(1))
+        month = F.add_months(first, number(month_at) - 1).cast("timestamp")
+        seconds = F.lit(0).cast("decimal(18,6)")
+        return month + F.make_dt_interval(number(day_at) - 1, number(3), number(4), seconds)
 
-    month, day = (part(1), part(2)) if us_format else (part(2), part(1))
-    start = F.add_months(F.make_date(part(3), F.lit(1), F.lit(1)), month - 1).cast("timestamp")
-    rolled = start + F.make_dt_interval(day - 1, part(4), part(5), F.lit(0).cast("decimal(18,6)"))
-    valid = F.rlike(text, F.lit(US_DATE)) & (part(3) >= 1)
-    return _sane(F.when(valid, rolled))
+    parts = F.split(text, r"[-:]|\s+")
+    rolled = _once(parts, build)
+    return F.when(F.rlike(text, F.lit(US_DATE)), _sane(rolled))
 
 
 def parse_any(text: Column, us_format: bool = True) -> Column:

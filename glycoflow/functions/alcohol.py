@@ -47,25 +47,34 @@ def total_minutes(units: Column, kind: Column, weight_kg: Column) -> Column:
     return F.greatest(minutes_to_sober(grams(units), weight_kg), effect_minutes(kind))
 
 
+def half_life_minutes(kind: Column) -> Column:
+    return _per_drink(kind, "half_life")
+
+
+def lowest_modifier(kind: Column) -> Column:
+    return _per_drink(kind, "modifier")
+
+
+def absorbed_of(minutes: Column, alcohol_grams: Column, half_life: Column) -> Column:
+    return alcohol_grams * (F.lit(1.0) - F.exp(-minutes / half_life))
+
+
+def in_system_of(minutes: Column, absorbed_grams: Column, grams_per_hour: Column) -> Column:
+    """Absorbed less what a constant rate has eliminated since."""
+    gone = F.least(absorbed_grams, grams_per_hour * (minutes / 60.0))
+    return F.greatest(F.lit(0.0), absorbed_grams - gone)
+
+
 def absorbed(minutes: Column, units: Column, kind: Column) -> Column:
-    return grams(units) * (F.lit(1.0) - F.exp(-minutes / _per_drink(kind, "half_life")))
+    return absorbed_of(minutes, grams(units), half_life_minutes(kind))
 
 
 def absorbing(minutes: Column, units: Column, kind: Column) -> Column:
     return F.greatest(F.lit(0.0), grams(units) - absorbed(minutes, units, kind))
 
 
-def eliminated(minutes: Column, units: Column, kind: Column, weight_kg: Column) -> Column:
-    return F.least(
-        absorbed(minutes, units, kind), elimination_rate(weight_kg) * (minutes / 60.0)
-    )
-
-
 def in_system(minutes: Column, units: Column, kind: Column, weight_kg: Column) -> Column:
-    return F.greatest(
-        F.lit(0.0),
-        absorbed(minutes, units, kind) - eliminated(minutes, units, kind, weight_kg),
-    )
+    return in_system_of(minutes, absorbed(minutes, units, kind), elimination_rate(weight_kg))
 
 
 def blood_level(system_grams: Column, weight_kg: Column) -> Column:
@@ -75,18 +84,20 @@ def blood_level(system_grams: Column, weight_kg: Column) -> Column:
     )
 
 
-def sensitivity(minutes: Column, kind: Column) -> Column:
+def sensitivity_of(minutes: Column, lowest: Column, span: Column) -> Column:
     """Modifier falling from 1 in the first hour, then back to 1 when the effect ends."""
-    lowest, span = _per_drink(kind, "modifier"), effect_minutes(kind)
-    ramp = F.lit(1.0) - (F.lit(1.0) - lowest) * (minutes / RAMP_MINUTES)
-    decay = lowest + (F.lit(1.0) - lowest) * ((minutes - RAMP_MINUTES) / (span - RAMP_MINUTES))
+    loss = F.lit(1.0) - lowest
+    ramp = F.lit(1.0) - loss * (minutes / RAMP_MINUTES)
+    decay = lowest + loss * ((minutes - RAMP_MINUTES) / (span - RAMP_MINUTES))
     return (
-        F.when(minutes >= span, F.lit(1.0))
-        .when(minutes < RAMP_MINUTES, ramp)
-        .otherwise(decay)
+        F.when(minutes >= span, F.lit(1.0)).when(minutes < RAMP_MINUTES, ramp).otherwise(decay)
     )
 
 
+def sensitivity(minutes: Column, kind: Column) -> Column:
+    return sensitivity_of(minutes, lowest_modifier(kind), effect_minutes(kind))
+
+
 def hypo_risk_severity(units: Column) -> Column:
     return (
         F.when(units <= 2, F.lit("low")).when(units <= 4, F.lit("medium")).otherwise(F.lit("high"))

@@ -1,4 +1,7 @@
-"""Carbohydrate absorption, as column expressions."""
+"""Carbohydrate absorption, as column expressions.
+
+`shape` is the one costly term; rate and remainder are simple arithmetic on it.
+"""
 
 from __future__ import annotations
 
@@ -20,31 +23,41 @@ def half_life_minutes(gi: Column) -> Column:
     return duration_minutes(gi) / 3.0
 
 
-def absorption_rate(minutes: Column, grams: Column, gi: Column) -> Column:
-    """Grams per hour entering the blood. The curve jumps at its peak; that is intended."""
-    peak, duration = peak_minutes(gi), duration_minutes(gi)
-    half = duration / 3.0
-    shape = F.when(minutes < peak, F.pow(minutes / peak, peak / half)).otherwise(
-        F.exp(-((minutes - peak) / half))
+def shape(minutes: Column, peak: Column, half_life: Column) -> Column:
+    """Rising power, then falling exponential. The curve jumps at its peak; that is intended."""
+    return F.when(minutes < peak, F.pow(minutes / peak, peak / half_life)).otherwise(
+        F.exp((peak - minutes) / half_life)
     )
-    rate = shape * (grams * 2.0 / (duration / 60.0))
+
+
+def rate_of(shape_: Column, grams: Column, duration: Column) -> Column:
+    """Grams per hour entering the blood, while inside the curve."""
+    return F.greatest(F.lit(0.0), shape_ * (grams * 2.0 / (duration / 60.0)))
+
+
+def absorbed_of(
+    shape_: Column, minutes: Column, grams: Column, peak: Column, half_life: Column, duration: Column
+) -> Column:
+    """Grams absorbed so far, while inside the curve."""
+    rising = grams * shape_ * minutes / ((peak / half_life + 1.0) * duration)
+    falling = grams * 0.4 + (grams - grams * 0.4) * (F.lit(1.0) - shape_)
+    taken = F.when(minutes < peak, rising).otherwise(falling)
+    return F.greatest(F.lit(0.0), F.least(grams, taken))
+
+
+def absorption_rate(minutes: Column, grams: Column, gi: Column) -> Column:
+    peak, duration, half = peak_minutes(gi), duration_minutes(gi), half_life_minutes(gi)
     outside = (minutes < 0) | (minutes >= duration)
-    return F.when(outside, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), rate))
+    return F.when(outside, F.lit(0.0)).otherwise(
+        rate_of(shape(minutes, peak, half), grams, duration)
+    )
 
 
 def absorbed(minutes: Column, grams: Column, gi: Column) -> Column:
-    """Grams absorbed so far."""
-    peak, duration = peak_minutes(gi), duration_minutes(gi)
-    half = duration / 3.0
-    power = peak / half + 1.0
-    rising = grams * F.pow(minutes / peak, power) * peak / (power * duration)
-    at_peak = grams * 0.4
-    falling = at_peak + (grams - at_peak) * (F.lit(1.0) - F.exp(-((minutes - peak) / half)))
-    taken = F.when(minutes < peak, rising).otherwise(falling)
+    peak, duration, half = peak_minutes(gi), duration_minutes(gi), half_life_minutes(gi)
+    inside = absorbed_of(shape(minutes, peak, half), minutes, grams, peak, half, duration)
     return (
-        F.when(minutes < 0, F.lit(0.0))
-        .when(minutes >= duration, grams)
-        .otherwise(F.greatest(F.lit(0.0), F.least(grams, taken)))
+        F.when(minutes < 0, F.lit(0.0)).when(minutes >= duration, grams).otherwise(inside)
     )
 
 

@@ -1,4 +1,8 @@
-"""Insulin decay: biexponential activity and remaining share, as column expressions."""
+"""Insulin decay: biexponential activity and remaining share, as column expressions.
+
+The curves come in two parts, the two exponentials and what is made of them, so that a
+plan working on many rows can compute the exponentials once per row.
+"""
 
 from __future__ import annotations
 
@@ -11,57 +15,74 @@ from glycoflow import values
 from glycoflow.functions.jsmath import clamp
 
 
-def _constants(kind: str) -> tuple[float, float, float, float]:
+def _constants(kind: str) -> dict[str, float]:
     kinetics = values.INSULIN[kind]
     slow = kinetics["half_life"] * 1.4
     fast = kinetics["onset"] * 0.7
     at_peak = slow * fast * math.log(slow / fast) / (slow - fast)
-    peak = math.exp(-at_peak / slow) - math.exp(-at_peak / fast)
-    return slow, fast, peak, kinetics["duration"]
+    return {
+        "slow": slow,
+        "fast": fast,
+        "peak": math.exp(-at_peak / slow) - math.exp(-at_peak / fast),
+        "duration": kinetics["duration"],
+    }
+
+
+def constant(kind: Column, name: str) -> Column:
+    """`slow`, `fast` (decay minutes), `peak` (height) or `duration` (minutes) of a type."""
+    return F.when(kind == "basal", F.lit(_constants("basal")[name])).otherwise(
+        F.lit(_constants("bolus")[name])
+    )
 
 
 def duration_minutes(kind: Column) -> Column:
-    return F.when(kind == "basal", F.lit(values.INSULIN["basal"]["duration"])).otherwise(
-        F.lit(values.INSULIN["bolus"]["duration"])
-    )
+    return constant(kind, "duration")
 
 
-def _by_kind(kind: Column, build) -> Column:
-    return F.when(kind == "basal", build(*_constants("basal"))).otherwise(
-        build(*_constants("bolus"))
-    )
+def level_of(slow_term: Column, fast_term: Column, peak: Column) -> Column:
+    """Activity scaled to a peak of 1, from exp(-t/slow) and exp(-t/fast)."""
+    return clamp((slow_term - fast_term) / peak, 0.0, 1.0)
 
 
-def activity(minutes: Column, kind: Column) -> Column:
-    """Activity level scaled to a peak of 1."""
+def share_of(slow_term: Column, fast_term: Column, slow: Column, fast: Column) -> Column:
+    """Share still to act, from the same two terms."""
+    return clamp((slow * slow_term - fast * fast_term) / (slow - fast), 0.0, 1.0)
 
-    def curve(slow, fast, peak, duration):
-        level = (F.exp(-minutes / F.lit(slow)) - F.exp(-minutes / F.lit(fast))) / F.lit(peak)
-        outside = (minutes < 0) | (minutes >= duration)
-        return F.when(outside, F.lit(0.0)).otherwise(clamp(level, 0.0, 1.0))
 
-    return _by_kind(kind, curve)
+def _terms(minutes: Column, kind: Column) -> tuple[Column, Column]:
+    return (
+        F.exp(-minutes / constant(kind, "slow")),
+        F.exp(-minutes / constant(kind, "fast")),
+    )
 
 
-def on_board(minutes: Column, kind: Column) -> Column:
-    """Share of the dose still to act."""
+def activity(minutes: Column, kind: Column) -> Column:
+    slow_term, fast_term = _terms(minutes, kind)
+    outside = (minutes < 0) | (minutes >= duration_minutes(kind))
+    return F.when(outside, F.lit(0.0)).otherwise(
+        level_of(slow_term, fast_term, constant(kind, "peak"))
+    )
 
-    def curve(slow, fast, peak, duration):
-        left = F.lit(slow) * F.exp(-minutes / F.lit(slow)) - F.lit(fast) * F.exp(
-            -minutes / F.lit(fast)
-        )
-        return (
-            F.when(minutes < 0, F.lit(1.0))
-            .when(minutes >= duration, F.lit(0.0))
-            .otherwise(clamp(left / F.lit(slow - fast), 0.0, 1.0))
+
+def on_board(minutes: Column, kind: Column) -> Column:
+    slow_term, fast_term = _terms(minutes, kind)
+    return (
+        F.when(minutes < 0, F.lit(1.0))
+        .when(minutes >= duration_minutes(kind), F.lit(0.0))
+        .otherwise(
+            share_of(slow_term, fast_term, constant(kind, "slow"), constant(kind, "fast"))
         )
+    )
+
 
-    return _by_kind(kind, curve)
+def rate_at_full_activity(kind: Column, units: Column) -> Column:
+    """Units per hour while activity is 1."""
+    return units / (duration_minutes(kind) / 60.0) * 2.0
 
 
 def activity_rate(minutes: Column, kind: Column, units: Column) -> Column:
     """Units per hour currently acting."""
-    return activity(minutes, kind) * (units / (duration_minutes(kind) / 60.0)) * 2.0
+    return activity(minutes, kind) * rate_at_full_activity(kind, units)
 
 
 def glucose_drop(iob: Column, correction_factor: Column) -> Column:

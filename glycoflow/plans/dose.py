@@ -9,7 +9,7 @@ from glycoflow import values
 from glycoflow.functions import alcohol, circadian, insulin
 from glycoflow.functions.jsmath import clamp, half_up
 from glycoflow.plans.params import with_params
-from glycoflow.plans.state import body_events, effects
+from glycoflow.plans.state import EFFECTS, body_events, with_effects
 
 BUCKET_MS = 3_600_000
 
@@ -44,18 +44,15 @@ def state_at(
             F.sequence(F.floor(F.col("ms") / F.lit(BUCKET_MS)), F.floor(ends / F.lit(BUCKET_MS)))
         ),
     )
-    since = (F.col("at_ms") - F.col("ms")).cast("double") / 60000.0
+    since = F.col("since")
     meal_seen = F.col("dose").isNotNull() | (since <= meal_lookback_hours * 60.0)
     pairs = (
         instants.join(events, ["subject_id", "bucket"])
+        .withColumn("since", (F.col("at_ms") - F.col("ms")).cast("double") / 60000.0)
         .filter((since >= 0) & (since < F.col("minutes")) & meal_seen)
-        .select(
-            "subject_id",
-            "at_ms",
-            *effects(since),
-            F.when(since < F.col("drink_minutes"), F.struct("ms", "id", "drink")).alias("sip"),
-        )
     )
+    sip = F.when(since < F.col("drink_minutes"), F.struct("ms", "id", "drink"))
+    pairs = with_effects(pairs).select("subject_id", "at_ms", *EFFECTS, sip.alias("sip"))
     found = pairs.groupBy("subject_id", "at_ms").agg(
         F.sum("iob").alias("iob"),
         F.sum("cob").alias("cob"),

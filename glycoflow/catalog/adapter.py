@@ -144,7 +144,7 @@ def spread_small(df: DataFrame) -> DataFrame:
     many splits already and are left as they are.
     """
     planned = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(planned.toString()) > SMALL_BYTES:
+    if int(str(planned)) > SMALL_BYTES:
         return df
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 

@@ -94,25 +94,11 @@ def csv_records(spark, sf):
 @query("s7_format_detection", _with(LOG, READ) + """
 SELECT DISTINCT file, CASE style WHEN 0 THEN 'freestyle-libre' WHEN 1 THEN 'dexcom' ELSE 'generic' END AS format FROM rd""")
 def format_detection(spark, sf):
-    lines = export_lines(spark, sf)
-    # Lines carry gaps in their numbers here, so the first five are taken by order.
-    return csvfiles.file_formats(_renumbered(lines))
-
-
-def _renumbered(lines):
-    """Blank line 1, header line 2; data lines keep their order and start at 3."""
-    first = lines.filter("line_no > 2").groupBy("file").agg(F.min("line_no").alias("_first"))
-    return lines.join(first, "file").select(
-        "file",
-        F.when(F.col("line_no") <= 2, F.col("line_no"))
-        .otherwise(F.col("line_no") - F.col("_first") + 3)
-        .alias("line_no"),
-        "value",
-    )
+    return csvfiles.file_formats(export_lines(spark, sf))
 
 
 def parsed(spark, sf):
-    return csvfiles.parsed_rows(_renumbered(export_lines(spark, sf)))
+    return csvfiles.parsed_rows(export_lines(spark, sf))
 
 
 @query("s8_libre_rows", _with(LOG, READ) + PARSED_SQL + "0")
@@ -128,7 +114,7 @@ def dexcom_rows(spark, sf):
 @query("s10_mapped_rows", _with(LOG, READ) + PARSED_SQL + "2")
 def mapped_rows(spark, sf):
     mapping = {"timestamp": "Date", "value": "Blood Glucose", "unit": "Units", "device": "Meter"}
-    rows = csvfiles.parsed_rows(_renumbered(export_lines(spark, sf)), mapping)
+    rows = csvfiles.parsed_rows(export_lines(spark, sf), mapping)
     return rows.filter(F.col("format") == "generic")
 
 

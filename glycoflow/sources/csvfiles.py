@@ -154,38 +154,53 @@ def file_columns(heads: DataFrame, formats: DataFrame, mapping: dict | None = No
     files; without it they are inferred.
     """
     headers = F.col("headers")
-    libre = {n: position_of(headers, p) for n, p in values.LIBRE_COLUMNS.items()}
-    dexcom = {n: position_of(headers, p) for n, p in values.DEXCOM_COLUMNS.items()}
-    if mapping is None:
-        generic = {n: position_of(headers, p) for n, p in values.MAPPING_PATTERNS.items()}
-    else:
-        generic = {n: _exact(headers, mapping.get(n)) for n in values.MAPPING_PATTERNS}
+    looked_up = {}
+    for style, columns in (
+        ("libre", values.LIBRE_COLUMNS), ("dexcom", values.DEXCOM_COLUMNS),
+        ("generic", values.MAPPING_PATTERNS),
+    ):
+        for name, patterns in columns.items():
+            if style == "generic" and mapping is not None:
+                at = _exact(headers, mapping.get(name))
+            else:
+                at = position_of(headers, patterns)
+            looked_up[f"{style}_{name}"] = at
+    known = heads.join(formats, "file").select(
+        "file", "format", "first_cells", *[c.alias(n) for n, c in looked_up.items()]
+    )
     is_libre, is_dexcom = F.col("format") == "freestyle-libre", F.col("format") == "dexcom"
     nothing = F.lit(None).cast("bigint")
 
     def choose(for_libre: Column, for_dexcom: Column, for_generic: Column) -> Column:
         return F.when(is_libre, for_libre).when(is_dexcom, for_dexcom).otherwise(for_generic)
 
-    device_cell = F.get(F.col("first_cells"), F.when(is_libre, libre["device"]).otherwise(dexcom["device"]))
+    def found(name: str) -> Column:
+        return F.col(name).isNotNull()
+
+    device_cell = F.get(
+        F.col("first_cells"), F.when(is_libre, F.col("libre_device")).otherwise(F.col("dexcom_device"))
+    )
     transmitter = F.rtrim(F.concat(F.lit("Dexcom "), F.coalesce(device_cell, F.lit(""))))
-    return heads.join(formats, "file").select(
+    return known.select(
         "file",
         "format",
-        choose(libre["timestamp"], dexcom["timestamp"], generic["timestamp"]).alias("ts_at"),
         choose(
-            F.coalesce(libre["mmol"], libre["mgdl"]),
-            F.coalesce(dexcom["mmol"], dexcom["mgdl"]),
-            generic["value"],
+            F.col("libre_timestamp"), F.col("dexcom_timestamp"), F.col("generic_timestamp")
+        ).alias("ts_at"),
+        choose(
+            F.coalesce("libre_mmol", "libre_mgdl"),
+            F.coalesce("dexcom_mmol", "dexcom_mgdl"),
+            F.col("generic_value"),
         ).alias("value_at"),
-        choose(libre["record_type"], dexcom["record_type"], nothing).alias("type_at"),
-        choose(nothing, nothing, generic["unit"]).alias("unit_at"),
-        choose(nothing, nothing, generic["device"]).alias("device_at"),
-        choose(libre["mmol"].isNull(), dexcom["mmol"].isNull(), F.lit(None).cast("boolean")).alias(
-            "is_mgdl"
-        ),
+        choose(F.col("libre_record_type"), F.col("dexcom_record_type"), nothing).alias("type_at"),
+        choose(nothing, nothing, F.col("generic_unit")).alias("unit_at"),
+        choose(nothing, nothing, F.col("generic_device")).alias("device_at"),
+        choose(
+            ~found("libre_mmol"), ~found("dexcom_mmol"), F.lit(None).cast("boolean")
+        ).alias("is_mgdl"),
         choose(
             device_cell,
-            F.when(dexcom["device"].isNull(), F.lit("Dexcom CGM")).otherwise(transmitter),
+            F.when(found("dexcom_device"), transmitter).otherwise(F.lit("Dexcom CGM")),
             F.lit(None).cast("string"),
         ).alias("file_device"),
     )

@@ -134,21 +134,6 @@ span AS (
 """
 
 
-SMALL_BYTES = 64 * 1024 * 1024
-
-
-def spread_small(df: DataFrame) -> DataFrame:
-    """Use all cores where one small file would mean one task for a fan-out.
-
-    Only inputs whose planned size is known to be small are moved; large tables come in
-    many splits already and are left as they are.
-    """
-    planned = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(str(planned)) > SMALL_BYTES:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
-
-
 def log_span(spark: SparkSession, sf_dir: str) -> tuple[datetime, datetime]:
     """First day start and last day end of the events: two values, one small job."""
     low, high = (

@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 
 from glycoflow import values
 from glycoflow.catalog.adapter import (
-    LOG, SPAN, log_grid, log_span, spread_small, subjects, table,
+    LOG, SPAN, event_log, log_grid, log_span, subjects, table,
 )
-from glycoflow.catalog import adapter
 from glycoflow.catalog.kernels import (
     A_ABSORBING, A_SENS, A_SYSTEM, BASAL_ACT, BASAL_IOB, BOLUS_ACT, BOLUS_IOB, CARB_LEFT,
     CARB_PARAMS, CARB_RATE, CIRC, DRINK_PARAMS, _with, circ_sql, drift_sql, gi_sql,
@@ -21,10 +20,6 @@ from glycoflow.functions import circadian, insulin
 from glycoflow.operators.ordered import asof_join
 from glycoflow.plans import dose, predict, state, tuning
 
-def event_log(spark, sf):
-    return spread_small(adapter.event_log(spark, sf))
-
-
 GRID = """
 grid AS (SELECT subject_id, lo + i*300000 AS t FROM (SELECT DISTINCT subject_id FROM log), span,
   (SELECT unnest(range(0, 100000)) AS i) WHERE lo + i*300000 <= hi)
@@ -128,7 +123,7 @@ def blood_alcohol(spark, sf):
 SELECT subject_id, t AS at_ts, id AS dose_id, {r6('iob')} AS iob FROM ins""")
 def insulin_contributions(spark, sf):
     grid = log_grid(spark, sf)
-    return state.contributions(event_log(spark, sf), grid, part="dose").select(
+    return state.contributions(event_log(spark, sf), grid, "dose").select(
         "subject_id",
         F.timestamp_millis(grid.at_ms(F.col("idx"))).alias("at_ts"),
         F.col("id").alias("dose_id"),

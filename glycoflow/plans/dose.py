@@ -9,7 +9,7 @@ from glycoflow import values
 from glycoflow.functions import alcohol, circadian, insulin
 from glycoflow.functions.jsmath import clamp, half_up
 from glycoflow.plans.params import with_params
-from glycoflow.plans.state import EFFECTS, body_events, with_effects
+from glycoflow.plans.state import PARTS
 
 BUCKET_MS = 3_600_000
 
@@ -37,22 +37,10 @@ def state_at(
         .distinct()
         .withColumn("bucket", F.floor(F.col("at_ms") / F.lit(BUCKET_MS)))
     )
-    ends = F.col("ms").cast("double") + F.col("minutes") * 60000.0
-    events = body_events(log, params).withColumn(
-        "bucket",
-        F.explode(
-            F.sequence(F.floor(F.col("ms") / F.lit(BUCKET_MS)), F.floor(ends / F.lit(BUCKET_MS)))
-        ),
-    )
-    since = F.col("since")
-    meal_seen = F.col("dose").isNotNull() | (since <= meal_lookback_hours * 60.0)
-    pairs = (
-        instants.join(events, ["subject_id", "bucket"])
-        .withColumn("since", (F.col("at_ms") - F.col("ms")).cast("double") / 60000.0)
-        .filter((since >= 0) & (since < F.col("minutes")) & meal_seen)
-    )
-    sip = F.when(since < F.col("drink_minutes"), F.struct("ms", "id", "drink"))
-    pairs = with_effects(pairs).select("subject_id", "at_ms", *EFFECTS, sip.alias("sip"))
+    pairs = None
+    for part in PARTS:
+        of_part = _paired(log, instants, part, params, meal_lookback_hours)
+        pairs = of_part if pairs is None else pairs.unionByName(of_part, allowMissingColumns=True)
     found = pairs.groupBy("subject_id", "at_ms").agg(
         F.sum("iob").alias("iob"),
         F.sum("cob").alias("cob"),
@@ -64,12 +52,33 @@ def state_at(
         requests.withColumn("at_ms", F.unix_millis("as_of"))
         .join(found, ["subject_id", "at_ms"], "left")
         .drop("at_ms")
-        .withColumn("first_drink_units", F.col("sip").getField("drink"))
+        .withColumn("first_drink_units", F.col("sip").getField("units"))
         .drop("sip")
         .fillna({"iob": 0.0, "cob": 0.0, "alcohol_in_system": 0.0, "sensitivity_modifier": 1.0})
     )
 
 
+def _paired(
+    log: DataFrame, instants: DataFrame, part: str, params: DataFrame | None, lookback_hours: int
+) -> DataFrame:
+    """Effects of one part at each instant, one row per event acting there."""
+    build, effects = PARTS[part]
+    start = F.floor(F.col("ms") / F.lit(BUCKET_MS))
+    stop = F.floor((F.col("ms").cast("double") + F.col("minutes") * 60000.0) / F.lit(BUCKET_MS))
+    events = build(log, params).withColumn("bucket", F.explode(F.sequence(start, stop)))
+    since = F.col("since")
+    seen = F.lit(True) if part == "dose" else since <= lookback_hours * 60.0
+    acting = (
+        instants.join(events, ["subject_id", "bucket"])
+        .withColumn("since", (F.col("at_ms") - F.col("ms")).cast("double") / 60000.0)
+        .filter((since >= 0) & (since < F.col("minutes")) & seen)
+    )
+    out = effects(acting)
+    if part == "drink":
+        out = out.withColumn("sip", F.struct("ms", "id", "units")).drop("units")
+    return out.drop("ms", "id")
+
+
 def _half_units(x: Column) -> Column:
     return half_up(x * 2.0) / 2.0
 

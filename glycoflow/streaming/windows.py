@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from glycoflow.functions import glucose
 from glycoflow.operators import log as log_ops
 from glycoflow.operators.grid import Grid
-from glycoflow.plans.state import EFFECTS, body_events, with_effects
+from glycoflow.plans.state import all_contributions
 
 LONGEST_EFFECT_HOURS = 24
 
@@ -63,10 +63,10 @@ def decay_totals(
     reaches all its open instants.
     """
     behind = f"{LONGEST_EFFECT_HOURS * 60 + delay_minutes} minutes"
-    spread = with_effects(grid.spread(body_events(events, params)))
     at = F.timestamp_millis(grid.at_ms(F.col("idx")))
     return (
-        spread.select("subject_id", at.alias("at_ts"), *EFFECTS)
+        all_contributions(events, grid, params)
+        .withColumn("at_ts", at)
         .withWatermark("at_ts", behind)
         .groupBy("subject_id", "at_ts")
         .agg(

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from glycoflow.functions.jsmath import once
+
 US_DATE = r"^(\d{2})-(\d{2})-(\d{4})\s+(\d{2}):(\d{2})$"
 ISO_PREFIX = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}"
 SPACED = r"^(\d{4})-(\d{2})-(\d{2})\s+(\d{2}):(\d{2}):(\d{2})$"
@@ -13,13 +15,8 @@ SPACED = r"^(\d{4})-(\d{2})-(\d{2})\s+(\d{2}):(\d{2}):(\d{2})$"
 TIMESTAMP_HINTS = r"^\d{4}-\d{2}-\d{2}|^\d{2}-\d{2}-\d{4}|T\d{2}:\d{2}|\d{2}:\d{2}:\d{2}"
 
 
-def _once(x: Column, then) -> Column:
-    """`then(x)` with x evaluated a single time, however often `then` mentions it."""
-    return F.get(F.transform(F.array(x), then), 0)
-
-
 def _sane(ts: Column) -> Column:
-    return _once(ts, lambda t: F.when((F.year(t) >= 2000) & (F.year(t) <= 2100), t))
+    return once(ts, lambda t: F.when((F.year(t) >= 2000) & (F.year(t) <= 2100), t))
 
 
 def date_format(text: Column) -> Column:
@@ -55,7 +52,7 @@ def parse_libre(text: Column, us_format: bool = True) -> Column:
         return month + F.make_dt_interval(number(day_at) - 1, number(3), number(4), seconds)
 
     parts = F.split(text, r"[-:]|\s+")
-    rolled = _once(parts, build)
+    rolled = once(parts, build)
     return F.when(F.rlike(text, F.lit(US_DATE)), _sane(rolled))
 
 

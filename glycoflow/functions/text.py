@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from glycoflow import values
+from glycoflow.functions.jsmath import once
 
 
 def _any_of(text: Column, words: list[str]) -> Column:
@@ -16,28 +17,34 @@ def _any_of(text: Column, words: list[str]) -> Column:
 
 
 def _first_group(text: Column, groups, otherwise) -> Column:
-    rule = None
-    for label, words in groups:
-        test = _any_of(text, words)
-        rule = F.when(test, F.lit(label)) if rule is None else rule.when(test, F.lit(label))
-    return rule.otherwise(F.lit(otherwise))
+    def rule(lowered: Column) -> Column:
+        chain = F
+        for label, words in groups:
+            chain = chain.when(_any_of(lowered, words), F.lit(label))
+        return chain.otherwise(F.lit(otherwise))
+
+    return once(F.lower(text), rule)
 
 
 def glycemic_index(description: Column) -> Column:
     """Glycaemic index guessed from a meal description."""
-    text = F.lower(description)
-    rule = F.when(description.isNull() | (description == ""), F.lit(float(values.GI_DEFAULT)))
-    for word, gi in values.GI_KEYWORDS + values.GI_MODIFIERS:
-        rule = rule.when(F.contains(text, F.lit(word)), F.lit(float(gi)))
-    return rule.otherwise(F.lit(float(values.GI_DEFAULT)))
+    default = F.lit(float(values.GI_DEFAULT))
+
+    def rule(text: Column) -> Column:
+        chain = F.when(text.isNull() | (text == ""), default)
+        for word, gi in values.GI_KEYWORDS + values.GI_MODIFIERS:
+            chain = chain.when(F.contains(text, F.lit(word)), F.lit(float(gi)))
+        return chain.otherwise(default)
+
+    return once(F.lower(description), rule)
 
 
 def food_category(description: Column) -> Column:
-    return _first_group(F.lower(description), values.CATEGORY_KEYWORDS, "other")
+    return _first_group(description, values.CATEGORY_KEYWORDS, "other")
 
 
 def serving_shape(food_name: Column) -> Column:
-    return _first_group(F.lower(food_name), values.SHAPE_KEYWORDS, "irregular")
+    return _first_group(food_name, values.SHAPE_KEYWORDS, "irregular")
 
 
 def trend_direction(code: Column) -> Column:

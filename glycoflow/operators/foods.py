@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,8 +43,14 @@ def with_food(rows: DataFrame, dim: DataFrame, key: str = "food_id") -> DataFram
     return rows.join(F.broadcast(renamed), key, "left")
 
 
+def _boundary_starts(name: str) -> list[str]:
+    """The rest of a name from each word boundary on; a term matches at a boundary if one of
+    these starts with it."""
+    return [name[m.start():] for m in re.finditer(r"\b", name, re.ASCII)]
+
+
 def _score(food: Column, query: Column, terms: Column) -> Column:
-    name, category = F.lower(food["name"]), F.lower(food["category"])
+    name, category = food["name"], food["category"]
     whole = (
         F.when(name == query, F.lit(100))
         .when(F.startswith(name, query), F.lit(50))
@@ -51,7 +59,7 @@ def _score(food: Column, query: Column, terms: Column) -> Column:
     )
 
     def term_score(term: Column) -> Column:
-        at_boundary = F.rlike(name, F.concat(F.lit(r"\b\Q"), term, F.lit(r"\E")))
+        at_boundary = F.exists(food["starts"], lambda start: F.startswith(start, term))
         in_name = F.when(F.contains(name, term), F.when(at_boundary, F.lit(15)).otherwise(F.lit(10)))
         in_category = F.when(F.contains(category, term), F.lit(5))
         points = F.coalesce(in_name, F.lit(0)) + F.coalesce(in_category, F.lit(0))
@@ -69,8 +77,11 @@ def search(queries: DataFrame, limit: int = 10) -> DataFrame:
     dim = F.array(
         *[
             F.struct(
-                F.lit(pos).alias("pos"), F.lit(row[0]).alias("id"), F.lit(row[1]).alias("name"),
-                F.lit(row[2]).alias("category"),
+                F.lit(pos).alias("pos"),
+                F.lit(row[0]).alias("id"),
+                F.lit(row[1].lower()).alias("name"),
+                F.lit(row[2].lower()).alias("category"),
+                F.array(*[F.lit(s) for s in _boundary_starts(row[1].lower())]).alias("starts"),
             )
             for pos, row in enumerate(values.FOODS)
         ]

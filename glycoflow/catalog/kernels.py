@@ -250,7 +250,8 @@ FROM sample, circ""")
 def circadian_drift(spark, sf):
     start = F.timestamp_millis("ms")
     end = F.timestamp_millis(F.col("ms") + (F.col("amount") * 600000).cast("bigint"))
-    return sample(spark, sf).select(*KEYS, circadian.drift(start, end).alias("drift"))
+    spans = sample(spark, sf).select(*KEYS, start.alias("start_ts"), end.alias("end_ts"))
+    return spans.select(*KEYS, circadian.drift("start_ts", "end_ts").alias("drift"))
 
 
 @query("f10_time_of_day_dose", _with(SAMPLE, CIRC) + f"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,23 +10,14 @@ from glycoflow import values
 
 
 def _table(numbers: list[float]) -> Column:
-    return F.expr("array(" + ",".join(f"{n!r}D" for n in numbers) + ")")
+    """An hourly table as one array literal, so that plans stay small."""
+    return F.lit(np.array(numbers, dtype="float64"))
 
 
 _STEPS = 12
 _DRIFT_PER_HOUR = 1.5
 
 
-def _dawn_by_minute() -> list[float]:
-    """Interpolated dawn effect for every minute of the day."""
-    out = []
-    for minute in range(1440):
-        here = values.DAWN_EFFECT[minute // 60]
-        ahead = values.DAWN_EFFECT[(minute // 60 + 1) % 24]
-        out.append(here + (ahead - here) * ((minute % 60) / 60))
-    return out
-
-
 def local_time(ts: Column, tz: str | Column | None) -> Column:
     """Wall clock of the subject; the grid itself stays in UTC."""
     return ts if tz is None else F.from_utc_timestamp(ts, tz)
@@ -64,22 +56,29 @@ def interpolated(local_ts: Column, adjustments: Column | None = None) -> dict[st
     }
 
 
-def drift(start_ts: Column, end_ts: Column, tz: str | Column | None = None) -> Column:
-    """Glucose drift over [start, end): mean of 12 left-edge dawn samples x 1.5 per hour."""
-    start_ms, end_ms = F.unix_millis(start_ts), F.unix_millis(end_ts)
-    span = (end_ms - start_ms).cast("double")
-    table = _table(_dawn_by_minute())
-    total = None
-    for step in range(_STEPS):
-        at_ms = (start_ms.cast("double") + F.lit(step / _STEPS) * span).cast("bigint")
+def drift(start: str, end: str, tz: str | None = None) -> Column:
+    """Glucose drift over [start, end): mean of 12 left-edge dawn samples x 1.5 per hour.
+
+    Takes column names and is written as one SQL text: the twelve unrolled samples would
+    otherwise be hundreds of calls from Python. `tz` is a SQL expression, as 'UTC' in quotes
+    or the name of a column.
+    """
+    table = "array(" + ",".join(f"{n!r}D" for n in values.DAWN_EFFECT) + ")"
+    first, span = f"unix_millis({start})", f"(unix_millis({end}) - unix_millis({start}))"
+
+    def sample(step: int) -> str:
+        at = f"CAST({first} + {step / _STEPS!r}D * {span} AS BIGINT)"
         if tz is None:
-            minute = F.pmod(F.floor(at_ms / 60000.0), F.lit(1440)).cast("int")
+            minute = f"({at} div 60000) % 1440"
+            hour, rest = f"CAST(({minute}) div 60 AS INT)", f"(({minute}) % 60)"
         else:
-            wall = local_time(F.timestamp_millis(at_ms), tz)
-            minute = F.hour(wall) * 60 + F.minute(wall)
-        part = F.get(table, minute) / float(_STEPS)
-        total = part if total is None else total + part
-    return total * _DRIFT_PER_HOUR * (span / 3600000.0)
+            wall = f"from_utc_timestamp(timestamp_millis({at}), {tz})"
+            hour, rest = f"hour({wall})", f"minute({wall})"
+        here, ahead = f"get({table}, {hour})", f"get({table}, ({hour} + 1) % 24)"
+        return f"({here} + ({ahead} - {here}) * ({rest} / 60.0D)) / {float(_STEPS)}D"
+
+    total = " + ".join(sample(step) for step in range(_STEPS))
+    return F.expr(f"({total}) * {_DRIFT_PER_HOUR}D * ({span} / 3600000.0D)")
 
 
 def dose_reason(dawn: Column, sensitivity: Column) -> Column:

@@ -58,7 +58,7 @@ def calibrate(corrections: DataFrame, large: int = LARGE) -> DataFrame:
     few = rows.join(spread.filter(F.col("n") <= large), "food_type_id", "left_semi")
     many = rows.join(spread.filter(F.col("n") > large), "food_type_id")
     nothing = F.lit(None).cast("double")
-    ordered = F.array_sort(F.collect_list(F.struct("ts", "seq", "ratio")))
+    ordered = F.sort_array(F.collect_list(F.struct("ts", "seq", "ratio")))
     small = (
         few.groupBy("food_type_id")
         .agg(ordered.alias("c"))
@@ -82,7 +82,7 @@ def calibrate(corrections: DataFrame, large: int = LARGE) -> DataFrame:
         return F.when(F.size(chunk["ends"]) == 0, after_head).otherwise(F.get(chunk["ends"], at))
 
     last = many.groupBy("food_type_id").agg(F.max("ts").alias("last_updated"))
-    in_order = F.array_sort(
+    in_order = F.sort_array(
         F.collect_list(F.struct("first_ts", "first_seq", "head", "low", "ends"))
     )
     big = (

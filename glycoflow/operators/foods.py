@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glycoflow import values
@@ -71,41 +72,36 @@ def _score(food: Column, query: Column, terms: Column) -> Column:
 def search(queries: DataFrame, limit: int = 10) -> DataFrame:
     """Best foods per query text (query_id, query).
 
-    The dimension travels as one literal array inside the expression: each query is
-    scored, cut and ranked within its own row and nothing is shuffled.
+    Each distinct text meets the 69 foods of the built-in dimension, which travel as one
+    literal; ranking needs no further shuffle, texts being distributed already.
     """
-    dim = F.array(
-        *[
-            F.struct(
-                F.lit(pos).alias("pos"),
-                F.lit(row[0]).alias("id"),
-                F.lit(row[1].lower()).alias("name"),
-                F.lit(row[2].lower()).alias("category"),
-                F.array(*[F.lit(s) for s in _boundary_starts(row[1].lower())]).alias("starts"),
-            )
-            for pos, row in enumerate(values.FOODS)
-        ]
+    rows = [
+        {"pos": pos, "id": row[0], "name": row[1].lower(), "category": row[2].lower(),
+         "starts": _boundary_starts(row[1].lower())}
+        for pos, row in enumerate(values.FOODS)
+    ]
+    dim = F.from_json(
+        F.lit(json.dumps(rows)),
+        "array<struct<pos:int,id:string,name:string,category:string,starts:array<string>>>",
     )
     cleaned = queries.withColumn("_q", F.lower(F.trim("query"))).filter(F.col("_q") != "")
     # One row per distinct text: equal queries have equal answers.
-    texts = cleaned.select("_q").distinct().withColumn("_terms", F.split("_q", r"\s+"))
-    scored = F.transform(
-        dim,
-        lambda food: F.struct(
-            (-_score(food, F.col("_q"), F.col("_terms"))).alias("minus"),
-            food["pos"].alias("pos"),
-            food["id"].alias("id"),
-        ),
+    texts = cleaned.select("_q").distinct()
+    best_first = Window.partitionBy("_q").orderBy(F.desc("score"), "pos")
+    answers = (
+        texts.withColumn("_terms", F.split("_q", r"\s+"))
+        .select("_q", "_terms", F.explode(dim).alias("food"))
+        .select(
+            "_q",
+            F.col("food.pos").alias("pos"),
+            F.col("food.id").alias("food_id"),
+            _score(F.col("food"), F.col("_q"), F.col("_terms")).cast("bigint").alias("score"),
+        )
+        .withColumn("rank", F.row_number().over(best_first))
+        .filter((F.col("rank") <= limit) & (F.col("score") > 0))
     )
-    best = F.slice(F.array_sort(F.filter(scored, lambda s: s["minus"] < 0)), 1, limit)
-    answers = texts.select("_q", best.alias("_best")).filter(F.size("_best") > 0)
     return cleaned.join(answers, "_q").select(
-        "query_id", F.posexplode("_best").alias("_at", "b")
-    ).select(
-        "query_id",
-        (F.col("_at") + 1).cast("bigint").alias("rank"),
-        F.col("b.id").alias("food_id"),
-        (-F.col("b.minus")).cast("bigint").alias("score"),
+        "query_id", F.col("rank").cast("bigint").alias("rank"), "food_id", "score"
     )
 
 

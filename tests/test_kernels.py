@@ -109,9 +109,16 @@ def test_hour_of_day_is_local(spark):
     local = circadian.local_time(ts, "Australia/Sydney")  # 07:30 there
     got = one(spark, *circadian.interpolated(local).values())
     assert got == pytest.approx((7, 1.175, 0.6, 1.235))
-    utc = one(spark, circadian.drift(ts, ts + F.expr("INTERVAL 1 HOUR"), "Australia/Sydney"))
-    same = F.lit("2025-01-01 07:30:00").cast("timestamp")
-    assert utc == pytest.approx(one(spark, circadian.drift(same, same + F.expr("INTERVAL 1 HOUR"))))
+    spans = spark.sql(
+        "SELECT t AS a, t + INTERVAL 1 HOUR AS b FROM VALUES "
+        "(TIMESTAMP '2025-01-01 20:30:00'), (TIMESTAMP '2025-01-01 07:30:00') AS v(t)"
+    )
+    zone = "'Australia/Sydney'"
+    there = spans.select(circadian.drift("a", "b", zone)).collect()[0][0]
+    here = spans.select(circadian.drift("a", "b")).collect()[1][0]
+    # 12 samples from 07:30: 0.6 down to 0.4 at 08:00, then to 0.25
+    want = sum(0.8 - 0.4 * m / 60 if m < 60 else 0.4 - 0.3 * (m - 60) / 60 for m in range(30, 90, 5)) / 12 * 1.5
+    assert there == pytest.approx(want) and here == pytest.approx(want)
 
 
 def test_own_circadian_adjustments(spark):

@@ -62,7 +62,11 @@ SELECT series_id, CAST(i AS BIGINT) AS position, {r6('avg(x)')} AS x, {r6('avg(y
      FROM (SELECT series_id, n, greatest(3, n // 24) AS wd FROM (SELECT series_id, count(*) AS n, sum(c) AS raw FROM (SELECT series_id, x, count(*) AS c FROM px GROUP BY ALL) GROUP BY series_id) WHERE n >= 4 AND raw >= 4),
        (SELECT unnest(range(24)) AS i)) s
     JOIN (SELECT series_id, x, avg(y) AS y, row_number() OVER (PARTITION BY series_id ORDER BY x) - 1 AS j FROM px GROUP BY series_id, x) a
-      ON a.series_id = s.series_id AND a.j >= s.f AND a.j < s.t) GROUP BY series_id, i""")
+      ON a.series_id = s.series_id AND a.j >= s.f AND a.j < s.t) GROUP BY series_id, i
+UNION ALL SELECT series_id, row_number() OVER (PARTITION BY series_id ORDER BY x, y) - 1, {r6('x')}, {r6('y')} FROM (
+  SELECT p.series_id, x, y::DOUBLE AS y FROM px p JOIN (SELECT series_id FROM px GROUP BY series_id HAVING count(*) < 4) f ON f.series_id = p.series_id
+  UNION ALL SELECT p.series_id, x, avg(y) FROM px p JOIN (SELECT series_id FROM px GROUP BY series_id HAVING count(*) >= 4 AND count(DISTINCT x) < 4) f
+    ON f.series_id = p.series_id GROUP BY p.series_id, x)""")
 def smooth_to_24(spark, sf):
     return curves.smooth_to(pixels(spark, sf), 24)
 
@@ -74,7 +78,8 @@ tg AS (SELECT *, x0 + i*((x1 - x0)/49.0::DOUBLE) AS tx FROM en, (SELECT unnest(r
 br AS (SELECT t.series_id, t.i, t.tx, t.x0, t.x1, t.ys, t.ye, max(k.x) FILTER (k.x < t.tx) AS lx, arg_max(k.yl, k.x) FILTER (k.x < t.tx) AS ly,
     min(k.x) FILTER (k.x >= t.tx) AS rx, arg_min(k.yf, k.x) FILTER (k.x >= t.tx) AS ry FROM tg t JOIN kn k ON k.series_id = t.series_id GROUP BY ALL)
 SELECT series_id, CAST(i AS BIGINT) AS position, {r6('tx')} AS x,
-  {r6('CASE WHEN lx IS NULL THEN ys WHEN rx IS NULL THEN ys + (tx - x0)/(x1 - x0)*(ye - ys) ELSE ly + (tx - lx)/(rx - lx)*(ry - ly) END::DOUBLE')} AS y FROM br""")
+  {r6('CASE WHEN lx IS NULL THEN ys WHEN rx IS NULL THEN ys + (tx - x0)/(x1 - x0)*(ye - ys) ELSE ly + (tx - lx)/(rx - lx)*(ry - ly) END::DOUBLE')} AS y FROM br
+UNION ALL SELECT series_id, 0, {r6('any_value(x)')}, {r6('any_value(y)')} FROM px GROUP BY series_id HAVING count(*) = 1""")
 def uniform_resample(spark, sf):
     return curves.resample_uniform(pixels(spark, sf), 50)
 

@@ -283,13 +283,13 @@ def upsert_events(spark, sf):
 
 
 @query("s17_save_results", f"""
-SELECT l_orderkey AS test_entry_id, l_returnflag AS provider, {r6('arg_max(l_quantity, (l_linenumber, l_partkey))')} AS score
+SELECT l_orderkey AS test_entry_id, l_returnflag AS provider, {r6('arg_max(l_quantity, (l_linenumber, l_partkey, l_quantity))')} AS score
 FROM lineitem GROUP BY ALL""")
 def save_results(spark, sf):
     lines = table(spark, sf, "lineitem").select(
         F.col("l_orderkey").alias("test_entry_id"), F.col("l_returnflag").alias("provider"),
         F.col("l_quantity").alias("score"),
-        F.struct("l_linenumber", "l_partkey").alias("seq"),
+        F.struct("l_linenumber", "l_partkey", "l_quantity").alias("seq"),
     )
     return tables.save_results(lines.limit(0).drop("seq"), lines, "seq")
 

@@ -111,9 +111,10 @@ def smooth_to(points: DataFrame, n: int) -> DataFrame:
     )
 
     def numbered(rows: DataFrame) -> DataFrame:
+        by_point = Window.partitionBy("series_id").orderBy("x", "y")
         return rows.select(
             "series_id",
-            (F.row_number().over(order) - 1).cast("bigint").alias("position"),
+            (F.row_number().over(by_point) - 1).cast("bigint").alias("position"),
             F.col("x").cast("double").alias("x"),
             F.col("y").cast("double").alias("y"),
         )

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from glycoflow.llm import substring
+from glycoflow.llm import minhash, substring, suffix_dedup
 
 QUERIES = {
     "op1_substring_dedup": substring.op1_substring_dedup,
+    "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
+    "op8_minhash": minhash.op8_minhash,
 }
 SQL = {
     "op1_substring_dedup": substring.SQL,
+    "op4_suffix_dedup": suffix_dedup.SQL,
+    "op8_minhash": minhash.SQL,
 }

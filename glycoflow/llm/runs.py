@@ -94,10 +94,11 @@ def found_runs(batches: Iterator[pa.RecordBatch], unit: str, gram: int, length:
 
 
 def seeds(docs: DataFrame, unit: str, gram: int, length: int, hot: int = HOT) -> DataFrame:
-    """All runs that may repeat, met by anchor: (bucket, context, doc_id, first, n, copies, earlier, alone, extra).
+    """All runs that may repeat, met by anchor.
 
-    copies: runs with the same content in the bucket. earlier: one of them starts earlier. alone: no other content
-    meets this anchor. extra: a row that only tells of a run which is also elsewhere.
+    Returns bucket, context, doc_id, first, n, copies (runs with the same content in the bucket), earlier (one of them
+    starts earlier), alone (no other content meets this anchor), extra (a row that only tells of a run which is also
+    elsewhere) and wide (runs of this anchor are in other buckets, too).
     """
     runs = docs.mapInArrow(lambda it: found_runs(it, unit, gram, length, hot), RUNS)
     bucket = Window.partitionBy("bucket")
@@ -108,6 +109,7 @@ def seeds(docs: DataFrame, unit: str, gram: int, length: int, hot: int = HOT) ->
         "*",
         F.min("context").over(bucket).alias("low"),
         F.max("context").over(bucket).alias("high"),
+        F.max(mark).over(bucket).alias("marks"),
         F.row_number().over(content).alias("nth"),
         F.count("*").over(every).alias("copies"),
     )
@@ -121,4 +123,5 @@ def seeds(docs: DataFrame, unit: str, gram: int, length: int, hot: int = HOT) ->
         (F.col("nth") > 1).alias("earlier"),
         ((F.col("low") == F.col("high")) & (mark == PLAIN)).alias("alone"),
         (mark == EXTRA).alias("extra"),
+        (F.col("marks") > PLAIN).alias("wide"),
     ).where("copies > 1 or not alone")

@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
-from glycoflow.llm import minhash, substring, suffix_dedup
+from glycoflow.llm import decontam, frames, lines, minhash, packing, quality, substring, suffix_dedup, warc
 
 QUERIES = {
     "op1_substring_dedup": substring.op1_substring_dedup,
+    "op2_quality": quality.op2_quality,
+    "op3_warc": warc.op3_warc,
     "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
+    "op5_best_fit_packing": packing.op5_best_fit_packing,
+    "op7_spaced_seeds": decontam.op7_spaced_seeds,
     "op8_minhash": minhash.op8_minhash,
+    "op9_token_frames": frames.op9_token_frames,
+    "op10_line_rules": lines.op10_line_rules,
 }
 SQL = {
     "op1_substring_dedup": substring.SQL,
+    "op3_warc": warc.SQL,
     "op4_suffix_dedup": suffix_dedup.SQL,
+    "op7_spaced_seeds": decontam.SQL,
     "op8_minhash": minhash.SQL,
+    "op10_line_rules": lines.SQL,
 }

@@ -6,8 +6,9 @@ functions over fewer buckets, so that a bucket holds about three shingles or mor
 levels has registers of both. Documents meet where four registers in a row, a band, agree.
 
 A pair of similarity 0.75 agrees in none of the 40 bands with a chance of 3e-7. Documents of equal sets are one
-representative beforehand. Those that meet in a band are first compared with the smallest of the band, and only those
-that this leaves in different components with each other, so that a large group of copies costs one comparison each.
+representative beforehand. Those that meet in a band are first compared with the smallest of the band, so that a large
+group of copies costs one comparison each. Pairs that this leaves in different components are found by what both have
+different from that smallest one (see ``_apart``), which loses none.
 A comparison starts with the collision-corrected estimate from the registers (a pair of similarity 0.75 falls below
 0.55 with a chance of 2e-9) and is settled on the full sets.
 """
@@ -19,7 +20,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glycoflow.llm import base, rolling
@@ -142,10 +143,10 @@ def _plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _confirmed(pairs: DataFrame, sketches: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b, level) whose sets are similar enough."""
+    """Pairs (a, b) whose sets are similar enough."""
     left = sketches.select(F.col("doc_id").alias("a"), "level", F.col("registers").alias("ra"), F.col("n").alias("na"))
     right = sketches.select(F.col("doc_id").alias("b"), "level", F.col("registers").alias("rb"))
-    sized = pairs.join(left, ["a", "level"]).join(right, ["b", "level"])
+    sized = pairs.join(left, "a").join(right, ["b", "level"])
     plausible = sized.select("a", "b", "level", "na", "ra", "rb").mapInArrow(_plausible, "a long, b long").distinct()
     one = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("items").alias("ia"))
     other = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("items").alias("ib"))
@@ -154,8 +155,41 @@ def _confirmed(pairs: DataFrame, sketches: DataFrame, sets: DataFrame) -> DataFr
     return checked.where(f"100 * common >= {PERCENT} * (both - common)").select("a", "b")
 
 
-def _sizes_fit(a: str, b: str):
-    return (100 * F.col(a) >= PERCENT * F.col(b)) & (100 * F.col(b) >= PERCENT * F.col(a))
+def _apart(led: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) in different components that may be similar, among the documents compared with one leader.
+
+    Let D be the difference of a set from the leader's. Sets x and y of |x| + |y| = S are similar if their own
+    difference is at most S / 7, that is, if Dx and Dy have at least (|Dx| + |Dy| - S / 7) / 2 elements in common. One
+    of the two, x, is not in the leader's component, so |Dx| exceeds (|x| + |leader|) / 7. This leaves at least
+    (|Dy| + (|leader| - |y|) / 7) / 2 elements of Dy, and |Dx| - |x| / 3 and at least one of Dx. With the elements of
+    each D in one order, rare ones first, similar pairs share one of the first |D| - least + 1 elements. Copies with
+    edits of their own do not, however many they are.
+    """
+    named = labels.select(F.col("node").alias("b"), F.col("component").alias("own"))
+    leads = labels.select(F.col("node").alias("a"), F.col("component").alias("whole"))
+    pairs = led.join(named, "b", "left").join(leads, "a", "left")
+    pairs = pairs.select("a", "b", F.coalesce("own", "b").alias("own"), F.coalesce("whole", "a").alias("whole"))
+    split = pairs.where("own <> whole").groupBy("a").agg(F.count("*").alias("outside"))
+    one = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("items").alias("ia"))
+    other = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("items").alias("ib"))
+    delta = F.concat(F.array_except("ia", "ib"), F.array_except("ib", "ia"))
+    members = pairs.join(split, "a").join(one, "a").join(other, "b")
+    members = base.kept_table(members.select("a", "b", "own", (F.col("own") != F.col("whole")).alias("outside"), "na", "nb", delta.alias("delta")))
+
+    size = F.size("delta")
+    elements = members.select("a", "b", "own", "outside", "na", "nb", size.alias("size"), F.explode("delta").alias("element"))
+    counts = elements.groupBy("a", "element").agg(F.count("*").alias("times"))
+    order = F.row_number().over(Window.partitionBy("a", "b").orderBy("times", "element"))
+    ranked = elements.join(counts, ["a", "element"]).withColumn("nth", order).where("times > 1")
+    least_x = F.greatest(F.lit(1), F.ceil((3 * F.col("size") - F.col("nb")) / 3))
+    least_y = F.ceil((7 * F.col("size") + F.col("na") - F.col("nb")) / 14)
+    x = ranked.where(F.col("outside") & (F.col("nth") <= F.col("size") - least_x + 1))
+    y = ranked.where(F.col("nth") <= F.col("size") - least_y + 1)
+    x = x.select("a", "element", F.col("b").alias("x"), F.col("own").alias("own_x"), F.col("size").alias("size_x"), F.col("nb").alias("n_x"))
+    y = y.select("a", "element", F.col("b").alias("y"), F.col("own").alias("own_y"), F.col("size").alias("size_y"), F.col("nb").alias("n_y"))
+    near = 7 * F.abs(F.col("size_x") - F.col("size_y")) <= F.col("n_x") + F.col("n_y")
+    met = x.join(y, (x.a == y.a) & (x.element == y.element) & (F.col("own_x") != F.col("own_y")) & near)
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -189,19 +223,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sets = texts.join(candidates, "doc_id", "left_semi").mapInArrow(_with_sets, SETS)
     sets = base.kept_table(sets.join(prints, ["doc_id", "n", "high", "low"]).dropDuplicates(["doc_id"]))
 
-    led = meeting.where("doc_id <> lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b"), "level").distinct()
+    led = base.kept_table(meeting.where("doc_id <> lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct())
     first = base.kept_table(_confirmed(led, sketches, sets))
-    found = components(first)
-
-    labelled = meeting.join(found, F.col("doc_id") == F.col("node"), "left").select(
-        "key", "level", "doc_id", "n", "lead", F.coalesce("component", "doc_id").alias("component")
-    )
-    split = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    apart = labelled.join(split, "key")
-    left = apart.select("key", "level", "lead", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    right = apart.select("key", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    others = left.join(right, (left.key == right.key) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.col("a") != F.col("lead")) & _sizes_fit("na", "nb"))
-    rest = _confirmed(others.select("a", "b", "level").distinct(), sketches, sets)
+    rest = _confirmed(_apart(led, components(first), sets), sketches, sets)
 
     linked = components(first.union(rest))
     named = documents.join(representatives.withColumnRenamed("doc_id", "representative"), ["high", "low", "n"], "left")

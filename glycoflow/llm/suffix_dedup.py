@@ -133,7 +133,7 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _rows(True, doc_id=doc[twice], first=first[twice], n=np.ones(int(twice.sum()), dtype=np.int64))
 
 
-def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], length: int, whole_characters: bool) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()),
                         ("spans", pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))), ("kept", pa.binary())])
     for batch in batches:
@@ -145,20 +145,23 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBa
                 rows.append((doc, len(data), 0, [], data))
                 continue
             gone = rolling.covered(spread(found >> 12, found & 4095), length, len(data))
+            if whole_characters:
+                character = np.cumsum((np.frombuffer(data, dtype=np.uint8) & 0xC0) != 0x80) - 1
+                gone = (np.bincount(character, gone) > 0)[character]
             edges = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])).astype(np.int8))).tolist()
             spans = [{"start": a, "length": b - a} for a, b in zip(edges[::2], edges[1::2], strict=True)]
             rows.append((doc, len(data), int(gone.sum()), spans, np.frombuffer(data, dtype=np.uint8)[~gone].tobytes()))
         yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = runs.HOT, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = runs.HOT, shard_bytes: int = SHARD_BYTES, whole_characters: bool = False) -> DataFrame:
     """Remove every byte that a string of ``length`` bytes covers which also starts elsewhere, in any document.
 
     All occurrences go, the first one as well. Texts are UTF-8; a null text is empty. Rows without doc_id are left
     out; of rows with one doc_id the greatest text counts. Columns besides doc_id and text are ignored.
 
-    Returns doc_id, n_bytes, n_removed, spans (maximal removed runs) and kept (the remaining bytes; characters may be
-    cut).
+    Returns doc_id, n_bytes, n_removed, spans (maximal removed runs) and kept (the remaining bytes). Characters may be
+    cut, unless ``whole_characters`` asks that one whose bytes are not all kept goes as a whole.
     """
     texts = base.by_document(docs)
     seeds = runs.seeds(texts, "byte", gram, length, hot)
@@ -173,7 +176,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot
     repeated = whole.select("doc_id", "first", "n").union(merged.select("doc_id", "first", "n"))
     of_document = repeated.groupBy("doc_id").agg(F.collect_list(F.shiftleft("first", 12).bitwiseOR(F.col("n"))).alias("found"))
     marked = texts.join(of_document, "doc_id", "left").select("doc_id", "text", "found")
-    return marked.mapInArrow(lambda it: _cut(it, length), OUT)
+    return marked.mapInArrow(lambda it: _cut(it, length, whole_characters), OUT)
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from glycoflow.llm import decontam, frames, lines, minhash, packing, quality, substring, suffix_dedup, warc
+from glycoflow.llm import decontam, frames, lines, minhash, packing, quality, quotes, substring, suffix_dedup, warc
 
 QUERIES = {
     "op1_substring_dedup": substring.op1_substring_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_warc": warc.op3_warc,
     "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
+    "op6_quote_linking": quotes.op6_quote_linking,
     "op7_spaced_seeds": decontam.op7_spaced_seeds,
     "op8_minhash": minhash.op8_minhash,
     "op9_token_frames": frames.op9_token_frames,
@@ -19,6 +20,7 @@ SQL = {
     "op1_substring_dedup": substring.SQL,
     "op3_warc": warc.SQL,
     "op4_suffix_dedup": suffix_dedup.SQL,
+    "op6_quote_linking": quotes.SQL,
     "op7_spaced_seeds": decontam.SQL,
     "op8_minhash": minhash.SQL,
     "op10_line_rules": lines.SQL,

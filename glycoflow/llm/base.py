@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 PACKAGE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 #: Bytes of one Arrow batch sent to Python; a row alone may be larger.
 BATCH_BYTES = 16 << 20
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def ready(spark: SparkSession) -> SparkSession:
@@ -51,10 +52,18 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def kept_table(df: DataFrame) -> DataFrame:
-    """Write the rows as a table in the shared folder and read them from there: the lineage ends."""
+    """Write the rows as a table in the shared folder and read them from there: the lineage ends.
+
+    What was shuffled on the way is removed at once rather than when the driver collects its garbage.
+    """
     spark = df.sparkSession
     path = shared_folder(spark)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

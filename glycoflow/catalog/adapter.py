@@ -22,7 +22,6 @@ DESCRIPTIONS = [
 ]
 DRINK_TYPES = ["beer", "wine", "spirit", "mixed"]
 INTENSITIES = ["low", "moderate", "high"]
-SUBJECTS = 10
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,20 +33,44 @@ def _pick(choices: list[str], number: Column) -> Column:
     return F.get(F.array(*[F.lit(c) for c in choices]), F.pmod(number, F.lit(len(choices))))
 
 
-def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events with subject, millisecond timestamp and the number in `props`."""
-    return table(spark, sf_dir, "events").select(
+RAW_KINDS = {
+    "bsl": ["click"], "meal": ["view", "error"], "insulin": ["purchase"], "exercise": ["signup"],
+}
+
+
+def event_rows(
+    spark: SparkSession, sf_dir: str, kinds: list[str] | None = None,
+    start: datetime | None = None, end: datetime | None = None,
+) -> DataFrame:
+    """Events with subject, millisecond timestamp and the number in `props`.
+
+    Kinds and bounds are compared with the raw columns, so that the scan skips what is
+    outside; the end is taken a millisecond later, as instants are cut to milliseconds.
+    """
+    raw = table(spark, sf_dir, "events")
+    if kinds is not None:
+        raw = raw.filter(F.col("event_type").isin([r for k in kinds for r in RAW_KINDS[k]]))
+    stamp = raw.schema["ts"].dataType
+    if start is not None:
+        raw = raw.filter(F.col("ts") >= F.lit(start).cast(stamp))
+    if end is not None:
+        raw = raw.filter(F.col("ts") < F.lit(end + timedelta(milliseconds=1)).cast(stamp))
+    return raw.select(
         "event_id",
         F.date_trunc("MILLISECOND", F.col("ts").cast("timestamp")).alias("ts"),
-        F.pmod("user_id", F.lit(SUBJECTS)).alias("subject_id"),
+        F.col("user_id").alias("subject_id"),
         "event_type",
         "value",
         F.get_json_object("props", "$.k").cast("bigint").alias("k"),
     )
 
 
-def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = event_rows(spark, sf_dir)
+def event_log(
+    spark: SparkSession, sf_dir: str, kinds: list[str] | None = None,
+    start: datetime | None = None, end: datetime | None = None, keep: tuple[str, ...] = (),
+) -> DataFrame:
+    """The log, of some kinds and a span alone if asked for; `keep` names raw columns to stay."""
+    rows = event_rows(spark, sf_dir, kinds, start, end)
     kind, k, value = F.col("event_type"), F.col("k"), F.col("value")
     is_bsl, is_food = kind == "click", kind == "view"
     is_dose, is_drink, is_move = kind == "purchase", kind == "error", kind == "signup"
@@ -93,6 +116,7 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("ts").alias("created_at"),
         F.col("ts").alias("updated_at"),
         F.lit(False).alias("synced"),
+        *keep,
     )
 
 
@@ -103,7 +127,7 @@ def _sql_list(choices: list[str]) -> str:
 # The same log in SQL: flat metadata columns, `ms` for the instant.
 LOG = f"""
 ev AS (
-  SELECT event_id, epoch_us(ts) // 1000 AS ms, user_id % {SUBJECTS} AS subject_id, event_type AS src,
+  SELECT event_id, epoch_us(ts) // 1000 AS ms, user_id AS subject_id, event_type AS src,
          value AS v, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k
   FROM events),
 log AS (

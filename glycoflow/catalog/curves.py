@@ -10,9 +10,14 @@ from glycoflow.catalog.registry import query, r6
 from glycoflow.operators import curves
 from glycoflow.operators.log import mean_confidence
 
+def series():
+    """One series per subject and day."""
+    return (F.col("subject_id") * 1_000_000 + F.expr("unix_millis(ts) div 86400000")).alias("series_id")
+
+
 # Pixels: x is the quarter of an hour times four plus a little, y a scaled value.
 PIXELS = """
-px AS (SELECT user_id % 10 * 1000 + (epoch_us(ts) // 86400000000) % 1000 AS series_id, (epoch_us(ts) // 60000000 % 1440) // 4 AS x,
+px AS (SELECT user_id * 1000000 + epoch_us(ts) // 86400000000 AS series_id, (epoch_us(ts) // 60000000 % 1440) // 4 AS x,
     CAST(floor(value) AS BIGINT) % 200 + 60 AS y, event_id AS pos FROM events),
 med AS (SELECT series_id, x, CAST(list_sort(list(y))[CAST(count(*) // 2 AS BIGINT) + 1] AS DOUBLE) AS y FROM px GROUP BY ALL)
 """
@@ -21,7 +26,7 @@ med AS (SELECT series_id, x, CAST(list_sort(list(y))[CAST(count(*) // 2 AS BIGIN
 def pixels(spark, sf):
     ms = F.unix_millis("ts")
     return event_rows(spark, sf).select(
-        (F.col("subject_id") * 1000 + F.expr("unix_millis(ts) div 86400000") % 1000).alias("series_id"),
+        series(),
         F.floor((ms / 60000.0) % 1440 / 4).alias("x"),
         (F.pmod(F.floor("value"), F.lit(200)) + 60).alias("y"),
         F.col("event_id").alias("pos"),
@@ -88,7 +93,7 @@ def uniform_resample(spark, sf):
 
 AXIS = """
 ax AS (SELECT DISTINCT series_id, lo AS start_ms, lo + 86400000 AS end_ms FROM (
-  SELECT user_id % 10 * 1000 + (epoch_us(ts) // 86400000000) % 1000 AS series_id, epoch_us(ts) // 86400000000 * 86400000 AS lo FROM events))
+  SELECT user_id * 1000000 + epoch_us(ts) // 86400000000 AS series_id, epoch_us(ts) // 86400000000 * 86400000 AS lo FROM events))
 """
 
 
@@ -97,7 +102,7 @@ def day_axis(spark, sf):
     return (
         event_rows(spark, sf)
         .select(
-            (F.col("subject_id") * 1000 + F.expr("unix_millis(ts) div 86400000") % 1000).alias("series_id"),
+            series(),
             day.alias("start_ts"),
         )
         .distinct()
@@ -168,7 +173,7 @@ def default_axis(spark, sf):
 # -- resampling ----------------------------------------------------------------------------
 
 POINTS = """
-pt0 AS (SELECT subject_id*1000 + ms // 86400000 % 1000 AS series_id, event_id AS pos, ms, value, 0.5::DOUBLE + (k % 50)/100.0::DOUBLE AS conf FROM log WHERE event_type = 'bsl'),
+pt0 AS (SELECT subject_id*1000000 + ms // 86400000 AS series_id, event_id AS pos, ms, value, 0.5::DOUBLE + (k % 50)/100.0::DOUBLE AS conf FROM log WHERE event_type = 'bsl'),
 cnt AS (SELECT series_id, count(*) AS n FROM pt0 GROUP BY series_id),
 pt AS (SELECT series_id, ms, arg_min(value, pos) AS value, arg_min(conf, pos) AS conf FROM pt0 GROUP BY ALL),
 gr AS (SELECT ax.series_id, n, start_ms + i*300000 AS t FROM ax JOIN cnt ON cnt.series_id = ax.series_id, (SELECT unnest(range(289)) AS i)),
@@ -180,13 +185,10 @@ _LINE = "CASE WHEN bm = am THEN bv ELSE bv + ((t - bm)/(am - bm))*(av - bv) END"
 
 
 def curve_points(spark, sf):
-    k = event_rows(spark, sf).select(F.col("event_id").cast("string").alias("id"), "event_id", "k")
     return (
-        event_log(spark, sf)
-        .filter(F.col("event_type") == "bsl")
-        .join(k, "id")
+        event_log(spark, sf, ["bsl"], keep=("event_id", "k"))
         .select(
-            (F.col("subject_id") * 1000 + F.expr("unix_millis(ts) div 86400000") % 1000).alias("series_id"),
+            series(),
             F.col("event_id").alias("pos"),
             "ts",
             "value",

@@ -148,14 +148,72 @@ def dataset_manifest(spark, sf):
 
 @query("s25_validation_scans", _with(RESULTS) + f"""
 SELECT test_entry_id, provider, {r6('pb')} AS predicted_carbs, {r6('ms')} AS processing_ms FROM res
-WHERE provider = 'A' AND category = 'Brand#3' ORDER BY ms DESC, test_entry_id, pb LIMIT 100""")
+WHERE provider = 'A' AND category = 'Brand#3'""")
 def validation_scans(spark, sf):
     """Results of one provider and category, newest first."""
     rows = results(spark, sf).filter((F.col("provider") == "A") & (F.col("category") == "Brand#3"))
-    ordered = rows.orderBy(F.desc("processing_ms"), "test_entry_id", "predicted_carbs").limit(100)
+    ordered = rows.orderBy(F.desc("processing_ms"), "test_entry_id", "predicted_carbs")
     return ordered.select("test_entry_id", "provider", "predicted_carbs", "processing_ms")
 
 
+ENTRIES_SQL = """
+ent AS (SELECT p_partkey AS id, p_brand AS category, CASE p_partkey % 3 WHEN 0 THEN 'usda' WHEN 1 THEN 'manual' END AS source, p_size AS stamp FROM part)
+"""
+CORRECTED_SQL = RESULTS + """,
+cor AS (SELECT test_entry_id AS event_id, provider AS ai_provider, CASE WHEN l_linenumber > 1 THEN category END AS category, ms, l_linenumber FROM res)
+"""
+
+
+def stamped_entries(spark, sf):
+    n = F.col("p_partkey") % 3
+    return table(spark, sf, "part").select(
+        F.col("p_partkey").alias("id"), F.col("p_brand").alias("category"),
+        F.when(n == 0, F.lit("usda")).when(n == 1, F.lit("manual")).alias("source"),
+        F.col("p_size").alias("stamp"),
+    )
+
+
+def stamped_corrections(spark, sf):
+    return results(spark, sf).select(
+        F.col("test_entry_id").alias("event_id"), F.col("provider").alias("ai_provider"),
+        F.when(F.col("l_linenumber") > 1, F.col("category")).alias("category"),
+        F.col("processing_ms").alias("ms"), "l_linenumber",
+    )
+
+
+@query("s25_entries_newest", _with(ENTRIES_SQL) + "SELECT id, source, stamp, row_number() OVER (ORDER BY stamp DESC, id) AS place FROM ent")
+def entries_newest(spark, sf):
+    """All entries, newest first; the place follows from how many are newer."""
+    rows = stamped_entries(spark, sf)
+    return accuracy.with_place(rows, "stamp", "id").select("id", "source", "stamp", "place")
+
+
+@query("s25_entries_of_source", _with(ENTRIES_SQL) + "SELECT id, category, stamp FROM ent WHERE source = 'usda'")
+def entries_of_source(spark, sf):
+    return accuracy.where_equal(stamped_entries(spark, sf), "stamp", source="usda").select("id", "category", "stamp")
+
+
+@query("s25_results_of_entry", _with(RESULTS) + f"SELECT test_entry_id, provider, {r6('ms')} AS ms FROM res WHERE test_entry_id = 7")
+def results_of_entry(spark, sf):
+    rows = results(spark, sf).withColumnRenamed("processing_ms", "ms")
+    return accuracy.where_equal(rows, "ms", test_entry_id=7).select("test_entry_id", "provider", "ms")
+
+
+@query("s25_corrections_of_event", _with(CORRECTED_SQL) + f"SELECT event_id, ai_provider, {r6('ms')} AS ms FROM cor WHERE event_id = 11")
+def corrections_of_event(spark, sf):
+    return accuracy.where_equal(stamped_corrections(spark, sf), "ms", event_id=11).select("event_id", "ai_provider", "ms")
+
+
+@query("s25_corrections_of_provider", _with(CORRECTED_SQL) + f"SELECT event_id, {r6('ms')} AS ms, l_linenumber FROM cor WHERE ai_provider = 'R'")
+def corrections_of_provider(spark, sf):
+    return accuracy.where_equal(stamped_corrections(spark, sf), "ms", ai_provider="R").select("event_id", "ms", "l_linenumber")
+
+
+@query("s25_corrections_of_category", _with(CORRECTED_SQL) + f"SELECT event_id, {r6('ms')} AS ms, l_linenumber FROM cor WHERE category = 'Brand#5'")
+def corrections_of_category(spark, sf):
+    return accuracy.where_equal(stamped_corrections(spark, sf), "ms", category="Brand#5").select("event_id", "ms", "l_linenumber")
+
+
 # -- calibration -------------------------------------------------------------------------------
 
 FOLD = """
@@ -202,7 +260,7 @@ def calibration_by_part(spark, sf):
 @query("w4_calibration_large_foods", _with(FOLD.format(key=f"{FOOD_IDS}[l_partkey % 69 + 1]")) + _CAL_OUT)
 def calibration_by_food(spark, sf):
     """Foods with very many corrections, folded in ordered chunks."""
-    return calibration.calibrate(by_food(spark, sf), large=100)
+    return calibration.calibrate(by_food(spark, sf), chunk=150)
 
 
 @query("a16_calibration_stats", _with(FOLD.format(key="CAST(l_partkey AS VARCHAR)")) + """

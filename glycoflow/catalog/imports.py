@@ -27,9 +27,8 @@ GENERIC_HEADER = "Meter,Date,Blood Glucose,Units"
 
 def export_lines(spark, sf):
     """All glucose readings written as lines of one export file per subject, in three formats."""
-    log = event_log(spark, sf).filter(F.col("event_type") == "bsl")
-    k = event_rows(spark, sf).select(F.col("event_id").cast("string").alias("id"), "k")
-    rows = log.join(k, "id").withColumn("style", F.pmod("subject_id", F.lit(3)))
+    log = event_log(spark, sf, ["bsl"], keep=("k",))
+    rows = log.withColumn("style", F.pmod("subject_id", F.lit(3)))
     mgdl = F.floor(F.col("value") * 18.0182 + 0.5).cast("string")
     number, ts, kk = F.col("value").cast("string"), F.col("ts"), F.col("k")
     libre = F.concat(
@@ -160,10 +159,9 @@ dups AS (SELECT row_id, subject_id, e.id AS existing_id, CASE WHEN e.dt = 0 AND
 
 def import_rows(spark, sf):
     """Every reading again, later by up to six minutes and shifted in value."""
-    log = event_log(spark, sf).filter(F.col("event_type") == "bsl")
-    k = event_rows(spark, sf).select(F.col("event_id").cast("string").alias("id"), "k")
+    log = event_log(spark, sf, ["bsl"], keep=("k",))
     shift = (F.col("k") % 12) * 0.05 - F.when(F.col("k") % 25 == 0, F.lit(1.5)).otherwise(F.lit(0.0))
-    return log.join(k, "id").select(
+    return log.select(
         F.concat(F.lit("r"), "id").alias("row_id"),
         "subject_id",
         F.timestamp_millis(F.unix_millis("ts") + (F.col("k") % 10) * 40_000).alias("ts"),
@@ -213,17 +211,7 @@ SELECT strategy, outcome, CAST(count(*) AS BIGINT) AS n FROM (
 def conflict_strategies(spark, sf):
     rows = checked_rows(spark, sf).filter("is_valid")
     duplicates = found_duplicates(spark, sf)
-    out = None
-    for strategy in importing.STRATEGIES:
-        parts = {
-            "import": importing.rows_to_import(rows, duplicates, strategy).select("row_id"),
-            "skip": importing.rows_to_skip(rows, duplicates, strategy).select("row_id"),
-            "delete": importing.events_to_delete(duplicates, strategy),
-        }
-        for outcome, part in parts.items():
-            marked = part.select(F.lit(strategy).alias("strategy"), F.lit(outcome).alias("outcome"))
-            out = marked if out is None else out.unionByName(marked)
-    return out.groupBy("strategy", "outcome").agg(F.count(F.lit(1)).alias("n"))
+    return importing.strategy_counts(rows, duplicates)
 
 
 @query("a9_import_report", _with(LOG, ROWS) + """
@@ -295,10 +283,13 @@ def save_results(spark, sf):
 
 
 @query("s18_append_keys", _with(LOG) + """
-SELECT subject_id, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT (ms, event_type, value)) AS BIGINT) AS n_keys FROM log GROUP BY subject_id""")
+SELECT subject_id, CAST(2*(count(*) + count_if(event_type = 'insulin')) AS BIGINT) AS n,
+  CAST(count(*) + count_if(event_type = 'insulin') AS BIGINT) AS n_keys FROM log GROUP BY subject_id""")
 def append_keys(spark, sf):
-    """Deterministic ids: as many as there are distinct events."""
-    rows = tables.stamped(event_log(spark, sf), "2024-02-01")
+    """A log whose doses were taken twice at once, loaded twice: every event keeps one id."""
+    log = event_log(spark, sf)
+    log = log.unionByName(log.filter(F.col("event_type") == "insulin"))
+    rows = tables.stamped(log, "2024-02-01").unionByName(tables.stamped(log, "2024-02-02"))
     keys = rows.groupBy("subject_id", "id").agg(F.count(F.lit(1)).alias("n"))
     return keys.groupBy("subject_id").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_keys"))
 
@@ -329,22 +320,63 @@ def missing_keys(spark, sf):
 # -- JSON, CSV and payloads ------------------------------------------------------------------
 
 
+@query("st1_merged_batches", _with(LOG) + f"""
+SELECT id, ms + CASE WHEN event_id % 6 IN (2, 4) THEN 86400000 ELSE 0 END AS ts,
+  {r6('value + CASE event_id % 6 WHEN 0 THEN 1 WHEN 3 THEN 7 WHEN 4 THEN 20 ELSE 0 END')} AS value FROM log
+UNION ALL SELECT id || '-new', ms, {r6('value')} FROM log WHERE event_id % 6 = 5""")
+def merged_batches(spark, sf):
+    """Two batches merged into the log by id.
+
+    By event number modulo 6 the first brings a newer value (0), an older one (1), a move to
+    the next day (2), a value without a stamp, whose stored row has none either (3), a move
+    and a newer value at once (4) and a new event (5). The second repeats the first, after
+    an older state of the new events that must not win.
+    """
+    log = event_log(spark, sf, keep=("event_id",))
+    kind = F.col("event_id") % 6
+    stored = log.withColumn("updated_at", F.when(kind != 3, F.col("updated_at")))
+    day = F.expr("INTERVAL 1 DAY")
+    stamp = F.when(kind == 1, F.col("updated_at") - day).otherwise(F.col("updated_at") + day)
+    change = F.when(kind == 0, 1).when(kind == 1, 100).when(kind == 3, 7).when(kind == 4, 20)
+    first = stored.select(
+        F.when(kind == 5, F.concat("id", F.lit("-new"))).otherwise(F.col("id")).alias("id"),
+        F.when(kind.isin(2, 4), F.col("ts") + day).otherwise(F.col("ts")).alias("ts"),
+        (F.col("value") + F.coalesce(change, F.lit(0))).alias("value"),
+        stamp.alias("updated_at"), kind.alias("kind"),
+    )
+    stale = first.filter("kind = 5").select(
+        "id", "ts", (F.col("value") + 1).alias("value"), F.lit(None).cast("timestamp").alias("updated_at")
+    )
+    columns = ["id", "ts", "value", "updated_at"]
+    merged = tables.upsert(stored.select(*columns), first.select(*columns), ["id"], "updated_at")
+    again = first.select(*columns).unionByName(stale)
+    return tables.upsert(merged, again, ["id"], "updated_at").drop("updated_at")
+
+
 @query("s13_backup_restore", _with(LOG) + f"""
-SELECT id AS source_id, subject_id, ms AS ts, event_type, {r6('value')} AS value, descr AS description, {r6('aunits')} AS alcohol_units,
-  0 AS failed FROM log""")
+, d AS (SELECT *, event_id // 3 AS doc FROM log)
+SELECT doc, id AS source_id, subject_id, ms AS ts, event_type, {r6('value')} AS value, descr AS description, {r6('aunits')} AS alcohol_units,
+  NULL::VARCHAR AS error FROM d WHERE doc % 10 < 8
+UNION ALL SELECT DISTINCT doc, NULL::VARCHAR, NULL::BIGINT, NULL::BIGINT, NULL::VARCHAR, NULL::DOUBLE, NULL::VARCHAR, NULL::DOUBLE,
+  CASE doc % 10 WHEN 8 THEN 'NOT_JSON' ELSE 'NO_EVENTS' END FROM d WHERE doc % 10 >= 8""")
 def backup_restore(spark, sf):
-    """Each event goes out in a backup document of its own and comes back under a new id."""
-    docs = tables.export_documents(event_log(spark, sf))
-    body = F.to_json(
-        F.struct(
-            F.lit("1.0").alias("version"), F.lit("backup").alias("type"),
-            F.lit(1).alias("count"), F.array(F.struct(*docs.columns)).alias("events"),
-        )
+    """Three events in a document; one document in ten is cut off, one holds no events."""
+    log = event_log(spark, sf)
+    exported = tables.export_documents(log)
+    named = exported.select(F.struct(*exported.columns).alias("e"), F.expr("CAST(id AS BIGINT) div 3").alias("doc"))
+    grouped = named.groupBy("doc").agg(F.collect_list("e").alias("events"))
+    body = F.to_json(F.struct(F.lit("1.0").alias("version"), F.lit("backup").alias("type"), "events"))
+    docs = grouped.select(
+        "doc",
+        F.when(F.col("doc") % 10 == 8, F.substring(body, 1, 40))
+        .when(F.col("doc") % 10 == 9, F.concat(F.lit('{"version":"1.0","doc":'), "doc", F.lit("}")))
+        .otherwise(body)
+        .alias("body"),
     )
-    restored = tables.restore_documents(docs.select(body.alias("body")), "body")
+    restored = tables.restore_documents(docs, "body", run="first", carry=["doc"])
     return restored.select(
-        "source_id", "subject_id", "ts", "event_type", "value", "meta.description",
-        "meta.alcohol_units", "failed",
+        "doc", "source_id", "subject_id", "ts", "event_type", "value", "meta.description",
+        "meta.alcohol_units", "error",
     )
 
 
@@ -433,8 +465,7 @@ WHERE event_type = 'bsl' AND ms - m*60000 >= lo + 86400000""")
 def dexcom_payload(spark, sf):
     """Every reading as a payload of three entries; those before the second day drop out."""
     start, _ = log_span(spark, sf)
-    k = event_rows(spark, sf).select(F.col("event_id").cast("string").alias("id"), "k")
-    rows = event_log(spark, sf).filter(F.col("event_type") == "bsl").join(k, "id")
+    rows = event_log(spark, sf, ["bsl"], keep=("k",))
 
     def entry(minutes, factor):
         ms = F.unix_millis("ts") - minutes * 60_000

@@ -14,6 +14,7 @@ from glycoflow.functions import glucose, text
 from glycoflow.functions.alcohol import linear_percent_left
 from glycoflow.functions.text import event_label
 from glycoflow.operators import log as ops
+from glycoflow.values import LOOKBACK_HOURS
 
 FLAT = ["id", "subject_id", "ts", "event_type", "value"]
 FLAT_SQL = "id, subject_id, ms AS ts, event_type, " + r6("value") + " AS value"
@@ -38,16 +39,15 @@ SELECT {FLAT_SQL} FROM log, span
 WHERE ms BETWEEN lo + 7*86400000 AND lo + 14*86400000""")
 def time_range(spark, sf):
     start, _ = log_span(spark, sf)
-    rows = ops.between(
-        event_log(spark, sf), start + timedelta(days=7), start + timedelta(days=14)
-    )
+    since, until = start + timedelta(days=7), start + timedelta(days=14)
+    rows = ops.between(event_log(spark, sf, start=since, end=until), since, until)
     return rows.select(*FLAT)
 
 
 @query("s3_by_type", _with(LOG) + f"""
 SELECT {FLAT_SQL} FROM log WHERE event_type = 'insulin' ORDER BY ms DESC, id DESC LIMIT 30""")
 def by_type(spark, sf):
-    return ops.of_type(event_log(spark, sf), "insulin", 30).select(*FLAT)
+    return ops.of_type(event_log(spark, sf, ["insulin"]), "insulin", 30).select(*FLAT)
 
 
 @query("s4_recent_events", _with(LOG) + f"""
@@ -210,7 +210,7 @@ def confidence_bands(spark, sf):
 
 @query("p11_type_filter", _with(LOG) + f"SELECT {FLAT_SQL} FROM log WHERE event_type = 'exercise'")
 def type_filter(spark, sf):
-    return event_log(spark, sf).filter(F.col("event_type") == "exercise").select(*FLAT)
+    return event_log(spark, sf, ["exercise"]).select(*FLAT)
 
 
 @query("p12_event_window", _with(LOG, SPAN) + f"""
@@ -221,10 +221,10 @@ WHERE ms <= lo + 20*86400000 AND (
   (event_type = 'bsl' AND ms >= lo + 10*86400000 - 12*3600000))""")
 def event_window(spark, sf):
     start, _ = log_span(spark, sf)
-    rows = ops.event_window(
-        event_log(spark, sf), start + timedelta(days=10), start + timedelta(days=20)
-    )
-    return rows.select(*FLAT)
+    since, until = start + timedelta(days=10), start + timedelta(days=20)
+    widest = since - timedelta(hours=max(LOOKBACK_HOURS.values()))
+    log = event_log(spark, sf, ["insulin", "meal", "bsl"], widest, until)
+    return ops.event_window(log, since, until).select(*FLAT)
 
 
 _RULES = """

@@ -473,14 +473,7 @@ SELECT user_id, n, {r6('CASE WHEN n >= 3 THEN rise END')} AS rise, CAST(coalesce
 FROM (SELECT user_id, CAST(count(*) AS BIGINT) AS n, avg(value) FILTER (h BETWEEN 3 AND 7) - avg(value) FILTER (h BETWEEN 0 AND 3) AS rise
   FROM (SELECT e.user_id, l.value, l.ms//3600000%24 AS h FROM log l JOIN events e ON e.event_id = l.event_id WHERE l.event_type = 'bsl') WHERE h < 8 GROUP BY user_id)""")
 def overnight_pattern(spark, sf):
-    """Per user rather than per subject group, so that every finding occurs."""
-    users = table(spark, sf, "events").select(F.col("event_id").cast("string").alias("id"), "user_id")
-    readings = (
-        event_log(spark, sf)
-        .filter((F.col("event_type") == "bsl") & (F.hour("ts") < 8))
-        .join(users, "id")
-        .select(F.col("user_id").alias("subject_id"), "ts", "value")
-    )
+    readings = event_log(spark, sf, ["bsl"]).filter(F.hour("ts") < 8).select("subject_id", "ts", "value")
     found = tuning.overnight_patterns(readings)
     adjust = F.col("suggested_adjustments")
     return found.select(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glycoflow.functions import macros
@@ -28,6 +28,27 @@ def with_errors(results: DataFrame) -> DataFrame:
     )
 
 
+def where_equal(rows: DataFrame, newest: str, **values) -> DataFrame:
+    """Rows whose columns have the given values, newest first."""
+    for name, value in values.items():
+        rows = rows.filter(F.col(name) == value)
+    return rows.orderBy(F.desc(newest))
+
+
+def with_place(rows: DataFrame, newest: str, key: str) -> DataFrame:
+    """Number all rows newest first, without sorting them in one task.
+
+    Rows are numbered within their stamp; the rows of newer stamps are counted per stamp.
+    """
+    counts = rows.groupBy(newest).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy(F.desc(newest)).rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select(F.col(newest).alias("_stamp"), F.coalesce(before, F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy(newest).orderBy(key))
+    numbered = rows.withColumn("_within", within)
+    joined = numbered.join(counts, F.col(newest).eqNullSafe(F.col("_stamp")))
+    return joined.withColumn("place", F.col("_before") + F.col("_within")).drop("_stamp", "_before", "_within")
+
+
 def of_category(results: DataFrame, entries: DataFrame, category: str) -> DataFrame:
     """Results whose test entry is of one category."""
     ids = entries.filter(F.col("category") == category).select(F.col("id").alias("test_entry_id"))

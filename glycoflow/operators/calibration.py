@@ -2,41 +2,50 @@
 
 factor = ratio at first, then 0.3 * ratio + 0.7 * factor, rounded to three places each
 time. The rounding makes the order matter and the fold non-associative, so it is exact
-only if replayed; two routes do that:
-
-* foods with few corrections fold a sorted array inside one SQL expression;
-* foods with very many are cut into ordered chunks by a range partitioning. A chunk does
-  not know the factor it starts from, but the fold is monotone and shrinks differences by
-  0.7 a step, so after a short head every possible start has landed on a handful of
-  neighbouring values. The chunk keeps its head and, for those few values, where each of
-  them ends; joining the chunks of a food is then a fold over a few rows.
+only if replayed. Corrections are brought into order by a range partitioning and cut into
+chunks of bounded length. A chunk does not know the factor it starts from, but the fold is
+monotone and shrinks differences by 0.7 a step: after a head of 100 corrections every start
+up to 1e12 has landed on a handful of neighbouring values. A chunk keeps its head and, for
+those few values, where each of them ends; joining the chunks of a food is a fold over them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glycoflow.functions.jsmath import half_up
 
 ALPHA = 0.3
-LARGE = 50_000
-NARROW = 8
-
-CHUNKS = (
-    "food_type_id string, first_ts timestamp, first_seq long, head array<double>, "
-    "low long, ends array<double>, n long"
-)
+HEAD = 100
+CHUNK = 100_000
+BOUND = 1e12
 
 
 def ratios(corrections: DataFrame) -> DataFrame:
-    """(food_type_id, ts, seq, ratio); corrections of an estimate of 0 are ignored."""
-    return corrections.filter(F.col("estimated") != 0).select(
-        "food_type_id", "ts", "seq", (F.col("corrected") / F.col("estimated")).alias("ratio")
-    )
+    """(food_type_id, ts, seq, ratio) of the usable corrections.
+
+    Not usable: an estimate of 0, a missing value, and ratios that are not numbers or beyond
+    1e12. `unusable` counts them.
+    """
+    rows = _with_ratio(corrections)
+    return rows.filter(_usable()).select("food_type_id", "ts", "seq", "ratio")
+
+
+def unusable(corrections: DataFrame) -> DataFrame:
+    """(food_type_id, n) of the corrections that `ratios` leaves out."""
+    out = _with_ratio(corrections).filter(~_usable())
+    return out.groupBy("food_type_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _with_ratio(corrections: DataFrame) -> DataFrame:
+    estimated = F.when(F.col("estimated") != 0, F.col("estimated"))
+    return corrections.withColumn("ratio", F.col("corrected") / estimated)
+
+
+def _usable() -> Column:
+    ratio = F.col("ratio")
+    return F.coalesce(~F.isnan(ratio) & (F.abs(ratio) <= BOUND), F.lit(False))
 
 
 def _step(factor: Column, ratio: Column) -> Column:
@@ -49,106 +58,58 @@ def _fold(ratio_list: Column, start: Column) -> Column:
     return F.aggregate(ratio_list, start, _step)
 
 
-def calibrate(corrections: DataFrame, large: int = LARGE) -> DataFrame:
+def calibrate(corrections: DataFrame, chunk: int = CHUNK, head: int = HEAD) -> DataFrame:
     """Factor, sample count and last update per food."""
-    rows = ratios(corrections)
-    spread = rows.groupBy("food_type_id").agg(
-        F.count(F.lit(1)).alias("n"), F.min("ratio").alias("lowest"), F.max("ratio").alias("highest")
-    )
-    few = rows.join(spread.filter(F.col("n") <= large), "food_type_id", "left_semi")
-    many = rows.join(spread.filter(F.col("n") > large), "food_type_id")
-    nothing = F.lit(None).cast("double")
-    ordered = F.sort_array(F.collect_list(F.struct("ts", "seq", "ratio")))
-    small = (
-        few.groupBy("food_type_id")
-        .agg(ordered.alias("c"))
+    ordered = ratios(corrections).repartitionByRange("food_type_id", "ts", "seq", "ratio")
+    place = F.monotonically_increasing_id()
+    chunks = (
+        ordered.sortWithinPartitions("food_type_id", "ts", "seq", "ratio")
+        .withColumn("_place", place)
+        .groupBy(
+            "food_type_id", F.shiftright("_place", 33).alias("_part"),
+            F.expr(f"(_place & {(1 << 33) - 1}L) div {chunk}").alias("_chunk"),
+        )
+        .agg(F.sort_array(F.collect_list(F.struct("ts", "seq", "ratio"))).alias("c"))
         .select(
-            "food_type_id",
-            _fold(F.transform("c", lambda e: e["ratio"]), nothing).alias("correction_factor"),
-            F.size("c").cast("bigint").alias("sample_count"),
-            F.element_at("c", -1)["ts"].alias("last_updated"),
+            "food_type_id", F.get("c", F.lit(0)).alias("first"), F.size("c").alias("n"),
+            F.element_at("c", -1)["ts"].alias("last_ts"),
+            F.transform("c", lambda e: e["ratio"]).alias("ratios"),
         )
     )
-    chunks = (
-        many.repartitionByRange("food_type_id", "ts", "seq")
-        .sortWithinPartitions("food_type_id", "ts", "seq")
-        .select("food_type_id", "ts", "seq", "ratio", "lowest", "highest")
-        .mapInPandas(_chunk_maps, CHUNKS)
-    )
 
-    def through(factor: Column, chunk: Column) -> Column:
-        after_head = _fold(chunk["head"], factor)
-        at = (F.floor(after_head * 1000 + 0.5) - chunk["low"]).cast("int")
-        return F.when(F.size(chunk["ends"]) == 0, after_head).otherwise(F.get(chunk["ends"], at))
+    def thousandths(factor: Column) -> Column:
+        return F.floor(factor * 1000 + 0.5)
 
-    last = many.groupBy("food_type_id").agg(F.max("ts").alias("last_updated"))
-    in_order = F.sort_array(
-        F.collect_list(F.struct("first_ts", "first_seq", "head", "low", "ends"))
+    start = F.slice("ratios", 1, head)
+    bounded = chunks.select(
+        "food_type_id", "first", "n", "last_ts", start.alias("head"),
+        F.slice("ratios", F.lit(head + 1), F.greatest(F.col("n") - head, F.lit(0))).alias("rest"),
+        thousandths(_fold(start, F.lit(-BOUND))).alias("low"),
+        thousandths(_fold(start, F.lit(BOUND))).alias("high"),
     )
-    big = (
-        chunks.groupBy("food_type_id")
-        .agg(in_order.alias("c"), F.sum("n").alias("sample_count"))
-        .join(last, "food_type_id")
+    ends = F.transform(F.sequence("low", "high"), lambda s: _fold(F.col("rest"), s / F.lit(1000.0)))
+    mapped = bounded.select(
+        "food_type_id", "n", "last_ts",
+        F.struct("first", "head", "low", F.when(F.size("rest") > 0, ends).alias("ends")).alias("m"),
+    )
+
+    def through(factor: Column, m: Column) -> Column:
+        after_head = _fold(m["head"], factor)
+        at = (thousandths(after_head) - m["low"]).cast("int")
+        return F.when(m["ends"].isNull(), after_head).otherwise(F.get(m["ends"], at))
+
+    nothing = F.lit(None).cast("double")
+    return (
+        mapped.groupBy("food_type_id")
+        .agg(
+            F.sort_array(F.collect_list("m")).alias("c"), F.sum("n").alias("sample_count"),
+            F.max("last_ts").alias("last_updated"),
+        )
         .select(
-            "food_type_id",
-            F.aggregate("c", nothing, through).alias("correction_factor"),
-            "sample_count",
-            "last_updated",
+            "food_type_id", F.aggregate("c", nothing, through).alias("correction_factor"),
+            "sample_count", "last_updated",
         )
     )
-    return small.unionByName(big)
-
-
-class _Chunk:
-    """Ordered corrections of one food within one partition."""
-
-    def __init__(self, row) -> None:
-        self.food, self.ts, self.seq = row.food_type_id, row.ts, row.seq
-        self.low, self.high = _floor(row.lowest), _floor(row.highest) + 1
-        self.head: list[float] = []
-        self.ends: list[int] | None = None
-        self.n = 0
-
-    def add(self, ratio: float) -> None:
-        self.n += 1
-        if self.ends is None:
-            self.head.append(ratio)
-            self.low, self.high = _move(self.low, ratio), _move(self.high, ratio)
-            if self.high - self.low < NARROW:
-                self.ends = list(range(self.low, self.high + 1))
-        else:
-            moved = {s: _move(s, ratio) for s in set(self.ends)}
-            self.ends = [moved[s] for s in self.ends]
-
-    def row(self) -> tuple:
-        ends = [s / 1000 for s in self.ends or []]
-        return self.food, self.ts, self.seq, self.head, self.low, ends, self.n
-
-
-def _floor(ratio: float) -> int:
-    return int(ratio * 1000 // 1)
-
-
-def _move(state: int, ratio: float) -> int:
-    """One rounded step on a factor counted in thousandths."""
-    return int(((ratio * ALPHA + (state / 1000) * (1 - ALPHA)) * 1000 + 0.5) // 1)
-
-
-def _chunk_maps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = [part.strip().split(" ")[0] for part in CHUNKS.split(", ")]
-    chunk = None
-    for batch in batches:
-        done = []
-        for row in batch.itertuples(index=False):
-            if chunk is None or row.food_type_id != chunk.food:
-                if chunk is not None:
-                    done.append(chunk.row())
-                chunk = _Chunk(row)
-            chunk.add(row.ratio)
-        if done:
-            yield pd.DataFrame(done, columns=names)
-    if chunk is not None:
-        yield pd.DataFrame([chunk.row()], columns=names)
 
 
 def stats(calibration: DataFrame) -> DataFrame:

@@ -121,6 +121,23 @@ def events_to_delete(duplicates: DataFrame, strategy: str) -> DataFrame:
     return ids if strategy == "keep-import" else ids.limit(0)
 
 
+def strategy_counts(rows: DataFrame, duplicates: DataFrame) -> DataFrame:
+    """(strategy, outcome, n): what every strategy would do, from one look at the duplicates."""
+    hits = duplicates.select("row_id", F.lit(True).alias("_hit"))
+    dropped = F.col("strategy").isin("skip", "keep-existing") & F.col("_hit").isNotNull()
+    outcome = F.when(dropped, F.lit("skip")).otherwise(F.lit("import"))
+    strategies = F.explode(F.array(*[F.lit(s) for s in STRATEGIES]))
+    taken = (
+        rows.join(hits, "row_id", "left")
+        .withColumn("strategy", strategies)
+        .groupBy("strategy", outcome.alias("outcome"))
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    gone = events_to_delete(duplicates, "keep-import").agg(F.count(F.lit(1)).alias("n"))
+    gone = gone.select(F.lit("keep-import").alias("strategy"), F.lit("delete").alias("outcome"), "n")
+    return taken.unionByName(gone.filter(F.col("n") > 0))
+
+
 def apply_import(
     log: DataFrame, rows: DataFrame, duplicates: DataFrame, strategy: str
 ) -> DataFrame:

@@ -51,11 +51,15 @@ def asof_join(
         .agg(pick("_hit", "_tie").alias("_hit"))
         .withColumn("_block", block_of(F.col("_pos")))
     )
-    packed = left.select(
-        *by,
-        (F.unix_millis(left_ts) * sign).alias("_pos"),
-        F.struct(*[F.col(c) for c in left.columns]).alias("_left"),
-    ).withColumn("_block", block_of(F.col("_pos")))
+    # The search is for instants, so left rows at one instant are one row in it.
+    placed = left.withColumn("_at", F.unix_millis(left_ts) * sign)
+    packed = (
+        placed.filter(F.col("_at").isNotNull())
+        .select(*by, F.col("_at").alias("_pos"))
+        .distinct()
+        .withColumn("_left", F.lit(True))
+        .withColumn("_block", block_of(F.col("_pos")))
+    )
 
     tails = (
         hits.select(*by, "_block", "_pos", "_hit", F.lit(0).alias("_wanted"))
@@ -90,9 +94,9 @@ def asof_join(
     matched = merged.withColumn("_hit", F.last("_hit", ignorenulls=True).over(seen)).filter(
         F.col("_left").isNotNull()
     )
-    return matched.select(
-        *[F.col("_left").getField(c).alias(c) for c in left.columns],
-        *[F.col("_hit").getField(c).alias(c) for c in payload],
+    found = matched.select(*by, F.col("_pos").alias("_at"), "_hit")
+    return placed.join(found, [*by, "_at"], "left").select(
+        *[F.col(c) for c in left.columns], *[F.col("_hit").getField(c).alias(c) for c in payload]
     )
 
 

@@ -33,6 +33,27 @@ META = T.StructType(
     ]
 )
 
+# Stored and exported names of the metadata fields.
+META_NAMES = {
+    "type": "type",
+    "unit": "unit",
+    "source": "source",
+    "device": "device",
+    "is_finger_prick": "isFingerPrick",
+    "carbs": "carbs",
+    "calories": "calories",
+    "protein": "protein",
+    "fat": "fat",
+    "description": "description",
+    "photo_url": "photoUrl",
+    "alcohol_units": "alcoholUnits",
+    "alcohol_type": "alcoholType",
+    "intensity": "intensity",
+    "duration_minutes": "durationMinutes",
+}
+
+EXPORTED_META = T.StructType([T.StructField(META_NAMES[f.name], f.dataType) for f in META.fields])
+
 EVENTS = T.StructType(
     [
         T.StructField("id", T.StringType(), False),
@@ -68,6 +89,7 @@ BACKUP = T.StructType(
         T.StructField("type", T.StringType()),
         T.StructField("count", T.LongType()),
         T.StructField("events", T.ArrayType(EXPORTED_EVENT)),
+        T.StructField("broken", T.StringType()),
     ]
 )
 

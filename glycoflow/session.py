@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -39,17 +36,3 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
-
-
-def checkpoint_root(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by the cluster.
-
-    Only a local master, as in tests, may fall back to a temporary folder:
-    on a cluster such a folder would not be visible to the other machines.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    return os.path.join(tempfile.gettempdir(), f"glycoflow-{os.getpid()}")

@@ -15,6 +15,12 @@ from glycoflow.functions import dates, glucose
 from glycoflow.functions.jsmath import parse_number
 
 LINES_PER_BLOCK = 100_000
+#: Columns that a file may have; exports have about twenty.
+WIDTH = 64
+CSV_SCHEMA = ", ".join(f"c{i} string" for i in range(WIDTH))
+CSV_OPTIONS = {
+    "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true",
+}
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -42,17 +48,21 @@ def text_lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def fields(line: Column) -> Column:
-    """Fields of one CSV line: quotes may hold commas, "" is a quote, blanks are trimmed."""
-    raw = F.regexp_extract_all(
-        line, F.lit(r'(?:^|,)((?:[^,"]++|"(?:[^"]++|"")*+(?:"|$))*+)'), F.lit(1)
-    )
+def with_fields(lines: DataFrame) -> DataFrame:
+    """Adds `cells`, the fields of each line; a missing or empty field is ''.
+
+    Spark's CSV parser reads a line into a row of `WIDTH` texts. The parsed row is a column
+    of its own before its fields are taken, so a line is parsed once.
+    """
+    parsed = lines.withColumn("_csv", F.from_csv("value", CSV_SCHEMA, CSV_OPTIONS))
+    cells = F.array(*[F.trim(F.coalesce(F.col(f"_csv.c{i}"), F.lit(""))) for i in range(WIDTH)])
+    return parsed.withColumn("cells", cells).drop("_csv")
 
-    def clean(part: Column) -> Column:
-        unquoted = F.regexp_replace(part, r'"((?:[^"]++|"")*+)(?:"|$)', "$1")
-        return F.trim(F.when(F.contains(part, F.lit('"')), F.replace(unquoted, F.lit('""'), F.lit('"'))).otherwise(part))
 
-    return F.transform(raw, clean)
+def _used(cells: Column) -> Column:
+    """Cells up to the last one that is not empty."""
+    last = F.array_max(F.transform(cells, lambda x, i: F.when(x != "", i + 1).otherwise(0)))
+    return F.slice(cells, F.lit(1), F.coalesce(last, F.lit(0)))
 
 
 def _filled(lines: DataFrame) -> DataFrame:
@@ -60,21 +70,25 @@ def _filled(lines: DataFrame) -> DataFrame:
 
 
 def file_heads(lines: DataFrame) -> DataFrame:
-    """Per file its headers and the fields of its first data row."""
+    """Per file its headers and the fields of its first data row.
+
+    Of every file the two first lines that are not blank are kept, map-side.
+    """
     order = Window.partitionBy("file").orderBy("line_no")
     first_two = (
         _filled(lines).withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= 2)
     )
-    return first_two.groupBy("file").agg(
-        fields(F.max(F.when(F.col("_rn") == 1, F.col("value")))).alias("headers"),
-        fields(F.max(F.when(F.col("_rn") == 2, F.col("value")))).alias("first_cells"),
+    cells = with_fields(first_two)
+    return cells.groupBy("file").agg(
+        F.max(F.when(F.col("_rn") == 1, _used(F.col("cells")))).alias("headers"),
+        F.max(F.when(F.col("_rn") == 2, F.col("cells"))).alias("first_cells"),
     )
 
 
 def records(lines: DataFrame) -> DataFrame:
     """Data rows as (file, line_number, cells); the header is line 1, blank lines do not count.
 
-    Rows are numbered inside blocks of lines and offset by the counts of earlier blocks,
+    A row has as many cells as its file has headers. Rows are numbered inside blocks of lines and offset by the counts of earlier blocks,
     so one huge file is still numbered by many tasks.
     """
     filled = _filled(lines).withColumn("_block", F.expr(f"line_no div {LINES_PER_BLOCK}"))
@@ -93,7 +107,9 @@ def records(lines: DataFrame) -> DataFrame:
         .join(offsets, ["file", "_block"])
         .select("file", (F.col("_offset") + F.col("_rn")).alias("line_number"), "value")
         .filter(F.col("line_number") > 1)
-        .select("file", "line_number", fields(F.col("value")).alias("cells"))
+        .transform(with_fields)
+        .join(file_heads(lines).select("file", F.size("headers").alias("_width")), "file")
+        .select("file", "line_number", F.slice("cells", F.lit(1), F.col("_width")).alias("cells"))
     )
 
 

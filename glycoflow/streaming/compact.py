@@ -22,7 +22,9 @@ def compact_day(
     """Rewrite one day into files of about `rows_per_file` rows, in (subject, time) order.
 
     Ranges, not hashes, of (subject, time) are written, so a crowded subject is cut into as
-    many files as it needs. Readers keep seeing the old files until the write commits.
+    many files as it needs. The swap is not atomic: Spark removes the day's old files and then
+    moves the new ones there, and two writers of one day would lose each other's rows. Run it
+    where the ingest runs, between batches, and let readers of that day wait.
     """
     rows = spark.read.parquet(path).filter(F.col("event_date") == F.lit(day))
     n_files = max(1, -(-rows.count() // rows_per_file))

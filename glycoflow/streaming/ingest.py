@@ -2,46 +2,60 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.utils import AnalysisException
 
-from glycoflow.schemas import EXPORTED_EVENT
 from glycoflow.sources.tables import restore_lines, upsert
 from glycoflow.streaming.late import flag_late
 
 
 def event_files(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
-    """Exported event lines as they land in a folder."""
+    """Exported event lines as they land in a folder, each with its text as `raw`."""
     lines = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(folder)
-    return restore_lines(lines)
+    return restore_lines(lines, keep_raw=True)
 
 
-def landed_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """The same lines read as JSON with the fixed schema, in batch."""
-    return spark.read.schema(EXPORTED_EVENT).json(folder)
+def _at(spark: SparkSession, path: str):
+    """The file system of a path, and the path for it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
 
 def _existing(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
-    try:
-        return spark.read.schema(like.schema).parquet(path)
-    except AnalysisException:
-        return like.limit(0)
+    files, where = _at(spark, path)
+    return spark.read.schema(like.schema).parquet(path) if files.exists(where) else like.limit(0)
 
 
-def merge_batch(spark: SparkSession, batch: DataFrame, path: str) -> None:
+def merge_batch(
+    spark: SparkSession, batch: DataFrame, path: str, load: str | None = None,
+    rejected: str | None = None,
+) -> None:
     """Upsert one batch by id, rewriting only the days it touches.
 
-    Running a batch again gives the same table, so a restart after a lost executor or a
-    failed write is safe. The touched days are a short list of dates, kept in the plan.
+    Those are the days of its rows and the days where the table holds an event of the same
+    id, which may have moved. Rows without id, instant or type go to `rejected` (by default
+    a folder beside the table), under the name of the load. Running a batch again gives the
+    same tables, so a restart after a lost executor or a failed write is safe.
     """
-    rows = batch.withColumn("event_date", F.to_date("ts"))
-    days = [r[0] for r in rows.select("event_date").distinct().collect()]
-    if not days:
-        return
-    base = _existing(spark, path, rows).filter(F.col("event_date").isin(days))
-    merged = upsert(base.select(*rows.columns), rows, ["id"], "updated_at")
+    whole = F.col("id").isNotNull() & F.col("ts").isNotNull() & F.col("event_type").isNotNull()
+    (
+        batch.filter(~whole)
+        .withColumn("load", F.lit(load if load is not None else uuid.uuid4().hex))
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("load")
+        .parquet(rejected or f"{path.rstrip('/')}-rejected")
+    )
+    rows = batch.filter(whole).drop("raw").withColumn("event_date", F.to_date("ts"))
+    table = _existing(spark, path, rows).select(*rows.columns)
+    moved = table.join(rows.select("id").distinct(), "id", "left_semi").select("event_date")
+    days = moved.union(rows.select("event_date")).distinct()
+    merged = upsert(table.join(days, "event_date", "left_semi"), rows, ["id"], "updated_at")
+    left = merged.select("event_date").distinct()
+    emptied = [r[0] for r in days.join(left, "event_date", "left_anti").toLocalIterator()]
     (
         merged.withColumn("_hour", F.hour("ts"))
         .hint("rebalance", F.col("event_date"), F.col("_hour"))
@@ -52,23 +66,31 @@ def merge_batch(spark: SparkSession, batch: DataFrame, path: str) -> None:
         .partitionBy("event_date")
         .parquet(path)
     )
+    # A dynamic overwrite leaves a day alone from which all events have moved away.
+    for day in emptied:
+        files, where = _at(spark, f"{path}/event_date={day.isoformat()}")
+        files.delete(where, True)
 
 
 def start_ingest(
     events: DataFrame, path: str, checkpoint: str, late_path: str | None = None,
-    delay_minutes: int = 10,
+    delay_minutes: int = 10, ingest_ts: Column | None = None,
 ) -> StreamingQuery:
     """Keep the table up to date with a stream; stops when all files now there are read.
 
     Rows that came later than the delay also go to a side table, so that the instants they
-    make stale can be computed again.
+    make stale can be computed again. They came when their batch ran, unless `ingest_ts`
+    says otherwise.
     """
     spark = events.sparkSession
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        merge_batch(spark, batch, path)
+        # The batch's own time, and its name in the checkpoint that keeps count of batches.
+        query = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+        merge_batch(spark, batch, path, f"{query}-{batch_id}")
         if late_path is not None:
-            seen = flag_late(batch.withColumn("ingest_ts", F.col("updated_at")), delay_minutes)
+            stamped = batch.drop("raw").withColumn("ingest_ts", F.current_timestamp() if ingest_ts is None else ingest_ts)
+            seen = flag_late(stamped, delay_minutes)
             (
                 seen.filter("is_late")
                 .withColumn("batch_id", F.lit(batch_id))
@@ -98,7 +120,8 @@ def start_recent_view(
     newest = Window.partitionBy("subject_id").orderBy(F.desc("ts"), F.desc("id"))
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.dropDuplicates(["id"])
+        rows = batch.filter("id IS NOT NULL").drop("raw")
+        rows = upsert(rows.limit(0), rows, ["id"], "updated_at")
         before = _existing(spark, f"{path}/version={batch_id - 1}", rows)
         (
             before.join(rows.select("id"), "id", "left_anti")

@@ -13,8 +13,16 @@ from glycoflow.plans.state import all_contributions
 LONGEST_EFFECT_HOURS = 24
 
 
+def once(events: DataFrame, delay: str) -> DataFrame:
+    """Events with their watermark, each id once: a file delivered again changes nothing."""
+    marked = events.withWatermark("ts", delay)
+    if events.isStreaming:
+        return marked.dropDuplicatesWithinWatermark(["id"])
+    return marked.dropDuplicates(["id"])
+
+
 def _readings(events: DataFrame, delay: str) -> DataFrame:
-    return events.filter(F.col("event_type") == "bsl").withWatermark("ts", delay)
+    return once(events.filter(F.col("event_type") == "bsl"), delay)
 
 
 def glucose_windows(events: DataFrame, minutes: int = 5, delay: str = "10 minutes") -> DataFrame:

@@ -6,7 +6,7 @@ import sys
 import pytest
 
 import __spark_entry__ as driver
-from glycoflow.session import checkpoint_root
+from glycoflow import catalog
 
 SF = "/root/testdata/sf0.001"
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
@@ -19,24 +19,15 @@ def duck():
     return duck(SF)
 
 
-@pytest.mark.parametrize("name", sorted(driver.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_query_equals_sql(spark, duck, name):
     from compare import difference
 
-    df = driver.queries()[name](spark, SF)
+    df = catalog.queries()[name](spark, SF)
     rows = [tuple(r) for r in df.collect()]
-    result = duck.execute(driver.oracle_sql()[name])
+    result = duck.execute(catalog.oracle_sql()[name])
     assert difference(rows, df.columns, result.fetchall(), [d[0] for d in result.description]) is None
 
 
 def test_entry(spark):
     assert driver.entry(spark).limit(1).count() == 1
-
-
-def test_checkpoint_folder_comes_from_the_session(spark):
-    assert checkpoint_root(spark)
-    spark.conf.set("spark.checkpoint.dir", "/shared")
-    try:
-        assert checkpoint_root(spark) == "/shared"
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")

@@ -84,13 +84,22 @@ def test_ordered_chunks_replay_the_fold_exactly(spark, wild):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     spark.conf.set("spark.sql.shuffle.partitions", "13")
     try:
-        got = {r.food_type_id: (r.correction_factor, r.sample_count) for r in calibration.calibrate(df, large=20).collect()}
+        got = {r.food_type_id: (r.correction_factor, r.sample_count) for r in calibration.calibrate(df, chunk=130).collect()}
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert got == {name: (js_fold(ratios), len(ratios)) for name, ratios in foods_.items()}
 
 
+def test_unusable_corrections_are_left_out_and_counted(spark):
+    rows = [("f", at(i), i, e, c) for i, (e, c) in enumerate([(10.0, 12.0), (10.0, None), (10.0, float("nan")), (None, 3.0), (0.0, 3.0), (1e-300, 9.0), (10.0, 8.0)])]
+    df = spark.createDataFrame(rows, CORRECTIONS)
+    for chunk in (1, 3, 1000):
+        got = calibration.calibrate(df, chunk=chunk).first()
+        assert (got.correction_factor, got.sample_count) == (1.08, 2)
+    assert calibration.unusable(df).first().n == 5
+
+
 def test_food_dimension(spark):
     dim = foods.foods(spark)
     assert dim.count() == 69 and foods.categories(dim).count() == 8

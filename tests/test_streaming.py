@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from conftest import BASE, at, event, utc_ms
 from glycoflow.operators.grid import Grid
 from glycoflow.operators.log import recent_per_subject
-from glycoflow.sources.tables import export_documents
+from glycoflow.sources.tables import export_documents, restore_lines
 from glycoflow.streaming import ingest, late, windows
 
 
@@ -79,7 +79,7 @@ def test_ingest_is_incremental_and_repeatable(spark, make_log, landed, tmp_path)
 
     def load():
         stream = ingest.event_files(spark, str(folder), 2)
-        ingest.start_ingest(stream, table, check, side).awaitTermination()
+        ingest.start_ingest(stream, table, check, side, ingest_ts=F.col("updated_at")).awaitTermination()
         spark.catalog.refreshByPath(table)
         return spark.read.parquet(table)
 
@@ -99,6 +99,46 @@ def test_ingest_is_incremental_and_repeatable(spark, make_log, landed, tmp_path)
     assert spark.read.parquet(table).count() == len(rows) + 1
 
 
+def test_merge_keeps_moves_and_sets_aside(spark, make_log, tmp_path):
+    path = str(tmp_path / "t")
+
+    def stored():
+        spark.catalog.refreshByPath(path)
+        return {r.id: (r.ts.day, r.value, str(r.event_date)[-2:]) for r in spark.read.parquet(path).collect()}
+
+    def row(id, minutes, value, stamp):
+        r = event(id, at(minutes), "bsl", value)
+        return (*r[:7], None if stamp is None else at(stamp), False)
+
+    ingest.merge_batch(spark, make_log([row("a", 0, 1, 10), row("b", 5, 2, 10), row("c", 1440 * 3, 3, None)]), path, "one")
+    assert stored() == {"a": (1, 1.0, "01"), "b": (1, 2.0, "01"), "c": (4, 3.0, "04")}
+    # b is older than what is stored, a and c move; c leaves its day empty; a missing stamp stays below all others.
+    moved = make_log([row("a", 1440 * 4, 4, 20), row("b", 5, 9, 5), row("c", 1440 * 4, 5, 1)])
+    for _ in range(2):
+        ingest.merge_batch(spark, moved, path, "two")
+        assert stored() == {"a": (5, 4.0, "05"), "b": (1, 2.0, "01"), "c": (5, 5.0, "05")}
+    ingest.merge_batch(spark, make_log([row("a", 0, 8, None)]), path, "three")
+    assert stored()["a"] == (5, 4.0, "05")
+    broken = spark.read.text(str(_lines(tmp_path, ["{not json", '{"id":"n1","eventType":"bsl","timestamp":"never"}'])))
+    for load in ("four", "five", "five"):
+        ingest.merge_batch(spark, restore_lines(broken, keep_raw=True), path, load)
+    aside = spark.read.parquet(path + "-rejected")
+    assert sorted((r.load, r.raw[:4]) for r in aside.collect()) == [(x, y) for x in ("five", "four") for y in ('{"id', "{not")]
+    assert len(stored()) == 3
+
+
+def _lines(folder, lines):
+    path = folder / "lines.json"
+    path.write_text("\n".join(lines))
+    return path
+
+
+def test_delivered_again_counts_once(spark, make_log):
+    rows = sample(60)
+    once, twice = (windows.glucose_windows(make_log(r)) for r in (rows, rows + rows))
+    assert {tuple(r) for r in once.collect()} == {tuple(r) for r in twice.collect()}
+
+
 def _sub(folder):
     sub = folder.parent / "more"
     sub.mkdir(exist_ok=True)

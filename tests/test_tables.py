@@ -42,6 +42,34 @@ def test_restored_documents_get_new_ids(spark, tmp_path):
     assert not {r.id for r in rows} & {"x", "y"}
 
 
+def test_exported_metadata_comes_back_whole(spark):
+    meta = {"alcoholUnits": 2.5, "alcoholType": "wine", "isFingerPrick": True, "items": [{"name": "rice"}], "heartRateAvg": 90}
+    doc = {"version": "1.0", "events": [{"id": "m", "timestamp": "2025-01-01T00:00:00Z", "eventType": "meal", "value": 3, "metadata": meta}]}
+    docs = spark.createDataFrame([(json.dumps(doc), 7), ("{broken", 8), ('{"version":"1.0"}', 9), (None, 10)], "body string, owner long")
+    rows = tables.restore_documents(docs, "body", run="r", subject=F.col("owner"), carry=["owner"]).collect()
+    assert {r.owner: r.error for r in rows} == {7: None, 8: "NOT_JSON", 9: "NO_EVENTS", 10: "NOT_JSON"}
+    one = next(r for r in rows if r.owner == 7)
+    assert (one.subject_id, one.meta.alcohol_units, one.meta.alcohol_type, one.meta.is_finger_prick) == (7, 2.5, "wine", True)
+    assert json.loads(one.metadata_json) == meta
+    again = tables.restore_documents(docs, "body", run="r").collect()
+    assert one.id in {r.id for r in again}
+    assert one.id not in {r.id for r in tables.restore_documents(docs, "body").collect()}
+    out = json.loads(tables.export_documents(tables.restore_documents(docs, "body").filter("error IS NULL").withColumn("subject_id", F.lit(1))).first().metadata)
+    assert out == meta
+
+
+def test_missing_stamps_lose_and_do_not_erase(spark):
+    base = spark.createDataFrame([("a", 1.0, 5), ("b", 2.0, None), ("c", 3.0, 5)], "id string, v double, seq int")
+    changes = spark.createDataFrame([("a", 9.0, None), ("b", 8.0, None), ("c", 7.0, 4), ("d", 6.0, None), ("d", 6.0, None)], "id string, v double, seq int")
+    got = tables.upsert(base, changes, ["id"], "seq")
+    assert sorted(map(tuple, got.collect())) == [("a", 1.0, 5), ("b", 8.0, None), ("c", 3.0, 5), ("d", 6.0, None)]
+
+
+def test_doses_at_once_keep_their_own_ids(spark, make_log):
+    rows = make_log([event("x", at(0), "insulin", 5.0, type="bolus"), event("y", at(0), "insulin", 5.0, type="basal"), event("z", at(0), "insulin", 5.0, type="basal")])
+    assert tables.stamped(rows, at(0)).select("id").distinct().count() == 3
+
+
 def test_csv_export_quotes_only_where_needed(spark, make_log, tmp_path):
     path = tables.write_csv(mini(make_log).coalesce(1), str(tmp_path / "out"), dt.date(2025, 2, 1))
     assert path.endswith("out-2025-02-01.csv")

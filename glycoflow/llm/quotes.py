@@ -70,8 +70,8 @@ def _paths(links: DataFrame) -> DataFrame:
     rows = links.select("conv_id", "turn", F.col("parent").alias("upper"), F.array("turn").alias("path"))
     rows = base.kept_table(rows)
     while rows.where("upper IS NOT NULL").limit(1).count():
-        above = rows.select("conv_id", F.col("turn").alias("at"), F.col("upper").alias("next"), F.col("path").alias("before"))
-        met = rows.join(above, (rows.conv_id == above.conv_id) & (F.col("upper") == F.col("at")), "left").drop(above.conv_id)
+        above = rows.select(F.col("conv_id").alias("of"), F.col("turn").alias("at"), F.col("upper").alias("next"), F.col("path").alias("before"))
+        met = rows.join(above, (F.col("conv_id") == F.col("of")) & (F.col("upper") == F.col("at")), "left")
         # A message that no row stands for is the first of its thread.
         stretch = F.when(F.col("upper").isNull(), F.col("path")).when(F.col("at").isNull(), F.concat(F.array("upper"), F.col("path"))).otherwise(F.concat("before", "path"))
         rows = base.kept_table(met.select("conv_id", "turn", F.when(F.col("at").isNotNull(), F.col("next")).alias("upper"), stretch.alias("path")))

@@ -72,10 +72,10 @@ def test_line_rules_on_repeated_and_null_rows(spark, docs_of):
 
 
 def test_depleted_documents_are_rejected(spark, docs_of):
-    common = "\n".join(f"common line {i} with a few more words in it" for i in range(4))
+    common = "\n".join(" ".join(f"{w}{i}" for w in "a common line with few more words in it now".split()) for i in range(4))
     own = [" ".join(f"own{i}x{k}" for k in range(25 if i % 2 else 60)) for i in range(40)]
     rows = lines.judged(docs_of([common + "\n" + x for x in own])).collect()
-    assert all(r.n_line_words == 36 and not r.base_failed for r in rows)
+    assert all(r.n_line_words == 40 and not r.base_failed for r in rows)
     assert all(r.kept == (r.doc_id % 2 == 0) for r in rows)
 
 
@@ -106,7 +106,7 @@ def test_decontamination_without_broadcast_and_on_empty_tables(spark, docs_of, m
     bench = benchmark_of(spark, [(1, item), (2, "a b c d e f g h i")])
     docs = docs_of([item, "x a b c d e f g h i y", "a b c d e f g other i", "other b c d e f g h other"])
     want = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, bench).collect()}
-    assert want == {(0, 1), (1, 2), (2, 2)}
+    assert want == {(0, 1), (1, 2)}
     monkeypatch.setattr(decontam, "BROADCAST_ROWS", 0)
     assert {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, bench).collect()} == want
     assert decontam.contaminated(docs.where("false"), bench).count() == 0

@@ -170,6 +170,26 @@ def default_axis(spark, sf):
     return curves.default_axis(pixels(spark, sf).withColumn("device", device), end)
 
 
+@query("p15_given_axis", _with(PIXELS, SPAN) + f"""
+SELECT series_id, CASE WHEN series_id % 2 = 0 THEN lo ELSE hi - h*3600000::BIGINT END AS start_ts, hi AS end_ts,
+  {r6("CASE WHEN series_id % 5 = 0 THEN 1.5 WHEN dexcom THEN 40.0 ELSE 2.2 END::DOUBLE")} AS bsl_min,
+  {r6("CASE WHEN dexcom THEN 400.0 ELSE 13.3 END::DOUBLE")} AS bsl_max, CASE WHEN dexcom THEN 'mg/dL' ELSE 'mmol/L' END AS unit
+FROM (SELECT *, CASE WHEN dexcom THEN CASE WHEN n < 50 THEN 3 WHEN n < 100 THEN 6 WHEN n < 200 THEN 12 ELSE 24 END
+    ELSE CASE WHEN n < 100 THEN 8 WHEN n < 200 THEN 12 ELSE 24 END END AS h
+  FROM (SELECT series_id, series_id % 3 = 1 AS dexcom, count(*) AS n FROM px GROUP BY series_id)), span""")
+def given_axis(spark, sf):
+    """Even series have their start given and every fifth its lower bound; the rest is guessed."""
+    start, end = log_span(spark, sf)
+    named = F.when(F.col("series_id") % 3 == 1, F.lit("dexcom")).otherwise(F.lit("freestyle-libre"))
+    traced = pixels(spark, sf).withColumn("device", named)
+    given = traced.select("series_id").distinct().select(
+        "series_id",
+        F.when(F.col("series_id") % 2 == 0, F.lit(start).cast("timestamp")).alias("start_ts"),
+        F.when(F.col("series_id") % 5 == 0, F.lit(1.5)).alias("bsl_min"),
+    )
+    return curves.given_or_default(given, curves.default_axis(traced, end))
+
+
 # -- resampling ----------------------------------------------------------------------------
 
 POINTS = """

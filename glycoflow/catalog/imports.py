@@ -225,6 +225,13 @@ def import_report(spark, sf):
     )
 
 
+@query("a9_preview_rows", _with(LOG, ROWS) + f"""
+SELECT row_id, {r6('value')} AS value FROM (SELECT *, row_number() OVER (ORDER BY row_id) AS n FROM checked WHERE is_valid) WHERE n <= 5""")
+def preview_rows(spark, sf):
+    """The first five valid rows, as the preview of an import shows them."""
+    return importing.sample_rows(checked_rows(spark, sf), "row_id").select("row_id", "value")
+
+
 @query("a9_commit_counts", _with(LOG, ROWS) + """
 SELECT CAST(count_if(is_valid AND d.row_id IS NULL) AS BIGINT) AS imported, CAST(count_if(is_valid AND d.row_id IS NOT NULL) AS BIGINT) AS skipped,
   CAST(count_if(NOT is_valid) AS BIGINT) AS failed, CAST(count_if(is_valid AND d.row_id IS NOT NULL) AS BIGINT) AS duplicates_handled
@@ -390,9 +397,9 @@ def document_load(spark, sf):
 
 
 @query("s15_export_manifest", """
-SELECT '1.0' AS version, 'backup' AS type, CAST(count(*) AS BIGINT) AS count FROM events""")
+SELECT '1.0' AS version, 'backup' AS type, '2024-02-01T10:00:00.000Z' AS "createdAt", CAST(count(*) AS BIGINT) AS count FROM events""")
 def export_manifest(spark, sf):
-    return tables.export_manifest(event_log(spark, sf), "backup")
+    return tables.export_manifest(event_log(spark, sf), "backup", "2024-02-01 10:00:00")
 
 
 _ISO = "strftime(make_timestamp(ms*1000), '%Y-%m-%dT%H:%M:%S.') || lpad(CAST(ms % 1000 AS VARCHAR), 3, '0') || 'Z'"
@@ -527,6 +534,50 @@ def reading_normalisation(spark, sf):
     )
 
 
+def food_docs(spark, sf):
+    """Two items per part; one reply in four has no totals, one in five is no JSON."""
+    n, price = F.col("p_partkey"), F.col("p_retailprice")
+
+    def item(name, share, sure):
+        macros_ = F.struct((price * share).alias("calories"), (F.col("p_size") * share).alias("carbs"))
+        return F.struct(name.alias("name"), (n % 7).cast("double").alias("quantity"), F.lit("g").alias("unit"), macros_.alias("macros"), sure.alias("confidence"))
+
+    items = F.array(item(F.col("p_name"), 0.25, n % 10 / 10.0), item(F.col("p_brand"), 0.5, F.lit(0.5)))
+    total = F.when(n % 4 != 0, F.struct(price.alias("calories"), F.col("p_size").cast("double").alias("carbs")))
+    body = F.to_json(F.struct(items.alias("items"), total.alias("totalMacros"), F.lit(0.9).alias("confidence")))
+    fenced = F.concat(F.lit("```json\n"), body, F.lit("\n```"))
+    text = F.when(n % 5 == 0, F.lit("Sorry, no food.")).when(n % 2 == 0, fenced).otherwise(body)
+    return table(spark, sf, "part").select("p_partkey", text.alias("text"))
+
+
+@query("s23_food_items", f"""
+SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'NO_ITEMS' END AS error, CASE WHEN p_partkey % 5 <> 0 THEN i::BIGINT END AS pos,
+  CASE WHEN p_partkey % 5 <> 0 THEN CASE i WHEN 0 THEN p_name ELSE p_brand END END AS name,
+  {r6('CASE WHEN p_partkey % 5 <> 0 THEN p_retailprice*(i + 1)/4 END::DOUBLE')} AS calories,
+  {r6('CASE WHEN p_partkey % 5 <> 0 THEN p_size*(i + 1)/4.0 END::DOUBLE')} AS carbs,
+  {r6('CASE WHEN p_partkey % 5 <> 0 THEN CASE i WHEN 0 THEN p_partkey % 10 / 10.0 ELSE 0.5 END END::DOUBLE')} AS confidence,
+  {r6('CASE WHEN p_partkey % 5 = 0 THEN NULL WHEN p_partkey % 4 <> 0 THEN p_retailprice ELSE p_retailprice*0.75 END::DOUBLE')} AS total_calories,
+  {r6('CASE WHEN p_partkey % 5 <> 0 THEN 0.0 END::DOUBLE')} AS total_fat
+FROM part, (SELECT unnest([0, 1]) AS i) WHERE p_partkey % 5 <> 0 OR i = 0""")
+def food_items(spark, sf):
+    rows = payloads.food_replies(food_docs(spark, sf), "text")
+    return rows.select(
+        "p_partkey", "error", "pos", "name", "calories", "carbs", "confidence", "total_calories", "total_fat"
+    )
+
+
+@query("s23_label_replies", f"""
+SELECT p_partkey, CASE WHEN p_partkey % 3 <> 0 THEN p_type END AS serving_size,
+  {r6('CASE WHEN p_partkey % 3 <> 0 THEN p_size END::DOUBLE')} AS servings, {r6('CASE WHEN p_partkey % 3 = 1 THEN p_retailprice END::DOUBLE')} AS calories,
+  {r6('NULL::DOUBLE')} AS sodium, CASE WHEN p_partkey % 3 <> 1 THEN 'NO_MACROS' END AS error FROM part""")
+def label_replies(spark, sf):
+    n = F.col("p_partkey") % 3
+    macros_ = F.when(n == 1, F.struct(F.col("p_retailprice").alias("calories")))
+    body = F.to_json(F.struct(F.col("p_type").alias("servingSize"), F.col("p_size").alias("servingsPerContainer"), macros_.alias("macros")))
+    docs = table(spark, sf, "part").select("p_partkey", F.when(n == 0, F.lit("unreadable")).otherwise(body).alias("text"))
+    return payloads.label_replies(docs, "text").select("p_partkey", "serving_size", "servings", "calories", "sodium", "error")
+
+
 @query("s21_food_composition", f"""
 SELECT CAST(p_partkey AS VARCHAR) AS source_reference, p_name || ' rice' AS description,
   {groups_sql("(p_name || ' rice')", values.CATEGORY_KEYWORDS, 'other')} AS category,

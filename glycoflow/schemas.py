@@ -152,7 +152,41 @@ DEXCOM_PAYLOAD = T.ArrayType(
     )
 )
 
-# `value` and `confidence` stay strings so that "5.6abc" and numbers both arrive.
+# A model's reply to a picture of food, and to one of a label.
+FOOD_REPLY = T.StructType(
+    [
+        T.StructField(
+            "items",
+            T.ArrayType(
+                T.StructType(
+                    [
+                        T.StructField("name", T.StringType()),
+                        T.StructField("quantity", T.DoubleType()),
+                        T.StructField("unit", T.StringType()),
+                        T.StructField("macros", MACROS),
+                        T.StructField("confidence", T.DoubleType()),
+                    ]
+                )
+            ),
+        ),
+        T.StructField("totalMacros", MACROS),
+        T.StructField("confidence", T.DoubleType()),
+    ]
+)
+
+LABEL_REPLY = T.StructType(
+    [
+        T.StructField("servingSize", T.StringType()),
+        T.StructField("servingsPerContainer", T.DoubleType()),
+        T.StructField("macros", MACROS),
+        T.StructField("fiber", T.DoubleType()),
+        T.StructField("sugar", T.DoubleType()),
+        T.StructField("sodium", T.DoubleType()),
+        T.StructField("confidence", T.DoubleType()),
+    ]
+)
+
+# `value` stays a string so that "5.6abc" and numbers both arrive; `confidence` keeps its type.
 READINGS_PAYLOAD = T.StructType(
     [
         T.StructField("source", T.StringType()),
@@ -164,7 +198,7 @@ READINGS_PAYLOAD = T.StructType(
                         T.StructField("value", T.StringType()),
                         T.StructField("unit", T.StringType()),
                         T.StructField("timestamp", T.StringType()),
-                        T.StructField("confidence", T.StringType()),
+                        T.StructField("confidence", T.VariantType()),
                         T.StructField("rawText", T.StringType()),
                     ]
                 )

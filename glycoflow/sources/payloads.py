@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glycoflow import schemas
-from glycoflow.functions import glucose
+from glycoflow.functions import glucose, macros
 from glycoflow.functions.jsmath import clamp, or_default, parse_number
 from glycoflow.functions.text import food_category, trend_direction
 
@@ -159,7 +159,9 @@ def normalised_readings(replies: DataFrame, as_of) -> DataFrame:
         .when(value > 35, F.lit("mg/dL"))
         .otherwise(F.lit("mmol/L"))
     )
-    confidence = F.col("r.confidence").try_cast("double")
+    # A number counts; anything else, a number sent as text too, does not.
+    is_number = F.rlike(F.schema_of_variant("r.confidence"), F.lit("^(BIGINT|DECIMAL|DOUBLE|FLOAT|INT)"))
+    confidence = F.when(is_number, F.try_variant_get("r.confidence", "$", "double"))
     return (
         raw.select(
             *others,
@@ -181,6 +183,47 @@ def normalised_readings(replies: DataFrame, as_of) -> DataFrame:
     )
 
 
+def food_replies(docs: DataFrame, text: str) -> DataFrame:
+    """Replies to a picture of food: one row per item, or one with an error.
+
+    Totals that a reply leaves out are the sums of its items.
+    """
+    parsed = docs.withColumn("_reply", parse_reply(F.col(text), schemas.FOOD_REPLY))
+    others = [c for c in docs.columns if c != text]
+    items = parsed.select(
+        *others, F.col("_reply.items").alias("_items"), F.col("_reply.totalMacros").alias("_total"),
+        F.col("_reply.confidence").alias("reply_confidence"),
+    )
+
+    def total(name: str) -> Column:
+        amounts = F.transform("_items", lambda x: F.coalesce(x["macros"][name], F.lit(0.0)))
+        summed = F.aggregate(amounts, F.lit(0.0), lambda a, b: a + b)
+        return F.coalesce(F.col("_total").getField(name), summed).alias(f"total_{name}")
+
+    totals = [total(name) for name in macros.FIELDS]
+    error = F.when(F.col("_items").isNull(), F.lit("NO_ITEMS"))
+    rows = items.select(*others, "reply_confidence", *totals, error.alias("error"), F.posexplode_outer("_items").alias("pos", "i"))
+    return rows.select(
+        *others, "error", "pos", "i.name", "i.quantity", "i.unit",
+        *[F.col(f"i.macros.{n}").alias(n) for n in macros.FIELDS],
+        F.col("i.confidence").alias("confidence"), "reply_confidence", *[f"total_{n}" for n in macros.FIELDS],
+    )
+
+
+def label_replies(docs: DataFrame, text: str) -> DataFrame:
+    """Replies to a picture of a label, with an error where there are no macros."""
+    r = F.col("_reply")
+    parsed = docs.withColumn("_reply", parse_reply(F.col(text), schemas.LABEL_REPLY))
+    return parsed.select(
+        *[c for c in docs.columns if c != text],
+        r["servingSize"].alias("serving_size"), r["servingsPerContainer"].alias("servings"),
+        *[r["macros"][n].alias(n) for n in macros.FIELDS],
+        r["fiber"].alias("fiber"), r["sugar"].alias("sugar"), r["sodium"].alias("sodium"),
+        r["confidence"].alias("confidence"),
+        F.when(r["macros"].isNull(), F.lit("NO_MACROS")).alias("error"),
+    )
+
+
 # -- food composition --------------------------------------------------------------
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from glycoflow.llm import base
 
+#: Both look at the first two tokens, which `paired` builds on.
 MASKS = ("11101011", "11001111")
 SPAN = 8
 #: Tokens in a row that are compared, and substitutions that they may hold.
@@ -25,45 +26,68 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), NOT_TOKEN), "")
 
 
-def _seeds(hashes: str) -> Column:
-    """Seeds of all places under the first mask, then under the second."""
-    starts = F.sequence(F.lit(0), F.size(hashes) - SPAN)
+def _seed(hashes: str, place: Column, mask: str) -> Column:
+    picked = [k for k, c in enumerate(mask) if c == "1"]
+    return F.xxhash64(*(F.get(hashes, place + k) for k in picked), F.lit(mask))
 
-    def under(mask: str) -> Column:
-        picked = [k for k, c in enumerate(mask) if c == "1"]
-        return F.transform(starts, lambda i: F.xxhash64(*(F.get(hashes, i + k) for k in picked), F.lit(mask)))
 
-    return F.concat(*(under(mask) for mask in MASKS))
+def hashed(rows: DataFrame, key: str) -> DataFrame:
+    """key and the hashes of its tokens, where there are enough for a seed."""
+    split = rows.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias(key), tokens(F.col("text")).alias("tokens"))
+    return split.select(key, F.transform("tokens", lambda t: F.xxhash64(t)).alias("hashes")).where(F.size("hashes") >= SPAN)
+
+
+def paired(rows: DataFrame, key: str) -> DataFrame:
+    """key, hashes, place and pair: the hash of the two tokens there, which both masks look at."""
+    pairs = F.zip_with("hashes", F.slice("hashes", F.lit(2), F.size("hashes") - 1), lambda a, b: F.xxhash64(a, b))
+    found = rows.select(key, "hashes", F.posexplode(pairs).alias("place", "pair"))
+    return found.where(F.col("place") <= F.size("hashes") - SPAN)
 
 
 def seeded(rows: DataFrame, key: str) -> DataFrame:
-    """key, hashes of its tokens, place and seed; for each place and mask."""
-    split = rows.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias(key), tokens(F.col("text")).alias("tokens"))
-    hashed = split.select(key, F.transform("tokens", lambda t: F.xxhash64(t)).alias("hashes")).where(F.size("hashes") >= SPAN)
-    found = hashed.select(key, "hashes", F.posexplode(_seeds("hashes")).alias("nth", "seed"))
-    return found.select(key, "hashes", (F.col("nth") % (F.size("hashes") - (SPAN - 1))).alias("place"), "seed")
+    """key, hashes, place, pair and seed; for each place and mask."""
+    seeds = F.array(*(_seed("hashes", F.col("place"), mask) for mask in MASKS))
+    return rows.select(key, "hashes", "place", "pair", F.explode(seeds).alias("seed"))
+
+
+def _hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, hashes, item_id, item and diagonal of every hit."""
+    texts = hashed(docs, "doc_id")
+    items = hashed(benchmark, "item_id").distinct()
+    seeds = seeded(paired(items, "item_id"), "item_id").select("item_id", F.col("hashes").alias("item"), F.col("place").alias("at"), "pair", "seed")
+    diagonal = (F.col("place") - F.col("at")).alias("diagonal")
+    if seeds.count() <= BROADCAST_ROWS:
+        # Places whose two tokens follow each other nowhere in the benchmark have no hit.
+        possible = paired(texts, "doc_id").join(F.broadcast(seeds.select("pair").distinct()), "pair", "left_semi")
+        return seeded(possible, "doc_id").drop("pair").join(F.broadcast(seeds.drop("pair")), "seed").select("doc_id", "hashes", "item_id", "item", diagonal)
+    # Seeds alone are shuffled, and tokens fetched for the hits.
+    met = seeded(paired(texts, "doc_id"), "doc_id").select("doc_id", "place", "seed").join(seeds.select("item_id", "at", "seed"), "seed")
+    hits = met.select("doc_id", "item_id", diagonal).distinct()
+    return hits.join(texts, "doc_id").join(items.withColumnRenamed("hashes", "item"), "item_id")
+
+
+def _compared(token: Column, wanted: Column) -> Column:
+    return F.when(token.isNull(), -STRETCH).when(token == wanted, 1).otherwise(0)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Documents that hold thirteen tokens in a row of a benchmark item, up to two of them substituted.
 
-    Tokens are runs of letters and digits in lower case. An item of eight to twelve tokens has to be there as a whole,
-    with two thirteenths substituted, rounded down; a shorter one is not searched. Rows without doc_id or item_id are
-    left out, null texts have no tokens, repeated rows count once, and other columns are ignored.
+    Tokens are runs of letters and digits in lower case. An item of eight to twelve tokens has to be there as it is; a
+    shorter one is not searched. Rows without doc_id or item_id are left out, null texts have no tokens, repeated rows
+    count once, and other columns are ignored.
 
     Returns per pair doc_id, item_id, n_matched (most equal tokens of a stretch) and n_tokens (length of the stretch).
     """
-    items = seeded(benchmark, "item_id").select("item_id", F.col("hashes").alias("item"), F.col("place").alias("at"), "seed").distinct()
-    if items.count() <= BROADCAST_ROWS:
-        items = F.broadcast(items)
-    hits = seeded(docs, "doc_id").join(items, "seed").select("doc_id", "hashes", "item_id", "item", (F.col("place") - F.col("at")).alias("diagonal"))
-    equal = F.transform("item", lambda x, k: F.when(F.get("hashes", k + F.col("diagonal")) == x, 1).otherwise(0))
+    hits = _hits(docs, benchmark)
+    # No stretch reaches beyond the document.
+    equal = F.transform("item", lambda x, k: _compared(F.get("hashes", k + F.col("diagonal")), x))
     length = F.least(F.lit(STRETCH), F.size("item"))
     compared = hits.select("doc_id", "item_id", equal.alias("equal"), length.alias("n_tokens"))
     starts = F.sequence(F.lit(1), F.size("equal") - F.col("n_tokens") + 1)
     sums = F.transform(starts, lambda i: F.aggregate(F.slice(F.col("equal"), i, F.col("n_tokens")), F.lit(0), lambda a, b: a + b))
     best = compared.select("doc_id", "item_id", "n_tokens", F.array_max(sums).alias("n_matched"))
-    enough = F.col("n_matched") >= F.col("n_tokens") - F.floor(F.col("n_tokens") * SUBSTITUTIONS / STRETCH)
+    enough = F.col("n_matched") >= F.col("n_tokens") - F.when(F.col("n_tokens") == STRETCH, SUBSTITUTIONS).otherwise(0)
     pairs = best.where(enough).groupBy("doc_id", "item_id").agg(F.max("n_matched").alias("n_matched"), F.max("n_tokens").alias("n_tokens"))
     return pairs.select("doc_id", "item_id", F.col("n_matched").cast("bigint"), F.col("n_tokens").cast("bigint"))
 
@@ -96,12 +120,12 @@ bs AS ({_sql_seeds("b", "item_id")}),
 hits AS (SELECT DISTINCT doc_id, item_id, ds.i - bs.i AS g FROM ds JOIN bs USING (mask, seed)),
 eq AS (
   SELECT doc_id, item_id, g, k, len(b.ws) AS n,
-         CASE WHEN k + g >= 0 AND k + g < len(d.ws) AND d.ws[k + g + 1] = b.ws[k + 1] THEN 1 ELSE 0 END AS e
+         CASE WHEN k + g < 0 OR k + g >= len(d.ws) THEN -13 WHEN d.ws[k + g + 1] = b.ws[k + 1] THEN 1 ELSE 0 END AS e
   FROM hits JOIN d USING (doc_id) JOIN b USING (item_id), unnest(range(0, len(b.ws))) AS t(k)
 ),
 st AS (
   SELECT doc_id, item_id, k, least(13, n) AS w, sum(e) OVER (PARTITION BY doc_id, item_id, g ORDER BY k ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS m FROM eq
 )
 SELECT doc_id, item_id, max(m)::BIGINT AS n_matched, max(w)::BIGINT AS n_tokens
-FROM st WHERE k >= w - 1 AND m >= w - (2 * w) // 13 GROUP BY doc_id, item_id
+FROM st WHERE k >= w - 1 AND m >= w - CASE WHEN w = 13 THEN 2 ELSE 0 END GROUP BY doc_id, item_id
 """

@@ -14,8 +14,8 @@ U64 = np.uint64
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 SPACES = np.zeros(256, dtype=bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
-#: Positions of a winnowed buffer share a 64-bit key with the upper bits of the hash.
-POSITION_BITS = 26
+#: Positions share a 64-bit key with the upper bits of the hash; longer buffers are winnowed in stretches.
+POSITION_BITS = 24
 
 
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -37,6 +37,12 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted different values; faster than a hash table where most differ."""
+    x = np.sort(x)
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
+
+
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -125,18 +131,21 @@ def winnowed(values: np.ndarray, bounds: np.ndarray, k: int, length: int, base:
     Returns the window starts (ascending), the anchor's position of each, and the hash of all k-grams by position.
     """
     grams = windows(values, k, base)
+    width = length - k + 1
     mask = U64((1 << POSITION_BITS) - 1)
-    if len(values) > int(mask):
-        raise ValueError("a batch is too long to winnow at once")
-    keys = (grams & ~mask) | (mask - np.arange(len(grams), dtype=U64))
-    smallest = sliding_minimum(keys, length - k + 1)
+    anchors = np.empty(max(0, len(grams) - width + 1), dtype=np.int64)
+    step = (1 << POSITION_BITS) - width
+    for start in range(0, len(anchors), step):
+        some = grams[start : start + step + width - 1]
+        keys = (some & ~mask) | (mask - np.arange(len(some), dtype=U64))
+        anchors[start : start + step] = start + (mask - (sliding_minimum(keys, width) & mask)).astype(np.int64)
     sizes = np.diff(bounds)
     inside = np.zeros(len(values) + 1, dtype=np.int8)
     fits = sizes >= length
     inside[bounds[:-1][fits]] += 1
     inside[bounds[1:][fits] - length + 1] -= 1
-    at = np.flatnonzero(np.cumsum(inside[: len(smallest)]) > 0)
-    return at, (mask - (smallest[at] & mask)).astype(np.int64), grams
+    at = np.flatnonzero(np.cumsum(inside[: len(anchors)]) > 0)
+    return at, anchors[at], grams
 
 
 def covered(starts: np.ndarray, length: int, size: int) -> np.ndarray:

@@ -5,7 +5,7 @@ import re
 import numpy as np
 import pytest
 
-from glycoflow.llm import base, runs, substring, suffix_dedup, suffixes
+from glycoflow.llm import base, rolling, runs, substring, suffix_dedup, suffixes
 from glycoflow.llm.substring import spread
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -131,6 +131,22 @@ def test_suffix_array_and_common_prefixes():
         assert common[i] == same
 
 
+def test_winnowing_in_stretches(monkeypatch):
+    rng = np.random.default_rng(3)
+    values = rng.integers(0, 9, 5000).astype(np.uint64)
+    bounds = np.array([0, 700, 700, 730, 4000, 5000])
+    whole = rolling.winnowed(values, bounds, 5, 30, rolling.BASES[0])
+    monkeypatch.setattr(rolling, "POSITION_BITS", 8)
+    parts = rolling.winnowed(values, bounds, 5, 30, rolling.BASES[0])
+    assert (whole[0] == parts[0]).all()
+    at, anchors, grams = parts
+    for w, a in zip(at.tolist(), anchors.tolist(), strict=True):
+        assert w <= a <= w + 25
+        high = grams[w : w + 26] >> np.uint64(8)
+        assert a - w == 25 - int(np.argmin(high[::-1]))
+    assert set(at.tolist()) == {i for b, e in zip(bounds[:-1], bounds[1:], strict=True) for i in range(b, e - 29)}
+
+
 def test_query_has_the_contract(spark):
     out = substring.op1_substring_dedup(spark, "/root/testdata/sf0.001")
     assert out.columns[:4] == ["doc_id", "n_words", "n_removed", "kept_sha256"]

@@ -146,7 +146,7 @@ def _written(batches: Iterator[pa.RecordBatch], folder: str, name: str, end: int
     files, inner = store(path)
     sink = writer = None
     for batch in batches:
-        for piece in rolling.batches(batch, "text", 1 << 20):
+        for piece in rolling.batches(batch, "text", tokens.TEXT_BYTES):
             if writer is None:
                 files.create_dir(inner.rpartition("/")[0], recursive=True)
                 sink = files.open_output_stream(inner, compression=None)

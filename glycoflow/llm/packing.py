@@ -89,7 +89,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], size: int, name: str, end: int, k
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "nth", "ids"]
     for batch in batches:
-        for part in rolling.batches(batch, "text", 1 << 20):
+        for part in rolling.batches(batch, "text", tokens.TEXT_BYTES):
             rows = []
             for doc, ids in zip(part.column("doc_id").to_pylist(), tokens.encoded(part, name, end), strict=True):
                 total = len(ids) // 4

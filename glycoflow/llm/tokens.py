@@ -2,61 +2,119 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
 
+from glycoflow.llm import rolling
+
 TOKENIZER = "byte_bpe_50k.json"
 END = 2
-#: Words kept in the cache of one Python worker, and the longest of them.
-CACHED, LONGEST = 300_000, 48
+#: Words kept in the cache of one Python worker (about 230 MB), and the longest of them.
+CACHED, LONGEST = 1_000_000, 48
+#: Bytes of text that are encoded at once.
+TEXT_BYTES = 4 << 20
+#: New words that are encoded in one text.
+TOGETHER = 8192
 #: Where a blank stands next to white space, or a special token may be, a text is encoded in one go.
-UNSAFE = re.compile(r"\s | \s|<\|endoftext\|>|\x00")
+UNSAFE = re.compile(r"\s | \s|<\|endoftext\|>")
 
 
 class Encoder:
     """Encodes whole texts.
 
     Byte-level tokenizers cut a text into words before anything else, and a blank between two visible characters always
-    starts a word. So a text may be encoded piece by piece, cut before such blanks, and each different piece only once.
+    starts a word. So a batch of texts is cut before such blanks, each different piece is encoded once, and its ids are
+    put wherever it stands. Pieces are told apart by a 64-bit hash and their length. New pieces are encoded as the
+    lines of one text; a line end between visible characters, or before a blank, is a token of its own. Texts for other
+    tokenizers, and those in which blanks meet other white space, are encoded in one go.
     """
 
     def __init__(self, path: str, end: int) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, models
 
         self.tokenizer = Tokenizer.from_file(path)
         self.end = np.array([end], dtype="<u4").tobytes()
-        self.known: dict[str, bytes] = {"": b""}
+        self.known: dict[bytes, bytes] = {}
+        kind = json.loads(self.tokenizer.to_str())
+        before = kind.get("pre_tokenizer") or {}
+        model = kind["model"]
+        self.by_word = (
+            before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+            and not kind.get("normalizer") and not kind.get("post_processor") and model.get("type") == "BPE" and not model.get("dropout")
+        )
+        if self.by_word:
+            # The library's own cache of words only costs where every word is new.
+            merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+            options = ("unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges")
+            self.tokenizer.model = models.BPE(model["vocab"], merges, cache_capacity=0, **{k: model[k] for k in options if model.get(k)})
+        line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.line_end = line_end[0] if len(line_end) == 1 else None
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text and the end id, as little-endian unsigned 32-bit numbers; a null text is empty."""
-        texts = ["" if x is None else x for x in texts]
-        pieces = [None if UNSAFE.search(x) else x.replace(" ", "\x00 ").split("\x00") for x in texts]
+        return [np.array(x.ids, dtype="<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learned(self, pieces: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        alone, lines = [], []
+        for piece in pieces:
+            (alone if self.line_end is None or b"\n" in piece or piece[-1:].isspace() else lines).append(piece)
+        for at in range(0, len(lines), TOGETHER):
+            some = lines[at : at + TOGETHER]
+            ids = self._ids([b"\n".join(some).decode()])[0]
+            cuts = np.flatnonzero(np.frombuffer(ids, dtype="<u4") == self.line_end) * 4
+            if len(cuts) != len(some) - 1:
+                alone += some
+                continue
+            yield from zip(some, (ids[a:b] for a, b in zip([0, *(cuts + 4).tolist()], [*cuts.tolist(), len(ids)], strict=True)), strict=True)
+        for at in range(0, len(alone), TOGETHER):
+            yield from zip(alone[at : at + TOGETHER], self._ids([x.decode() for x in alone[at : at + TOGETHER]]), strict=True)
+
+    def _of_pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of different pieces."""
         if len(self.known) > CACHED:
-            self.known = {"": b""}
+            self.known = {}
         known = self.known
-        new = list(set().union(*(p for p in pieces if p is not None)) - known.keys())
-        long = {}
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for piece, ids in zip(some, self._ids(some), strict=True):
-                (known if len(piece) <= LONGEST else long)[piece] = ids
-        out = []
-        for text, parts in zip(texts, pieces, strict=True):
-            if parts is None:
-                ids = self._ids([text])[0]
-            elif long:
-                ids = b"".join([known[p] if p in known else long[p] for p in parts])
-            else:
-                ids = b"".join(map(known.__getitem__, parts))
-            out.append(ids + self.end)
+        out = [known.get(p) for p in pieces]
+        new = [i for i, x in enumerate(out) if x is None]
+        learned = dict(self._learned([pieces[i] for i in new]))
+        for i in new:
+            piece = pieces[i]
+            out[i] = learned[piece]
+            if len(piece) <= LONGEST:
+                known[piece] = out[i]
+        return out
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text and the end id, as little-endian unsigned 32-bit numbers; a null text is empty."""
+        plain = ["" if x is None else x for x in texts.to_pylist()]
+        whole = [i for i, x in enumerate(plain) if not self.by_word or UNSAFE.search(x)]
+        data, bounds = rolling.flat(texts)
+        cut = data == 0x20
+        cut[bounds[:-1][np.diff(bounds) > 0]] = True
+        starts = np.flatnonzero(cut)
+        if len(whole) == len(plain) or not len(starts):
+            return [x + self.end for x in self._ids(plain)]
+        ends = np.concatenate((starts[1:], [len(data)]))
+        hashes = rolling.word_hashes(data, starts, ends, rolling.BASES[0]) ^ (ends - starts).astype(np.uint64)
+        _, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        raw = data.tobytes()
+        ids = self._of_pieces([raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)])
+        sizes = np.array([len(x) // 4 for x in ids], dtype=np.int64)
+        flat = np.frombuffer(b"".join(ids), dtype="<u4")
+        counts = sizes[inverse]
+        stops = np.cumsum(counts)
+        source = np.repeat((np.cumsum(sizes) - sizes)[inverse] - (stops - counts), counts) + np.arange(int(stops[-1]))
+        every = flat[source]
+        edges = np.concatenate(([0], stops))[np.searchsorted(starts, bounds)].tolist()
+        out = [every[a:b].tobytes() + self.end for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        for i, x in zip(whole, self._ids([plain[i] for i in whole]), strict=True):
+            out[i] = x + self.end
         return out
 
 
@@ -71,4 +129,4 @@ def encoder(name: str = TOKENIZER, end: int = END) -> Encoder:
 
 
 def encoded(part: pa.RecordBatch, name: str, end: int) -> list[bytes]:
-    return encoder(name, end).encode(part.column("text").to_pylist())
+    return encoder(name, end).encode(part.column("text"))

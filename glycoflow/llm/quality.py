@@ -59,8 +59,10 @@ def statistics(part: pa.RecordBatch) -> np.ndarray:
     hashes = rolling.word_hashes(data, starts, ends, rolling.BASES[0])
     grams = {2: rolling.windows(hashes, 2, rolling.BASES[0]), 5: rolling.windows(hashes, 5, rolling.BASES[0])}
     line_ends = np.flatnonzero(data == 10)
-    line_starts = np.union1d(bounds[:-1][sizes > 0], line_ends + 1)
-    line_starts = line_starts[line_starts < len(data)]
+    begins = np.zeros(len(data) + 1, dtype=bool)
+    begins[bounds[:-1][sizes > 0]] = True
+    begins[line_ends + 1] = True
+    line_starts = np.flatnonzero(begins[:-1])
     line_stops = np.minimum(np.concatenate((line_starts[1:], [len(data)])), len(data))
     lines = rolling.stretch_hashes(rolling.prefix_sums(data.astype(np.uint64) + np.uint64(1), rolling.BASES[1]), line_starts, line_stops, rolling.BASES[1])
     line_cuts = np.searchsorted(line_starts, bounds)
@@ -76,10 +78,10 @@ def statistics(part: pa.RecordBatch) -> np.ndarray:
         for k, gram in grams.items():
             if n > k:
                 place = 17 if k == 2 else 18
-                out[i, place] = 1 - len(np.unique(gram[a : b - k + 1])) / (n - k + 1)
+                out[i, place] = 1 - len(rolling.distinct(gram[a : b - k + 1])) / (n - k + 1)
         first, last = line_cuts[i], line_cuts[i + 1]
         count = last - first
-        out[i, 19] = 1 - len(np.unique(lines[first:last])) / max(1, count)
+        out[i, 19] = 1 - len(rolling.distinct(lines[first:last])) / max(1, count)
         out[i, 20] = np.log1p(n / max(1, count))
     out[:, 21] = odd
     return out

@@ -48,7 +48,7 @@ def _extended(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Rec
                     at.append(spread(before + (seeds >> 10), seeds & 1023))
             if not at:
                 continue
-            at = np.unique(np.concatenate(at))
+            at = rolling.distinct(np.concatenate(at))
             number = np.searchsorted(cuts, at, side="right") - 1
             columns = []
             for b in rolling.BASES:

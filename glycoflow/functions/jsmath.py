@@ -40,14 +40,6 @@ def clamp(x: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), x))
 
 
-def millis(ts: Column) -> Column:
-    return F.unix_millis(ts)
-
-
-def minutes_between(later_ms: Column, earlier_ms: Column) -> Column:
-    return (later_ms - earlier_ms).cast("double") / F.lit(60000.0)
-
-
 def once(x: Column, then) -> Column:
     """`then(x)` with x evaluated a single time, however often `then` mentions it."""
     return F.get(F.transform(F.array(x), then), 0)

@@ -86,14 +86,6 @@ def accuracy_metrics(results: DataFrame, entries: DataFrame) -> DataFrame:
     )
 
 
-def metrics_for(
-    metrics: DataFrame, provider: str | None = None, category: str | None = None
-) -> DataFrame:
-    return metrics.filter(
-        (F.col("provider") == (provider or "all")) & (F.col("category") == (category or "all"))
-    )
-
-
 def correction_patterns(corrections: DataFrame) -> DataFrame:
     """Mean over- and underestimate per category; both are divided by all corrections.
 

@@ -33,7 +33,7 @@ def categories(dim: DataFrame) -> DataFrame:
 
 
 def with_food(rows: DataFrame, dim: DataFrame, key: str = "food_id") -> DataFrame:
-    """Food attributes by id; NULL for unknown ids. The dimension is small and fixed."""
+    """Food attributes by id; NULL for unknown ids. The planner broadcasts a small dimension."""
     renamed = dim.select(
         F.col("id").alias(key),
         F.col("name").alias("food_name"),
@@ -41,7 +41,7 @@ def with_food(rows: DataFrame, dim: DataFrame, key: str = "food_id") -> DataFram
         "density",
         *[F.col(n).alias(f"{n}_per_gram") for n in macros.FIELDS],
     )
-    return rows.join(F.broadcast(renamed), key, "left")
+    return rows.join(renamed, key, "left")
 
 
 def _boundary_starts(name: str) -> list[str]:

@@ -131,11 +131,6 @@ MAPPING_PATTERNS = {
     "unit": ["unit", "units"],
     "device": ["device", "meter", "source"],
 }
-EXPORT_COLUMNS = [
-    "id", "timestamp", "eventType", "value", "unit", "source", "device", "isFingerPrick",
-    "insulinType", "carbs", "protein", "fat", "calories", "description",
-    "createdAt", "updatedAt",
-]
 
 # -- traced graphs: value digits and confidence per device --------------------
 GRAPH_PROFILES = {

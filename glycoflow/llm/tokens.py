@@ -18,18 +18,39 @@ END = 2
 #: Words kept in the cache of one Python worker (about 230 MB), and the longest of them.
 CACHED, LONGEST = 1_000_000, 48
 #: Bytes of text that are encoded at once.
-TEXT_BYTES = 4 << 20
+TEXT_BYTES = 3 << 20
 #: New words that are encoded in one text.
 TOGETHER = 8192
 #: Where a blank stands next to white space, or a special token may be, a text is encoded in one go.
 UNSAFE = re.compile(r"\s | \s|<\|endoftext\|>")
+SPECIAL = b"<|endoftext|>"
+
+
+def _table(*values: int) -> np.ndarray:
+    out = np.zeros(256, dtype=bool)
+    out[list(values)] = True
+    return out
+
+
+SPACES = rolling.SPACES
+#: Bytes of white space and those that may begin, or end, white space beyond ASCII.
+NEAR = SPACES | _table(*range(0x1C, 0x20), 0xC2, 0xE1, 0xE2, 0xE3)
+NEAR_BEFORE = SPACES | _table(*range(0x1C, 0x20), *range(0x80, 0x8B), 0x9F, 0xA0, 0xA8, 0xA9, 0xAF)
+PLAIN = _table(*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B))
+STOP = _table(ord("."), ord(","))
+VISIBLE = ~NEAR
+
+
+def _owners(bounds: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Numbers of the texts that hold the places, each once."""
+    return rolling.distinct(np.searchsorted(bounds, places, side="right") - 1)
 
 
 class Encoder:
     """Encodes whole texts.
 
     Byte-level tokenizers cut a text into words before anything else, and a blank between two visible characters always
-    starts a word. So a batch of texts is cut before such blanks, each different piece is encoded once, and its ids are
+    starts a word. So a batch of texts is cut there, and at line ends and stops, each different piece is encoded once, and its ids are
     put wherever it stands. Pieces are told apart by a 64-bit hash and their length. New pieces are encoded as the
     lines of one text; a line end between visible characters, or before a blank, is a token of its own. Texts for other
     tokenizers, and those in which blanks meet other white space, are encoded in one go.
@@ -90,16 +111,39 @@ class Encoder:
                 known[piece] = out[i]
         return out
 
+    def _whole(self, texts: pa.Array, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Numbers of the texts to encode in one go."""
+        if not self.by_word:
+            return np.arange(len(texts))
+        blank = np.flatnonzero(data == 0x20)
+        after, before = data[np.minimum(blank + 1, len(data) - 1)], data[np.maximum(blank - 1, 0)]
+        suspect = _owners(bounds, blank[NEAR[after] | NEAR_BEFORE[before]])
+        if SPECIAL in data.tobytes():
+            suspect = np.arange(len(texts))
+        return np.array([i for i in suspect.tolist() if UNSAFE.search(texts[i].as_py() or "")], dtype=np.int64)
+
+    def _cuts(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Where pieces start: at texts and blanks, around a line end before something visible, and at a full stop or
+        comma between a letter or digit and white space. All of these start a word for the tokenizer."""
+        cut = data == 0x20
+        shut = np.zeros(len(data), dtype=bool)
+        ends = bounds[1:][np.diff(bounds) > 0] - 1
+        shut[ends] = True
+        lines = np.flatnonzero((data[:-1] == 0x0A) & ~shut[:-1] & VISIBLE[data[1:]])
+        cut[lines] = True
+        cut[lines + 1] = True
+        stops = np.flatnonzero(PLAIN[data[:-2]] & STOP[data[1:-1]] & SPACES[data[2:]]) if len(data) > 2 else np.zeros(0, dtype=np.int64)
+        cut[stops[~shut[stops]] + 1] = True
+        cut[bounds[:-1][np.diff(bounds) > 0]] = True
+        return np.flatnonzero(cut)
+
     def encode(self, texts: pa.Array) -> list[bytes]:
         """The ids of each text and the end id, as little-endian unsigned 32-bit numbers; a null text is empty."""
-        plain = ["" if x is None else x for x in texts.to_pylist()]
-        whole = [i for i, x in enumerate(plain) if not self.by_word or UNSAFE.search(x)]
         data, bounds = rolling.flat(texts)
-        cut = data == 0x20
-        cut[bounds[:-1][np.diff(bounds) > 0]] = True
-        starts = np.flatnonzero(cut)
-        if len(whole) == len(plain) or not len(starts):
-            return [x + self.end for x in self._ids(plain)]
+        whole = self._whole(texts, data, bounds) if len(data) else []
+        if len(whole) == len(texts) or not len(data):
+            return [x + self.end for x in self._ids([x or "" for x in texts.to_pylist()])]
+        starts = self._cuts(data, bounds)
         ends = np.concatenate((starts[1:], [len(data)]))
         hashes = rolling.word_hashes(data, starts, ends, rolling.BASES[0]) ^ (ends - starts).astype(np.uint64)
         _, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
@@ -113,7 +157,7 @@ class Encoder:
         every = flat[source]
         edges = np.concatenate(([0], stops))[np.searchsorted(starts, bounds)].tolist()
         out = [every[a:b].tobytes() + self.end for a, b in zip(edges[:-1], edges[1:], strict=True)]
-        for i, x in zip(whole, self._ids([plain[i] for i in whole]), strict=True):
+        for i, x in zip(whole.tolist(), self._ids([texts[i].as_py() or "" for i in whole.tolist()]), strict=True):
             out[i] = x + self.end
         return out
 

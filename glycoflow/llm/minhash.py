@@ -6,9 +6,10 @@ functions over fewer buckets, so that a bucket holds about three shingles or mor
 levels has registers of both. Documents meet where four registers in a row, a band, agree.
 
 A pair of similarity 0.75 agrees in none of the 40 bands with a chance of 3e-7. Documents of equal sets are one
-representative beforehand. Those that meet in a band are first compared with the smallest of the band, so that a large
-group of copies costs one comparison each. Pairs that this leaves in different components are found by what both have
-different from that smallest one (see ``_apart``), which loses none.
+representative beforehand. Those that meet in a band do so by way of the smallest of the band; a document is first
+compared with the one of these that it meets most often, so that a large group of copies costs one comparison each.
+Pairs that this leaves in different components are found by what both have different from the smallest document of a
+component (see ``_apart``), which loses none.
 A comparison starts with the collision-corrected estimate from the registers (a pair of similarity 0.75 falls below
 0.55 with a chance of 2e-9) and is settled on the full sets.
 """
@@ -20,7 +21,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glycoflow.llm import base, rolling
@@ -34,6 +35,8 @@ LEVELS = np.array([1, 2, 5, 10, 20, 40, 80, 160])
 MANTISSA = 10
 EMPTY = 0xFFFF
 LEAST_ESTIMATE = 0.55
+#: Around a component where as many documents meet, all of their pairs are looked at.
+FEW = 16
 SKETCH = "doc_id long, n long, high long, low long, level int, registers binary"
 SETS = "doc_id long, n long, high long, low long, items array<long>"
 LOWER = np.arange(256, dtype=np.uint8)
@@ -50,7 +53,7 @@ def shingle_sets(part: pa.RecordBatch, size: int = SHINGLE) -> Iterator[np.ndarr
     sums = rolling.prefix_sums(words, rolling.BASES[1])
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
         if b - a >= size:
-            yield np.unique(grams[a : b - size + 1])
+            yield rolling.distinct(grams[a : b - size + 1])
         elif b > a:
             yield rolling.stretch_hashes(sums, np.array([a]), np.array([b]), rolling.BASES[1])
         else:
@@ -156,40 +159,61 @@ def _confirmed(pairs: DataFrame, sketches: DataFrame, sets: DataFrame) -> DataFr
 
 
 def _apart(led: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) in different components that may be similar, among the documents compared with one leader.
-
-    Let D be the difference of a set from the leader's. Sets x and y of |x| + |y| = S are similar if their own
-    difference is at most S / 7, that is, if Dx and Dy have at least (|Dx| + |Dy| - S / 7) / 2 elements in common. One
-    of the two, x, is not in the leader's component, so |Dx| exceeds (|x| + |leader|) / 7. This leaves at least
-    (|Dy| + (|leader| - |y|) / 7) / 2 elements of Dy, and |Dx| - |x| / 3 and at least one of Dx. With the elements of
-    each D in one order, rare ones first, similar pairs share one of the first |D| - least + 1 elements. Copies with
-    edits of their own do not, however many they are.
+    """Pairs (a, b) in different components that may be similar.
+
+    Documents that share a leader meet around the component that most of them are in, whose smallest document is the
+    hub. Where few meet, all their pairs in different components are looked at.
+    Otherwise, let D be the difference of a set from the hub's. Sets x and y of |x| + |y| = S are similar if their own
+    difference is at most S / 7, that is, if Dx and Dy have at least (|Dx| + |Dy| - S / 7) / 2 elements in common. One of
+    the two, x, is not in the hub's component, so |Dx| exceeds (|x| + |hub|) / 7, or x is similar to the hub itself.
+    This leaves at least (|Dy| + (|hub| - |y| + 1) / 7) / 2 elements of Dy, and |Dx| - |x| / 3 and at least one of Dx.
+    With the elements of each D in one order, rare ones first, similar pairs share one of the first |D| - least + 1
+    elements. Copies with edits of their own do not, however many they are.
     """
     named = labels.select(F.col("node").alias("b"), F.col("component").alias("own"))
     leads = labels.select(F.col("node").alias("a"), F.col("component").alias("whole"))
-    pairs = led.join(named, "b", "left").join(leads, "a", "left")
-    pairs = pairs.select("a", "b", F.coalesce("own", "b").alias("own"), F.coalesce("whole", "a").alias("whole"))
-    split = pairs.where("own <> whole").groupBy("a").agg(F.count("*").alias("outside"))
-    one = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("items").alias("ia"))
+    found = led.join(named, "b", "left").join(leads, "a", "left")
+    found = found.select("a", F.coalesce("whole", "a").alias("whole"), "b", F.coalesce("own", "b").alias("own"))
+    meeting = found.select("a", "b", "own").union(found.select("a", "a", "whole")).distinct()
+    shares = meeting.groupBy("a", "own").agg(F.count("*").alias("share"))
+    largest = shares.groupBy("a").agg(F.max(F.struct("share", (-F.col("own")).alias("own"))).alias("best"))
+    around = meeting.join(largest.select("a", (-F.col("best.own")).alias("hub")), "a").select("hub", "b", "own").distinct()
+    outside = F.count_if(F.col("own") != F.col("hub"))
+    groups = around.groupBy("hub").agg(F.count("*").alias("members"), outside.alias("outside")).where("outside > 0")
+    around = base.kept_table(around.join(groups.drop("outside"), "hub").withColumn("few", F.col("members") <= FEW))
+
+    few = around.where("few").select("hub", "b", "own")
+    each = few.select("hub", F.col("b").alias("x"), F.col("own").alias("own_x"))
+    direct = each.join(few, "hub").where("x < b AND own_x <> own").select(F.col("x").alias("a"), "b")
+
+    hubs = sets.select(F.col("doc_id").alias("hub"), F.col("n").alias("nh"), F.col("items").alias("ih"))
     other = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("items").alias("ib"))
-    delta = F.concat(F.array_except("ia", "ib"), F.array_except("ib", "ia"))
-    members = pairs.join(split, "a").join(one, "a").join(other, "b")
-    members = base.kept_table(members.select("a", "b", "own", (F.col("own") != F.col("whole")).alias("outside"), "na", "nb", delta.alias("delta")))
-
-    size = F.size("delta")
-    elements = members.select("a", "b", "own", "outside", "na", "nb", size.alias("size"), F.explode("delta").alias("element"))
-    counts = elements.groupBy("a", "element").agg(F.count("*").alias("times"))
-    order = F.row_number().over(Window.partitionBy("a", "b").orderBy("times", "element"))
-    ranked = elements.join(counts, ["a", "element"]).withColumn("nth", order).where("times > 1")
+    many = around.where("NOT few AND b <> hub").join(other, "b").join(hubs, "hub")
+    delta = F.concat(F.array_except("ib", "ih"), F.array_except("ih", "ib"))
+    members = base.kept_table(many.select("hub", "b", "own", "nh", "nb", delta.alias("delta")))
+    is_outside = F.col("own") != F.col("hub")
+    to_hub = members.where(is_outside & (7 * F.size("delta") <= F.col("nh") + F.col("nb")))
+    to_hub = to_hub.select(F.least("hub", "b").alias("a"), F.greatest("hub", "b").alias("b"))
+
+    elements = members.select("hub", "b", "own", is_outside.alias("outside"), "nh", "nb", F.size("delta").alias("size"), F.explode("delta").alias("element"))
+    counts = elements.groupBy("hub", "element").agg(F.count("*").alias("times"))
+    order = F.row_number().over(Window.partitionBy("hub", "b").orderBy("times", "element"))
+    ranked = elements.join(counts, ["hub", "element"]).withColumn("nth", order).where("times > 1")
     least_x = F.greatest(F.lit(1), F.ceil((3 * F.col("size") - F.col("nb")) / 3))
-    least_y = F.ceil((7 * F.col("size") + F.col("na") - F.col("nb")) / 14)
-    x = ranked.where(F.col("outside") & (F.col("nth") <= F.col("size") - least_x + 1))
-    y = ranked.where(F.col("nth") <= F.col("size") - least_y + 1)
-    x = x.select("a", "element", F.col("b").alias("x"), F.col("own").alias("own_x"), F.col("size").alias("size_x"), F.col("nb").alias("n_x"))
-    y = y.select("a", "element", F.col("b").alias("y"), F.col("own").alias("own_y"), F.col("size").alias("size_y"), F.col("nb").alias("n_y"))
+    least_y = F.ceil((7 * F.col("size") + F.col("nh") - F.col("nb") + 1) / 14)
+
+    def first(rows: DataFrame, least: Column, side: str) -> DataFrame:
+        prefix = rows.where(F.col("nth") <= F.col("size") - least + 1)
+        return prefix.select(
+            "hub", "element", F.col("b").alias(side), F.col("own").alias(f"own_{side}"),
+            F.col("size").alias(f"size_{side}"), F.col("nb").alias(f"n_{side}"),
+        )
+
+    x, y = first(ranked.where("outside"), least_x, "x"), first(ranked, least_y, "y")
     near = 7 * F.abs(F.col("size_x") - F.col("size_y")) <= F.col("n_x") + F.col("n_y")
-    met = x.join(y, (x.a == y.a) & (x.element == y.element) & (F.col("own_x") != F.col("own_y")) & near)
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    met = x.join(y, (x.hub == y.hub) & (x.element == y.element) & (F.col("own_x") != F.col("own_y")) & near)
+    met = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return direct.union(to_hub).union(met).distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -210,22 +234,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sketches = base.kept_table(rows.where("n > 0").join(representatives, ["doc_id", "high", "low", "n"]).dropDuplicates(["doc_id", "level"]))
 
     band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band")
-    banded = sketches.select("doc_id", "n", "level", "registers", band).select(
-        "doc_id", "n", "level", F.col("registers").substr(F.col("band") * 2 * ROWS + 1, F.lit(2 * ROWS)).alias("values"), "band"
+    banded = sketches.select("doc_id", "level", "registers", band).select(
+        "doc_id", "level", F.col("registers").substr(F.col("band") * 2 * ROWS + 1, F.lit(2 * ROWS)).alias("values"), "band"
     )
-    banded = banded.where(F.col("values") != F.lit(b"\xff" * 2 * ROWS)).select("doc_id", "n", "level", F.xxhash64("values", "band", "level").alias("key"))
-    # Whoever meets others in a band; only these bands matter further on.
+    banded = banded.where(F.col("values") != F.lit(b"\xff" * 2 * ROWS)).select("doc_id", F.xxhash64("values", "band", "level").alias("key"))
+    # Whoever meets others in a band is compared with the smallest there.
     shared = banded.groupBy("key").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("other")).where("lead <> other")
-    meeting = base.kept_table(banded.join(shared.select("key", "lead"), "key"))
+    met = banded.join(shared.select("key", "lead"), "key").where("doc_id <> lead")
+    led = base.kept_table(met.groupBy(F.col("lead").alias("a"), F.col("doc_id").alias("b")).agg(F.count("*").alias("bands")))
+    candidates = led.select(F.col("a").alias("doc_id")).union(led.select("b")).distinct()
 
-    candidates = meeting.select("doc_id").distinct()
     prints = sketches.select("doc_id", "n", "high", "low").distinct()
     sets = texts.join(candidates, "doc_id", "left_semi").mapInArrow(_with_sets, SETS)
     sets = base.kept_table(sets.join(prints, ["doc_id", "n", "high", "low"]).dropDuplicates(["doc_id"]))
 
-    led = base.kept_table(meeting.where("doc_id <> lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct())
-    first = base.kept_table(_confirmed(led, sketches, sets))
-    rest = _confirmed(_apart(led, components(first), sets), sketches, sets)
+    # First with the one that a document meets in most bands; what that leaves apart, afterwards.
+    nearest = led.groupBy("b").agg(F.max(F.struct("bands", -F.col("a"))).alias("best")).select((-F.col("best")["col2"]).alias("a"), "b")
+    first = base.kept_table(_confirmed(nearest, sketches, sets))
+    rest = _confirmed(_apart(led.select("a", "b"), components(first), sets), sketches, sets)
 
     linked = components(first.union(rest))
     named = documents.join(representatives.withColumnRenamed("doc_id", "representative"), ["high", "low", "n"], "left")

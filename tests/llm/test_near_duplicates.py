@@ -83,3 +83,24 @@ def test_similar_sets_share_a_level():
 def test_empty_table(spark, docs_of):
     base.ready(spark)
     assert minhash.near_duplicates(docs_of(["x"]).where("false")).count() == 0
+
+
+@pytest.mark.parametrize("few", [0, 1000])
+def test_links_of_what_the_leaders_leave_apart(spark, docs_of, monkeypatch, few):
+    monkeypatch.setattr(minhash, "FEW", few)
+    base.ready(spark)
+    rng = random.Random(8)
+    origin = [f"o{i}" for i in range(60)]
+    texts = [" ".join(origin)]
+    for branch in range(4):
+        stem = list(origin)
+        for at in range(3 + 12 * branch, 12 * branch + 12, 3):
+            stem[at] = f"b{branch}x{at}"
+        for _ in range(7):
+            copy = list(stem)
+            copy[rng.randrange(60)] = f"r{rng.random()}"
+            texts.append(" ".join(copy if rng.random() < 0.7 else copy[: rng.randint(40, 60)]))
+    pairs = list(enumerate(texts))
+    want = brute(pairs)
+    assert 1 < len({c for _, c in want.values()}) < len(pairs)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs_of(pairs)).collect()} == want

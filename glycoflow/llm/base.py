@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 PACKAGE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 #: Bytes of one Arrow batch sent to Python; a row alone may be larger.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 

@@ -15,10 +15,10 @@ from glycoflow.llm import rolling
 
 TOKENIZER = "byte_bpe_50k.json"
 END = 2
-#: Words kept in the cache of one Python worker (about 230 MB), and the longest of them.
-CACHED, LONGEST = 1_000_000, 48
+#: Words kept in the cache of one Python worker (about 140 MB), and the longest of them.
+CACHED, LONGEST = 600_000, 48
 #: Bytes of text that are encoded at once.
-TEXT_BYTES = 3 << 20
+TEXT_BYTES = 2 << 20
 #: New words that are encoded in one text.
 TOGETHER = 8192
 #: Where a blank stands next to white space, or a special token may be, a text is encoded in one go.

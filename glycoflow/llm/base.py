@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -51,13 +53,30 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/glycoflow-{uuid.uuid4().hex}"
 
 
-def kept_table(df: DataFrame) -> DataFrame:
+_scratch: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are kept inside, but for lasting ones, are removed at the end."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def kept_table(df: DataFrame, lasting: bool = False) -> DataFrame:
     """Write the rows as a table in the shared folder and read them from there: the lineage ends.
 
     What was shuffled on the way is removed at once rather than when the driver collects its garbage.
     """
     spark = df.sparkSession
     path = shared_folder(spark)
+    if _scratch and not lasting:
+        _scratch[-1].append(path)
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:

@@ -225,6 +225,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Returns doc_id, n_shingles, component_id (the smallest doc_id reachable over links) and kept (doc_id is that).
     """
+    with base.scratch(docs.sparkSession):
+        return base.kept_table(_near_duplicates(docs), lasting=True)
+
+
+def _near_duplicates(docs: DataFrame) -> DataFrame:
     texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = base.kept_table(texts.mapInArrow(_sketched, SKETCH))
     # One row per document: repeated doc_ids are rare, so only they are compared.
@@ -245,7 +250,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     candidates = led.select(F.col("a").alias("doc_id")).union(led.select("b")).distinct()
 
     prints = sketches.select("doc_id", "n", "high", "low").distinct()
-    sets = texts.join(candidates, "doc_id", "left_semi").mapInArrow(_with_sets, SETS)
+    # The candidates grow with the input: they are never broadcast, also where they happen to be few.
+    sets = texts.join(candidates.hint("merge"), "doc_id", "left_semi").mapInArrow(_with_sets, SETS)
     sets = base.kept_table(sets.join(prints, ["doc_id", "n", "high", "low"]).dropDuplicates(["doc_id"]))
 
     # First with the one that a document meets in most bands; what that leaves apart, afterwards.

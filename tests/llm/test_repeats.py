@@ -56,6 +56,26 @@ def test_words_as_by_brute_force(spark, docs_of, word_texts, rows_by_id, seed, h
     assert all((r.n_removed > 0) == (r.n_repeats > 0) == bool(r.repeats) for r in got.values())
 
 
+@pytest.mark.parametrize("n_cold", [1, 3])
+def test_anchor_hot_in_one_task_and_cold_in_another(spark, docs_of, rows_by_id, n_cold):
+    base.ready(spark)
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(coalesce)
+    spark.conf.set(coalesce, "false")
+    try:
+        tasks = {}
+        for r in spark.range(1, 400).selectExpr("id", f"pmod(hash(id), {spark.conf.get('spark.sql.shuffle.partitions')}) AS task").collect():
+            tasks.setdefault(r.task, []).append(r.id)
+        cold, hot = sorted(tasks.values())[:2]
+        # As many as `hot` runs of one anchor make it hot; the smallest documents are in a task with fewer.
+        ids = cold[:n_cold] + [d for d in hot if d > cold[n_cold - 1]][:8]
+        pairs = [(d, " ".join(f"q{i}" for i in range(9))) for d in ids]
+        got = rows_by_id(substring.without_repeats(docs_of(pairs), length=9, gram=4, hot=4))
+    finally:
+        spark.conf.set(coalesce, before)
+    assert {d: (r.n_words, r.n_removed, r.kept) for d, r in got.items()} == brute_words(pairs, 9)
+
+
 def test_maximal_repeat_is_told(spark, docs_of, rows_by_id):
     base.ready(spark)
     passage = [f"p{i}" for i in range(30)]

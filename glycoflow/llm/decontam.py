@@ -50,24 +50,38 @@ def seeded(rows: DataFrame, key: str) -> DataFrame:
     return rows.select(key, "hashes", "place", "pair", F.explode(seeds).alias("seed"))
 
 
+def _around(place: str) -> Column:
+    """The tokens of all stretches with the seed at a place; null beyond the text."""
+    reach = STRETCH - SPAN
+    return F.transform(F.sequence(F.lit(-reach), F.lit(SPAN + reach - 1)), lambda k: F.get("hashes", F.col(place) + k))
+
+
 def _hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, hashes, item_id, item and diagonal of every hit."""
+    """doc_id, item_id, n_tokens (of a stretch) and, side by side, the tokens found and wanted; of every hit.
+
+    Broadcast rows have a fixed width: tokens are fetched for the hits.
+    """
     texts = hashed(docs, "doc_id")
     items = hashed(benchmark, "item_id").distinct()
-    seeds = seeded(paired(items, "item_id"), "item_id").select("item_id", F.col("hashes").alias("item"), F.col("place").alias("at"), "pair", "seed")
-    diagonal = (F.col("place") - F.col("at")).alias("diagonal")
+    seeds = seeded(paired(items, "item_id"), "item_id").select("item_id", F.col("place").alias("at"), "pair", "seed")
+    n_tokens = F.least(F.lit(STRETCH), F.size("hashes")).alias("n_tokens")
     if seeds.count() <= BROADCAST_ROWS:
         # Places whose two tokens follow each other nowhere in the benchmark have no hit.
         possible = paired(texts, "doc_id").join(F.broadcast(seeds.select("pair").distinct()), "pair", "left_semi")
-        return seeded(possible, "doc_id").drop("pair").join(F.broadcast(seeds.drop("pair")), "seed").select("doc_id", "hashes", "item_id", "item", diagonal)
+        met = seeded(possible, "doc_id").drop("pair").join(F.broadcast(seeds.drop("pair")), "seed")
+        hits = met.select("doc_id", "item_id", "at", _around("place").alias("found"))
+        places = items.select("item_id", "hashes", F.explode(F.sequence(F.lit(0), F.size("hashes") - SPAN)).alias("at"))
+        return hits.join(places.select("item_id", "at", n_tokens, _around("at").alias("wanted")), ["item_id", "at"])
     # Seeds alone are shuffled, and tokens fetched for the hits.
     met = seeded(paired(texts, "doc_id"), "doc_id").select("doc_id", "place", "seed").join(seeds.select("item_id", "at", "seed"), "seed")
-    hits = met.select("doc_id", "item_id", diagonal).distinct()
-    return hits.join(texts, "doc_id").join(items.withColumnRenamed("hashes", "item"), "item_id")
+    hits = met.select("doc_id", "item_id", (F.col("place") - F.col("at")).alias("diagonal")).distinct()
+    joined = hits.join(texts, "doc_id").join(items.select("item_id", n_tokens, F.col("hashes").alias("wanted")), "item_id")
+    found = F.transform("wanted", lambda _, k: F.get("hashes", k + F.col("diagonal")))
+    return joined.select("doc_id", "item_id", "n_tokens", found.alias("found"), "wanted")
 
 
 def _compared(token: Column, wanted: Column) -> Column:
-    return F.when(token.isNull(), -STRETCH).when(token == wanted, 1).otherwise(0)
+    return F.when(token.isNull() | wanted.isNull(), -STRETCH).when(token == wanted, 1).otherwise(0)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -80,10 +94,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Returns per pair doc_id, item_id, n_matched (most equal tokens of a stretch) and n_tokens (length of the stretch).
     """
     hits = _hits(docs, benchmark)
-    # No stretch reaches beyond the document.
-    equal = F.transform("item", lambda x, k: _compared(F.get("hashes", k + F.col("diagonal")), x))
-    length = F.least(F.lit(STRETCH), F.size("item"))
-    compared = hits.select("doc_id", "item_id", equal.alias("equal"), length.alias("n_tokens"))
+    # No stretch reaches beyond the document or the item.
+    compared = hits.select("doc_id", "item_id", F.zip_with("found", "wanted", _compared).alias("equal"), "n_tokens")
     starts = F.sequence(F.lit(1), F.size("equal") - F.col("n_tokens") + 1)
     sums = F.transform(starts, lambda i: F.aggregate(F.slice(F.col("equal"), i, F.col("n_tokens")), F.lit(0), lambda a, b: a + b))
     best = compared.select("doc_id", "item_id", "n_tokens", F.array_max(sums).alias("n_matched"))

@@ -113,6 +113,28 @@ def test_decontamination_without_broadcast_and_on_empty_tables(spark, docs_of, m
     assert decontam.contaminated(docs, bench.where("false")).count() == 0
 
 
+def test_broadcast_seeds_have_a_fixed_width(spark, docs_of, monkeypatch):
+    marked = []
+    monkeypatch.setattr(decontam.F, "broadcast", lambda df: marked.append(df.dtypes) or df.hint("broadcast"))
+    item = [f"tok{i}" for i in range(200)]
+    late = item[180:]
+    late[4] = late[9] = "other"
+    docs = docs_of([" ".join(item), " ".join(["before", *late, "after"]), " ".join(item[150:162])])
+    bench = benchmark_of(spark, [(1, " ".join(item)), (2, "a b c d e f g h i")])
+    out = decontam.contaminated(docs, bench)
+    assert {(r.doc_id, r.item_id, r.n_matched, r.n_tokens) for r in out.collect()} == {(0, 1, 13, 13), (1, 1, 12, 13)}
+    assert marked and {kind for columns in marked for _, kind in columns} <= {"bigint", "int"}
+
+
+@pytest.mark.parametrize("rows", [0, decontam.BROADCAST_ROWS])
+def test_decontamination_equals_sql_with_and_without_broadcast(spark, docs_of, word_texts, monkeypatch, rows):
+    monkeypatch.setattr(decontam, "BROADCAST_ROWS", rows)
+    texts = word_texts(31, count=40, vocabulary=12)
+    docs = docs_of(texts)
+    bench = benchmark_of(spark, [(i, t) for i, t in enumerate(word_texts(32, count=20, vocabulary=12, longest=30))] + [(100, texts[2]), (101, texts[3][:60])])
+    same_on(spark, decontam.contaminated(docs, bench), {"documents": docs, "benchmark": bench}, decontam.SQL)
+
+
 TALK = [
     (1, 0, "user", "Where shall we meet?\nI could come by train."),
     (1, 1, "assistant", "> Where shall we meet?\nAt the station."),

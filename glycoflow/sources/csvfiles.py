@@ -15,12 +15,13 @@ from glycoflow.functions import dates, glucose
 from glycoflow.functions.jsmath import parse_number
 
 LINES_PER_BLOCK = 100_000
-#: Columns that a file may have; exports have about twenty.
+#: Columns that are read at least; exports have about twenty.
 WIDTH = 64
-CSV_SCHEMA = ", ".join(f"c{i} string" for i in range(WIDTH))
 CSV_OPTIONS = {
     "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true",
 }
+#: Columns that Spark's parser allows by itself.
+MAX_COLUMNS = 20480
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -48,14 +49,24 @@ def text_lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def with_fields(lines: DataFrame) -> DataFrame:
+def widest(lines: DataFrame) -> int:
+    """Most fields of a line, `WIDTH` at least; separators inside quotes count, too."""
+    most = lines.agg(F.max(F.regexp_count("value", F.lit(",")))).first()[0]
+    return max(WIDTH, (most or 0) + 1)
+
+
+def with_fields(lines: DataFrame, width: int | None = None) -> DataFrame:
     """Adds `cells`, the fields of each line; a missing or empty field is ''.
 
-    Spark's CSV parser reads a line into a row of `WIDTH` texts. The parsed row is a column
-    of its own before its fields are taken, so a line is parsed once.
+    Spark's CSV parser reads a line into a row of `width` texts, by default as many as the
+    widest line has. The parsed row is a column of its own before its fields are taken, so
+    a line is parsed once.
     """
-    parsed = lines.withColumn("_csv", F.from_csv("value", CSV_SCHEMA, CSV_OPTIONS))
-    cells = F.array(*[F.trim(F.coalesce(F.col(f"_csv.c{i}"), F.lit(""))) for i in range(WIDTH)])
+    width = widest(lines) if width is None else width
+    schema = ", ".join(f"c{i} string" for i in range(width))
+    options = {**CSV_OPTIONS, "maxColumns": str(max(width, MAX_COLUMNS))}
+    parsed = lines.withColumn("_csv", F.from_csv("value", schema, options))
+    cells = F.array(*[F.trim(F.coalesce(F.col(f"_csv.c{i}"), F.lit(""))) for i in range(width)])
     return parsed.withColumn("cells", cells).drop("_csv")
 
 
@@ -69,28 +80,34 @@ def _filled(lines: DataFrame) -> DataFrame:
     return lines.filter(F.trim("value") != "")
 
 
-def file_heads(lines: DataFrame) -> DataFrame:
-    """Per file its headers and the fields of its first data row.
-
-    Of every file the two first lines that are not blank are kept, map-side.
-    """
+def _first_two(lines: DataFrame) -> DataFrame:
+    """Of every file the two first lines that are not blank, cut map-side; `_rn` is 1 or 2."""
     order = Window.partitionBy("file").orderBy("line_no")
-    first_two = (
-        _filled(lines).withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= 2)
-    )
-    cells = with_fields(first_two)
+    return _filled(lines).withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= 2)
+
+
+def header_width(lines: DataFrame) -> int:
+    """Columns to read so that no header is cut."""
+    return widest(_first_two(lines).filter(F.col("_rn") == 1))
+
+
+def file_heads(lines: DataFrame, width: int | None = None) -> DataFrame:
+    """Per file its headers and the fields of its first data row."""
+    width = header_width(lines) if width is None else width
+    cells = with_fields(_first_two(lines), width)
     return cells.groupBy("file").agg(
         F.max(F.when(F.col("_rn") == 1, _used(F.col("cells")))).alias("headers"),
         F.max(F.when(F.col("_rn") == 2, F.col("cells"))).alias("first_cells"),
     )
 
 
-def records(lines: DataFrame) -> DataFrame:
+def records(lines: DataFrame, width: int | None = None) -> DataFrame:
     """Data rows as (file, line_number, cells); the header is line 1, blank lines do not count.
 
     A row has as many cells as its file has headers. Rows are numbered inside blocks of lines and offset by the counts of earlier blocks,
     so one huge file is still numbered by many tasks.
     """
+    width = header_width(lines) if width is None else width
     filled = _filled(lines).withColumn("_block", F.expr(f"line_no div {LINES_PER_BLOCK}"))
     earlier = Window.partitionBy("file").orderBy("_block").rowsBetween(
         Window.unboundedPreceding, -1
@@ -107,8 +124,8 @@ def records(lines: DataFrame) -> DataFrame:
         .join(offsets, ["file", "_block"])
         .select("file", (F.col("_offset") + F.col("_rn")).alias("line_number"), "value")
         .filter(F.col("line_number") > 1)
-        .transform(with_fields)
-        .join(file_heads(lines).select("file", F.size("headers").alias("_width")), "file")
+        .transform(with_fields, width)
+        .join(file_heads(lines, width).select("file", F.size("headers").alias("_width")), "file")
         .select("file", "line_number", F.slice("cells", F.lit(1), F.col("_width")).alias("cells"))
     )
 
@@ -235,8 +252,9 @@ def parsed_rows(
 ) -> DataFrame:
     """Readings of all files in mmol/L: file, format, line_number, ts, value, device."""
     known = file_formats(lines) if formats is None else formats
-    columns = file_columns(file_heads(lines), known, mapping)
-    rows = records(lines).join(columns, "file")
+    width = header_width(lines)
+    columns = file_columns(file_heads(lines, width), known, mapping)
+    rows = records(lines, width).join(columns, "file")
 
     def cell(at: str) -> Column:
         return F.coalesce(F.get("cells", F.col(at)), F.lit(""))

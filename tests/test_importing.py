@@ -51,6 +51,18 @@ def test_files_of_three_formats_in_one_folder(spark, folder):
     ]
 
 
+def test_columns_beyond_the_64th_are_read(spark, tmp_path):
+    fill = ",".join(f"h{i}" for i in range(70))
+    (tmp_path / "w.csv").write_text(f"{fill},Timestamp,Glucose,Unit,Device\n{fill},2026-01-15 08:30:00,5.5,mmol,far\n")
+    (tmp_path / "n.csv").write_text("Timestamp,Glucose\n2026-01-15 09:00:00,6.5\n")
+    lines = csvfiles.text_lines(spark, str(tmp_path))
+    got = sorted((r.file[-5:], r.ts, r.value, r.device) for r in csvfiles.parsed_rows(lines).collect())
+    assert got == [("n.csv", datetime(2026, 1, 15, 9, 0), 6.5, None), ("w.csv", datetime(2026, 1, 15, 8, 30), 5.5, "far")]
+    assert {r.file[-5:]: len(r.cells) for r in csvfiles.records(lines).collect()} == {"n.csv": 2, "w.csv": 74}
+    named = {r.file[-5:]: r.timestamp_column for r in csvfiles.suggest_mapping(csvfiles.file_heads(lines)).collect()}
+    assert named == {"n.csv": "Timestamp", "w.csv": "Timestamp"}
+
+
 def test_lines_are_numbered_across_splits(spark, tmp_path):
     (tmp_path / "a.csv").write_text("h\n" + "".join(f"{i}\n" for i in range(5000)))
     spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")

@@ -29,12 +29,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages of 400 bytes that occur twice; n_chars is that of the new text.
 
-    From here on there is one row per doc_id, and none without.
+    Every row stays, with its own columns. Rows of equal doc_id and text are one document and do not cut each other;
+    others are documents of their own, also without doc_id or of a doc_id with several texts.
     """
     base.ready(spark)
-    text = suffix_dedup.without_repeats(docs, whole_characters=True).select("doc_id", F.col("kept").cast("string").alias("text"))
-    rest = docs.drop("text", "n_chars").dropDuplicates(["doc_id"])
-    joined = text.join(rest, "doc_id").withColumn("n_chars", F.length("text").cast("bigint"))
+    key = F.xxhash64(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+    cut = suffix_dedup.without_repeats(docs.select(key.alias("doc_id"), "text"), whole_characters=True)
+    text = cut.select(F.col("doc_id").alias("_key"), F.col("kept").cast("string").alias("text"))
+    rest = docs.withColumn("_key", key).drop("text", "n_chars")
+    joined = text.join(rest, "_key").withColumn("n_chars", F.length("text").cast("bigint"))
     return joined.select(docs.columns)
 
 

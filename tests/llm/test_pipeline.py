@@ -79,3 +79,22 @@ def test_stages_take_empty_tables(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = base.kept_table(stage(spark, docs, SF))
     assert docs.count() == 0
+
+
+def test_repeats_keep_rows_without_id_and_of_one_id(spark):
+    base.ready(spark)
+    passage = "".join(f"shared {i} " for i in range(60))
+    copy = "".join(f"copied {i} " for i in range(60))
+    rows = [
+        (1, "first " + passage, "en", "a"), (1, "second", "de", "b"), (None, "nameless", "fr", "c"), (None, "another", "fr", "d"),
+        (None, passage + "end", "fr", "e"), (2, copy, "en", "f"), (2, copy, "en", "g"), (None, None, "en", "h"), (3, None, "en", "i"),
+    ]
+    docs = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.cut_repeats(spark, docs, SF)
+    assert out.columns == docs.columns
+    left = {"a": "first", "e": "end", "h": "", "i": ""}
+    want = {s: (d, left.get(s, (t or "").strip()), lang) for d, t, lang, s in rows}
+    got = out.collect()
+    assert len(got) == len(rows)
+    assert {r.source: (r.doc_id, r.text.strip(), r.lang) for r in got} == want
+    assert all(r.n_chars == len(r.text) for r in got)

@@ -11,6 +11,8 @@ FIELDS = macros.FIELDS
 MIN_CORRECTIONS = 5
 SIGNIFICANT = 10.0
 LARGEST_ADJUSTMENT = 30.0
+#: Blocks of stamps that are counted by tasks of their own.
+BLOCKS = 256
 
 
 def with_errors(results: DataFrame) -> DataFrame:
@@ -38,14 +40,29 @@ def where_equal(rows: DataFrame, newest: str, **values) -> DataFrame:
 def with_place(rows: DataFrame, newest: str, key: str) -> DataFrame:
     """Number all rows newest first, without sorting them in one task.
 
-    Rows are numbered within their stamp; the rows of newer stamps are counted per stamp.
+    Rows are numbered within their stamp; the rows of newer stamps are counted per stamp within blocks of stamps, and
+    per block. One task orders the blocks, of which there are at most `BLOCKS` + 1.
     """
-    counts = rows.groupBy(newest).agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(Window.orderBy(F.desc(newest)).rowsBetween(Window.unboundedPreceding, -1))
-    counts = counts.select(F.col(newest).alias("_stamp"), F.coalesce(before, F.lit(0)).alias("_before"))
+    counts = rows.groupBy(F.col(newest).alias("_stamp")).agg(F.count(F.lit(1)).alias("_n"))
+    # Bounds are drawn by hash, so that a task that runs again finds the same ones.
+    drawn = counts.filter(F.col("_stamp").isNotNull()).orderBy(F.xxhash64("_stamp"), "_stamp").limit(BLOCKS - 1)
+    bounds = drawn.agg(F.collect_list("_stamp").alias("_bounds"))
+    newer = F.size(F.filter("_bounds", lambda b: b > F.col("_stamp")))
+    block = F.when(F.col("_stamp").isNull(), F.lit(BLOCKS)).otherwise(newer)
+    blocked = counts.crossJoin(F.broadcast(bounds)).select("_stamp", "_n", block.alias("_block"))
+
+    def earlier(window) -> Column:
+        before = F.sum("_n").over(window.rowsBetween(Window.unboundedPreceding, -1))
+        return F.coalesce(before, F.lit(0))
+
+    totals = blocked.groupBy("_block").agg(F.sum("_n").alias("_n"))
+    offsets = totals.select("_block", earlier(Window.orderBy("_block")).alias("_offset"))
+    inside = earlier(Window.partitionBy("_block").orderBy(F.desc("_stamp")))
+    places = blocked.withColumn("_inside", inside).join(offsets, "_block")
+    places = places.select("_stamp", (F.col("_offset") + F.col("_inside")).alias("_before"))
     within = F.row_number().over(Window.partitionBy(newest).orderBy(key))
     numbered = rows.withColumn("_within", within)
-    joined = numbered.join(counts, F.col(newest).eqNullSafe(F.col("_stamp")))
+    joined = numbered.join(places, F.col(newest).eqNullSafe(F.col("_stamp")))
     return joined.withColumn("place", F.col("_before") + F.col("_within")).drop("_stamp", "_before", "_within")
 
 

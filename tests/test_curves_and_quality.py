@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -138,3 +139,21 @@ def test_preset_import_meets_repeated_names_in_order(spark, strategy, kept, tota
     assert {tuple(r) for r in held.select("preset_id", "name").collect()} == kept
     assert {r.preset_id: r.carbs for r in presets.totals(items).collect()} == totals
     assert tuple(presets.import_counts(existing, batch, strategy).first()) == counts
+
+
+@pytest.mark.parametrize("stamps", ["many", "few"])
+def test_places_of_many_stamps_are_not_counted_in_one_task(spark, stamps):
+    rng = random.Random(3)
+    rows = [(i, rng.randrange(10**9) if stamps == "many" else rng.randrange(5)) for i in range(3000)]
+    rows += [(i, None) for i in range(3000, 3010)] + [(i, rows[0][1]) for i in range(3010, 3020)]
+    out = accuracy.with_place(spark.createDataFrame(rows, "id long, stamp long"), "stamp", "id")
+    want = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+    assert [(r.id, r.stamp) for r in sorted(out.collect(), key=lambda r: r.place)] == want
+    assert sorted(r.place for r in out.collect()) == list(range(1, len(rows) + 1))
+    # A window over all stamps would begin with their order.
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"windowspecdefinition\(_?stamp#\d+L? DESC", plan)
+
+
+def test_places_of_no_rows(spark):
+    assert accuracy.with_place(spark.createDataFrame([], "id long, stamp long"), "stamp", "id").count() == 0

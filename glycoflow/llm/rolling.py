@@ -87,14 +87,14 @@ def windows(values: np.ndarray, k: int, base: int) -> np.ndarray:
     return mixed((sums[k:] - sums[:-k]) * down[:n])
 
 
-def words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, bounds: np.ndarray, separators: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all words, and per text the number of words before it (n + 1 values).
 
-    A word is a run of bytes other than blank, tab, line feed, vertical tab, form feed and carriage return; it does
-    not cross from one text to the next.
+    A word is a run of bytes other than the separators: blank, tab, line feed, vertical tab, form feed and carriage
+    return, unless a table says others. It does not cross from one text to the next.
     """
     solid = np.zeros(len(data) + 2, dtype=bool)
-    solid[1:-1] = ~SPACES[data]
+    solid[1:-1] = ~separators[data]
     inner = bounds[(bounds > 0) & (bounds < len(data))]
     starts = solid[1:-1] & ~solid[:-2]
     ends = solid[1:-1] & ~solid[2:]

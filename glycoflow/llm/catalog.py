@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from glycoflow.llm import decontam, frames, lines, minhash, packing, quality, quotes, repair, search, substring, suffix_dedup, warc
+from glycoflow.llm import decontam, extract, frames, lines, minhash, packing, quality, quotes, repair, search, substring, suffix_dedup, warc
 
 QUERIES = {
     "op1_substring_dedup": substring.op1_substring_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_minhash": minhash.op8_minhash,
     "op9_token_frames": frames.op9_token_frames,
     "op10_line_rules": lines.op10_line_rules,
+    "op11_block_field": extract.op11_block_field,
     "op12_structure_repair": repair.op12_structure_repair,
     "op13_max_sketch_search": search.op13_max_sketch_search,
 }
@@ -26,6 +27,7 @@ SQL = {
     "op7_spaced_seeds": decontam.SQL,
     "op8_minhash": minhash.SQL,
     "op10_line_rules": lines.SQL,
+    "op11_block_field": extract.SQL,
     "op12_structure_repair": repair.SQL,
     "op13_max_sketch_search": search.SQL,
 }

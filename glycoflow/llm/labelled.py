@@ -122,7 +122,7 @@ class Site:
         if r.random() < 0.85:
             title = self.sentences(1, 2) if r.random() < 0.4 else self.phrase(2, 12)
             out.append(f"<h1>{self.marked(title)}</h1>")
-        for _ in range(r.randint(1, 14)):
+        for _ in range(r.randint(1, r.choice([2, 14, 14]))):
             kind = r.random()
             if kind < 0.68:
                 out.append(f"<p>{self.paragraph()}" + r.choice(["</p>", "</p>", "</p>", "", "<br>"]))
@@ -174,12 +174,17 @@ class Site:
         after = [self.comments()] * (r.random() < 0.4) + [self.aside() for _ in range(r.randint(0, 3))]
         legal = r.choice(["&copy; ", "© 2024 ", "Copyright "]) + f"{r.choice(self.words)}.example.org &middot; " + r.choice([self.sentences(1, 3), self.links(2, 6), r.choice(LEGAL)])
         after += [f"<footer>{legal}</footer>" if r.random() < 0.6 else self.box(FOOT, f"<p>{legal}</p>" if r.random() < 0.5 else legal)] * (r.random() < 0.9)
+        if r.random() < 0.12:
+            # A page, or a piece of one, with little or nothing beside the main text.
+            before, after = before[:1] * (r.random() < 0.3), after[-1:] * (r.random() < 0.3)
         inside = r.random() < 0.15
         article = self.article()
         if inside and "</article>" in article:
             # Comments and the like within the article's own element.
             article = article.replace("</article>", self.comments() + "</article>", 1) if r.random() < 0.5 else article
         body = "".join(before) + article + "".join(after)
+        if r.random() < 0.06:
+            return body
         if r.random() < 0.3:
             body = f'<div id="wrapper"><div class="container">{body}</div></div>'
         return f"<!DOCTYPE html><html lang=\"en\"><head><meta charset=\"utf-8\">{''.join(top)}</head><body>{body}</body></html>"

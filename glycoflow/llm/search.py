@@ -211,8 +211,8 @@ def searched(docs: DataFrame, items: DataFrame, top: int = TOP, width: int = WID
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     asked = items.where("item_id IS NOT NULL").select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text"))
     asked = asked.groupBy("item_id").agg(F.max("text").alias("text")).where("text IS NOT NULL")
-    size = asked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = -(-size // block_bytes) or 1
+    size = asked.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"), F.count("*").alias("items")).first()
+    blocks = max(1, min(-(-size["bytes"] // block_bytes), size["items"]))
     parts = []
     for block in range(blocks):
         queries = queries_of(asked.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).orderBy("item_id").collect())

@@ -16,11 +16,13 @@ from pyspark.sql import functions as F
 from glycoflow.llm import rolling
 
 RUNS = "bucket long, context long, doc_id long, place long"
-#: Runs that a task gathers before it sends them on.
-GATHERED = 500_000
-#: An anchor with as many runs in what a task gathered is hot: its runs are dealt over many buckets.
-HOT = 64
-PLAIN, SPREAD, EXTRA = 0, 1, 2
+#: An anchor is hot if it may have this number of runs, and this many times the mean of the counters.
+HOT, UNEVEN = 256, 4
+#: Counters of runs by anchor. What shares a counter with a hot anchor is dealt like it.
+COUNTERS = 1 << 16
+#: Windows of one run fit into ten bits.
+MOST_WINDOWS = 1023
+PLAIN, SPREAD = 0, 1
 TEXT_BYTES = 1 << 17
 
 
@@ -52,64 +54,77 @@ def runs_of(values: np.ndarray, bounds: np.ndarray, gram: int, length: int) -> t
     return grams[anchors[new]].view(np.int64), context.view(np.int64), number, first - bounds[number], count
 
 
-def dealt(anchor: np.ndarray, context: np.ndarray, doc: np.ndarray, first: np.ndarray, count: np.ndarray, hot: int) -> pa.RecordBatch:
-    """Runs with the bucket they go to.
+def counter_of(anchor: np.ndarray) -> np.ndarray:
+    return (rolling.mixed(anchor.view(np.uint64)) & np.uint64(COUNTERS - 1)).astype(np.int64)
 
-    The runs of a hot anchor are spread over as many buckets as a sixteenth of their number; one of them also goes to
-    the anchor's plain bucket, so that tasks which saw the anchor rarely learn of the others.
-    """
-    _, index, inverse, counts = np.unique(anchor, return_index=True, return_inverse=True, return_counts=True)
-    many = counts[inverse] >= hot
-    mark = np.where(many, SPREAD, PLAIN)
-    bits = np.ceil(np.log2(np.maximum(counts[inverse], 16) / 16)).astype(np.uint64)
+
+def _counted(batches: Iterator[pa.RecordBatch], unit: str, gram: int, length: int) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(COUNTERS, dtype=np.int64)
+    for batch in batches:
+        for part in rolling.batches(batch, "text", TEXT_BYTES):
+            values, bounds = values_of(*rolling.flat(part.column("text")), unit, rolling.BASES[0])
+            counts += np.bincount(counter_of(runs_of(values, bounds, gram, length)[0]), minlength=COUNTERS)
+    at = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(counts[at], pa.int64())], names=["counter", "n"])
+
+
+def spread_bits(counts: np.ndarray, hot: int) -> np.ndarray:
+    """By counter, the logarithm of the buckets that its anchors are dealt over: 0 for those that are not hot, else so
+    many that a bucket gets a quarter of what makes an anchor hot."""
+    least = max(hot, UNEVEN * int(counts.sum()) // COUNTERS)
+    bits = np.ceil(np.log2(np.maximum(4 * counts / least, 1)))
+    return np.where(counts >= least, np.maximum(bits, 1), 0).astype(np.uint8)
+
+
+def loads(docs: DataFrame, unit: str, gram: int, length: int) -> np.ndarray:
+    """Runs of all documents by counter; the driver gets at most as many rows as there are counters."""
+    texts = docs.select(F.col("text").cast("string").alias("text"))
+    counted = texts.mapInArrow(lambda it: _counted(it, unit, gram, length), "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n"))
+    out = np.zeros(COUNTERS, dtype=np.int64)
+    for row in counted.collect():
+        out[row["counter"]] = row["n"]
+    return out
+
+
+def dealt(anchor: np.ndarray, context: np.ndarray, doc: np.ndarray, first: np.ndarray, count: np.ndarray, spread: np.ndarray) -> pa.RecordBatch:
+    """Runs with the bucket they go to: that of their anchor, or, where the anchor is hot, one of many."""
+    bits = spread[counter_of(anchor)].astype(np.uint64)
+    many = bits > 0
     salt = rolling.mixed(doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + first.astype(np.uint64)) & ((np.uint64(1) << bits) - np.uint64(1))
-    spread = rolling.mixed(anchor.view(np.uint64) ^ rolling.mixed((bits << np.uint64(40)) + salt + np.uint64(1))).view(np.int64)
-    bucket = np.where(many, spread, anchor)
-    extra = index[counts >= hot]
-    place = placed(first, count, mark)
-    parts = [
-        np.concatenate((bucket, anchor[extra])),
-        np.concatenate((context, context[extra])),
-        np.concatenate((doc, doc[extra])),
-        np.concatenate((place, placed(first[extra], count[extra], EXTRA))),
-    ]
-    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in parts], names=["bucket", "context", "doc_id", "place"])
-
-
-def found_runs(batches: Iterator[pa.RecordBatch], unit: str, gram: int, length: int, hot: int) -> Iterator[pa.RecordBatch]:
-    gathered: list[tuple[np.ndarray, ...]] = []
-    size = 0
+    apart = rolling.mixed(anchor.view(np.uint64) ^ rolling.mixed((bits << np.uint64(40)) + salt + np.uint64(1))).view(np.int64)
+    columns = (np.where(many, apart, anchor), context, doc, placed(first, count, np.where(many, SPREAD, PLAIN)))
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["bucket", "context", "doc_id", "place"])
+
+
+def found_runs(batches: Iterator[pa.RecordBatch], unit: str, gram: int, length: int, spread: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in rolling.batches(batch, "text", TEXT_BYTES):
             values, bounds = values_of(*rolling.flat(part.column("text")), unit, rolling.BASES[0])
             anchor, context, number, first, count = runs_of(values, bounds, gram, length)
             if len(anchor):
-                gathered.append((anchor, context, part.column("doc_id").to_numpy()[number], first, count))
-                size += len(anchor)
-        if size >= GATHERED:
-            yield dealt(*map(np.concatenate, zip(*gathered, strict=True)), hot)
-            gathered, size = [], 0
-    if gathered:
-        yield dealt(*map(np.concatenate, zip(*gathered, strict=True)), hot)
+                yield dealt(anchor, context, part.column("doc_id").to_numpy()[number], first, count, spread)
+
 
+def seeds(docs: DataFrame, texts: DataFrame, unit: str, gram: int, length: int, hot: int = HOT) -> DataFrame:
+    """All runs of ``texts``, one row per document of ``docs``, that may repeat, met by anchor.
 
-def seeds(docs: DataFrame, unit: str, gram: int, length: int, hot: int = HOT) -> DataFrame:
-    """All runs that may repeat, met by anchor.
+    Which anchors are hot is known before, from counts over all documents, so that every task deals alike.
 
     Returns bucket, context, doc_id, first, n, copies (runs with the same content in the bucket), earlier (one of them
-    starts earlier), alone (no other content meets this anchor), extra (a row that only tells of a run which is also
-    elsewhere) and wide (runs of this anchor are in other buckets, too).
+    starts earlier), alone (no other content meets this anchor) and wide (runs of this anchor are in other buckets, too).
     """
-    runs = docs.mapInArrow(lambda it: found_runs(it, unit, gram, length, hot), RUNS)
+    if length - gram + 1 > MOST_WINDOWS:
+        raise ValueError(f"length may exceed gram by {MOST_WINDOWS - 1} at most")
+    spread = spread_bits(loads(docs, unit, gram, length), hot)
+    runs = texts.mapInArrow(lambda it: found_runs(it, unit, gram, length, spread), RUNS)
     bucket = Window.partitionBy("bucket")
     content = Window.partitionBy("bucket", "context").orderBy("doc_id", "place")
     every = content.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    mark: Column = F.col("place").bitwiseAND(3)
+    wide: Column = F.col("place").bitwiseAND(3) == SPREAD
     marked = runs.select(
         "*",
         F.min("context").over(bucket).alias("low"),
         F.max("context").over(bucket).alias("high"),
-        F.max(mark).over(bucket).alias("marks"),
         F.row_number().over(content).alias("nth"),
         F.count("*").over(every).alias("copies"),
     )
@@ -118,10 +133,9 @@ def seeds(docs: DataFrame, unit: str, gram: int, length: int, hot: int = HOT) ->
         "context",
         "doc_id",
         F.shiftright("place", 12).alias("first"),
-        F.shiftright("place", 2).bitwiseAND(1023).alias("n"),
+        F.shiftright("place", 2).bitwiseAND(MOST_WINDOWS).alias("n"),
         "copies",
         (F.col("nth") > 1).alias("earlier"),
-        ((F.col("low") == F.col("high")) & (mark == PLAIN)).alias("alone"),
-        (mark == EXTRA).alias("extra"),
-        (F.col("marks") > PLAIN).alias("wide"),
+        ((F.col("low") == F.col("high")) & ~wide).alias("alone"),
+        wide.alias("wide"),
     ).where("copies > 1 or not alone")

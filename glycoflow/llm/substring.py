@@ -93,8 +93,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot
     overlap) and kept (the remaining words joined by one blank).
     """
     texts = base.by_document(docs)
-    # Where an anchor has runs in other buckets, too, the first run of this one may start earlier than those.
-    seeds = runs.seeds(texts, "word", gram, length, hot).where("earlier or not alone or wide").where("not (extra and earlier)")
+    seeds = runs.seeds(docs, texts, "word", gram, length, hot).where("earlier or not alone")
     run = F.shiftleft("first", 10).bitwiseOR(F.col("n"))
     of_document = seeds.groupBy("doc_id").agg(
         F.collect_list(F.when(F.col("earlier"), run)).alias("whole"),

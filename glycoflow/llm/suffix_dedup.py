@@ -1,14 +1,15 @@
-"""Suffix-array dedup on bytes.
+"""Suffix-array dedup on bytes, or on words.
 
 Only windows whose winnowed anchor occurs elsewhere can repeat (runs.py). Runs that are equal as a whole are settled by
 that. The rest, one text per different content, is dealt to shards by anchor; each shard sorts its suffixes
 (suffixes.py) and finds the windows that occur twice in it. An anchor with very many contents is dealt over several
-shards: their sorted lists of different windows are merged by binary search, by 128-bit hash.
+shards: their sorted lists of different windows are merged by binary search, by 128-bit hash. A shard writes a word as the four bytes
+of its number among the shard's words, so that one suffix array serves both.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,38 +40,60 @@ def _ranges(doc: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return doc[new], first[new], np.diff(np.concatenate((new, [len(doc)])))
 
 
-def _in_shard(rows: dict[str, np.ndarray], bodies: list[bytes], length: int) -> Iterator[pa.RecordBatch]:
+def _coded(bodies: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Bodies of words with four bytes a word, all words' numbers, and the words before each body."""
+    flat, bounds = rolling.flat(pa.array(bodies, pa.binary()))
+    starts, ends, cuts = rolling.words(flat, bounds)
+    hashes = rolling.word_hashes(flat, starts, ends, rolling.BASES[0])
+    _, number = np.unique(hashes, return_inverse=True)
+    # Digits stay below the mark between bodies.
+    digits = np.stack([number // 200**k % 200 for k in range(4)], axis=1).astype(np.uint8)
+    return [digits[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], hashes, cuts
+
+
+def _in_shard(rows: dict[str, np.ndarray], bodies: list[bytes], length: int, unit: str) -> Iterator[pa.RecordBatch]:
     """Repeated windows of one shard, as ranges; and of wide anchors all different windows, by hash."""
-    real = set(zip(rows["doc_id"][~rows["extra"]].tolist(), rows["first"][~rows["extra"]].tolist(), strict=True))
-    keep = [i for i, (d, f, e) in enumerate(zip(rows["doc_id"].tolist(), rows["first"].tolist(), rows["extra"].tolist(), strict=True)) if not e or (d, f) not in real]
-    rows = {k: v[keep] for k, v in rows.items()}
-    data, starts = suffixes.joined([bodies[i] for i in keep])
+    if unit == "word":
+        coded, values, cuts = _coded(bodies)
+        yield from _repeats(rows, coded, length, 4, lambda base, body, at: (rolling.prefix_sums(values, base), cuts[body] + at))
+        return
+
+    def bytewise(base: int, body: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        flat, bounds = rolling.flat(pa.array(bodies, pa.binary()))
+        return rolling.prefix_sums(flat.astype(np.uint64) + np.uint64(1), base), bounds[body] + at
+
+    yield from _repeats(rows, bodies, length, 1, bytewise)
+
+
+def _repeats(rows: dict[str, np.ndarray], bodies: list[bytes], length: int, size: int, sums_of: Callable) -> Iterator[pa.RecordBatch]:
+    """Of bodies whose values take ``size`` bytes each. ``sums_of`` tells prefix sums and places of values by body."""
+    data, starts = suffixes.joined(bodies)
     counts = rows["n"]
-    order = suffixes.suffix_array(data, length)
-    common = suffixes.common_prefixes(data, order, starts, counts, length)
-    at = spread(starts, counts)
-    text = np.repeat(np.arange(len(starts)), counts)
-    doc, first = rows["doc_id"][text], rows["first"][text] + at - starts[text]
+    order = suffixes.suffix_array(data, length * size)
+    common = suffixes.common_prefixes(data, order, starts, counts * size, length * size)
+    body = np.repeat(np.arange(len(starts)), counts)
+    inner = spread(np.zeros(len(counts), dtype=np.int64), counts)
+    at = starts[body] + size * inner
+    doc, first = rows["doc_id"][body], rows["first"][body] + inner
     class_of = np.empty(len(data), dtype=np.int64)
-    class_of[order] = np.cumsum(common[order] < length)
+    class_of[order] = np.cumsum(common[order] < length * size)
     classes = class_of[at]
-    size = np.bincount(classes)[classes]
-    told = (size > 1) & ~rows["extra"][text]
+    told = np.bincount(classes)[classes] > 1
     if told.any():
         d, f, n = _ranges(doc[told], first[told])
         yield _rows(True, doc_id=d, first=f, n=n)
-    ask = np.flatnonzero(rows["wide"][text] & ~rows["extra"][text])
+    ask = np.flatnonzero(rows["wide"][body])
     if len(ask):
         ask = ask[np.unique(classes[ask], return_index=True)[1]]
         hashes = []
         for b in rolling.BASES:
-            sums = rolling.prefix_sums(data.astype(np.uint64) + np.uint64(1), b)
-            hashes.append(rolling.stretch_hashes(sums, at[ask], at[ask] + length, b).view(np.int64))
+            sums, where = sums_of(b, body[ask], inner[ask])
+            hashes.append(rolling.stretch_hashes(sums, where, where + length, b).view(np.int64))
         shard = np.full(len(ask), rows["shard"][0])
         yield _rows(False, high=hashes[0], low=hashes[1], shard=shard, doc_id=doc[ask], first=first[ask], n=np.ones(len(ask), dtype=np.int64))
 
 
-def _shards(batches: Iterator[pa.RecordBatch], length: int, most: int) -> Iterator[pa.RecordBatch]:
+def _shards(batches: Iterator[pa.RecordBatch], length: int, most: int, unit: str) -> Iterator[pa.RecordBatch]:
     """Rows come by bucket. A shard holds whole buckets, but for those that alone exceed its size: these become wide."""
     gathered: list[tuple] = []
     size = 0
@@ -78,14 +101,14 @@ def _shards(batches: Iterator[pa.RecordBatch], length: int, most: int) -> Iterat
     cut = None
 
     def flushed(more: bool) -> Iterator[pa.RecordBatch]:
-        names = ("bucket", "doc_id", "first", "n", "extra", "wide")
+        names = ("bucket", "doc_id", "first", "n", "wide")
         rows = {k: np.array([g[i] for g in gathered]) for i, k in enumerate(names)}
         rows["wide"] = rows["wide"] | np.isin(rows["bucket"], [b for b in (cut, last if more else None) if b is not None])
         rows["shard"] = np.full(len(gathered), hash((int(rows["bucket"][0]), int(rows["doc_id"][0]), int(rows["first"][0]))))
-        yield from _in_shard(rows, [g[6] for g in gathered], length)
+        yield from _in_shard(rows, [g[5] for g in gathered], length, unit)
 
     for batch in batches:
-        columns = [batch.column(k).to_pylist() for k in ("bucket", "doc_id", "first", "n", "extra", "wide", "body")]
+        columns = [batch.column(k).to_pylist() for k in ("bucket", "doc_id", "first", "n", "wide", "body")]
         for row in zip(*columns, strict=True):
             if gathered and (size >= most and row[0] != last or size >= 2 * most):
                 more = row[0] == last
@@ -94,7 +117,7 @@ def _shards(batches: Iterator[pa.RecordBatch], length: int, most: int) -> Iterat
                 gathered, size = [], 0
             gathered.append(row)
             last = row[0]
-            size += len(row[6]) + suffixes.GAP
+            size += len(row[5]) + suffixes.GAP
     if gathered:
         yield from flushed(False)
 
@@ -133,7 +156,31 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _rows(True, doc_id=doc[twice], first=first[twice], n=np.ones(int(twice.sum()), dtype=np.int64))
 
 
-def _cut(batches: Iterator[pa.RecordBatch], length: int, whole_characters: bool) -> Iterator[pa.RecordBatch]:
+def _bodies(batches: Iterator[pa.RecordBatch], length: int, unit: str) -> Iterator[pa.RecordBatch]:
+    """The text of each run of a document."""
+    for batch in batches:
+        columns: dict[str, list] = {k: [] for k in ("bucket", "doc_id", "first", "n", "wide", "body")}
+        for doc, text, members in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("members").to_pylist(), strict=True):
+            data = text.as_py().encode()
+            edges = _edges(data, unit)
+            for m in members:
+                last = m["first"] + m["n"] + length - 2
+                columns["doc_id"].append(doc)
+                columns["body"].append(data[edges[0][m["first"]] : edges[1][last]] if edges else data[m["first"] : last + 1])
+                for k in ("bucket", "first", "n", "wide"):
+                    columns[k].append(m[k])
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(columns.values(), kinds, strict=True)], names=list(columns))
+
+
+def _edges(data: bytes, unit: str) -> tuple[np.ndarray, np.ndarray] | None:
+    """Starts and ends of words, where these are what windows are made of."""
+    if unit != "word":
+        return None
+    return rolling.words(np.frombuffer(data, dtype=np.uint8), np.array([0, len(data)]))[:2]
+
+
+def _cut(batches: Iterator[pa.RecordBatch], length: int, unit: str, whole_characters: bool) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()),
                         ("spans", pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))), ("kept", pa.binary())])
     for batch in batches:
@@ -144,8 +191,14 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int, whole_characters: bool)
             if not len(found):
                 rows.append((doc, len(data), 0, [], data))
                 continue
-            gone = rolling.covered(spread(found >> 12, found & 4095), length, len(data))
-            if whole_characters:
+            edges = _edges(data, unit)
+            at = spread(found >> 12, found & 4095)
+            gone = rolling.covered(at, length, len(edges[0]) if edges else len(data))
+            if edges:
+                # A word goes with the white space behind it.
+                widths = np.diff(np.concatenate((edges[0], [len(data)])))
+                gone = np.concatenate((np.zeros(edges[0][0], dtype=bool), np.repeat(gone, widths)))
+            elif whole_characters:
                 character = np.cumsum((np.frombuffer(data, dtype=np.uint8) & 0xC0) != 0x80) - 1
                 gone = (np.bincount(character, gone) > 0)[character]
             edges = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])).astype(np.int8))).tolist()
@@ -154,29 +207,34 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int, whole_characters: bool)
         yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = runs.HOT, shard_bytes: int = SHARD_BYTES, whole_characters: bool = False) -> DataFrame:
+def without_repeats(
+    docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = runs.HOT, shard_bytes: int = SHARD_BYTES, whole_characters: bool = False, unit: str = "byte"
+) -> DataFrame:
     """Remove every byte that a string of ``length`` bytes covers which also starts elsewhere, in any document.
 
+    With ``unit="word"``, remove every word, and the white space behind it, that ``length`` words in a row cover which also
+    start elsewhere; words are runs of bytes other than ASCII white space.
+
     All occurrences go, the first one as well. Texts are UTF-8; a null text is empty. Rows without doc_id are left
     out; of rows with one doc_id the greatest text counts. Columns besides doc_id and text are ignored.
 
-    Returns doc_id, n_bytes, n_removed, spans (maximal removed runs) and kept (the remaining bytes). Characters may be
-    cut, unless ``whole_characters`` asks that one whose bytes are not all kept goes as a whole.
+    Returns doc_id, n_bytes, n_removed, spans (maximal removed runs, in bytes) and kept (the remaining bytes). Characters
+    may be cut, unless ``whole_characters`` asks that one whose bytes are not all kept goes as a whole.
     """
     texts = base.by_document(docs)
-    seeds = runs.seeds(texts, "byte", gram, length, hot)
-    members = seeds.where("not earlier and not alone").select("bucket", "doc_id", "first", "n", "extra", "wide")
-    body = F.substring(F.col("text").cast("binary"), (F.col("first") + 1).cast("int"), (F.col("n") + length - 1).cast("int"))
-    bodies = texts.join(members, "doc_id").select("bucket", "doc_id", "first", "n", "extra", "wide", body.alias("body"))
+    seeds = runs.seeds(docs, texts, unit, gram, length, hot)
+    member = F.struct("bucket", "first", "n", "wide")
+    members = seeds.where("not earlier and not alone").groupBy("doc_id").agg(F.collect_list(member).alias("members"))
+    bodies = texts.join(members, "doc_id").mapInArrow(lambda it: _bodies(it, length, unit), "bucket long, doc_id long, first long, n long, wide boolean, body binary")
     dealt = bodies.repartition("bucket").sortWithinPartitions("bucket", "doc_id", "first")
-    found = dealt.mapInArrow(lambda it: _shards(it, length, shard_bytes), FOUND)
+    found = dealt.mapInArrow(lambda it: _shards(it, length, shard_bytes, unit), FOUND)
     key = F.when(F.col("told"), F.hash("doc_id", "first")).otherwise(F.hash("high"))
     merged = found.repartition(key).mapInArrow(_merged, FOUND)
     whole = seeds.where("copies > 1")
     repeated = whole.select("doc_id", "first", "n").union(merged.select("doc_id", "first", "n"))
     of_document = repeated.groupBy("doc_id").agg(F.collect_list(F.shiftleft("first", 12).bitwiseOR(F.col("n"))).alias("found"))
     marked = texts.join(of_document, "doc_id", "left").select("doc_id", "text", "found")
-    return marked.mapInArrow(lambda it: _cut(it, length, whole_characters), OUT)
+    return marked.mapInArrow(lambda it: _cut(it, length, unit, whole_characters), OUT)
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -125,10 +126,64 @@ def test_empty_tables(spark, docs_of):
 def test_hot_runs_are_dealt_over_buckets():
     n = 1000
     anchor = np.zeros(n, dtype=np.int64)
-    batch = runs.dealt(anchor, np.arange(n), np.arange(n), np.zeros(n, dtype=np.int64), np.ones(n, dtype=np.int64), 64)
-    assert batch.num_rows == n + 1
-    _, counts = np.unique(batch.column("bucket").to_numpy(), return_counts=True)
-    assert counts.max() < 50
+    counts = np.zeros(runs.COUNTERS, dtype=np.int64)
+    counts[runs.counter_of(anchor[:1])] = n
+    batch = runs.dealt(anchor, np.arange(n), np.arange(n), np.zeros(n, dtype=np.int64), np.ones(n, dtype=np.int64), runs.spread_bits(counts, 64))
+    assert batch.num_rows == n
+    _, sizes = np.unique(batch.column("bucket").to_numpy(), return_counts=True)
+    assert sizes.max() < 50
+    assert not runs.spread_bits(counts, n + 1).any()
+
+
+def test_anchor_is_hot_over_all_tasks_together(spark, docs_of, rows_by_id):
+    """A passage in a few documents of every task, in more of all than makes an anchor hot."""
+    base.ready(spark)
+    rng = random.Random(3)
+    passage = " ".join(f"q{i}" for i in range(25))
+    pairs = [(d, f"{' '.join(rng.choice('abcdefgh') + str(rng.randrange(10**6)) for _ in range(30))} {passage} x{d} y{d}") for d in range(1200)]
+    docs = docs_of(pairs, 30)
+    seeds = runs.seeds(docs, base.by_document(docs), "word", 8, 20, 100)
+    assert max(r["count"] for r in seeds.groupBy("bucket").count().collect()) < 200
+    got = rows_by_id(substring.without_repeats(docs, hot=100))
+    assert {d: r.n_removed for d, r in got.items()} == {d: 25 if d else 0 for d in range(1200)}
+
+
+def test_lengths_beyond_what_runs_hold_are_refused(spark, docs_of, rows_by_id):
+    base.ready(spark)
+    body = " ".join(f"{i:x}" for i in range(700))
+    pairs = [(d, f"{d} {body} {d}") for d in range(3)]
+    widest = 200 + runs.MOST_WINDOWS - 1
+    got = rows_by_id(suffix_dedup.without_repeats(docs_of(pairs), length=widest, gram=200))
+    assert {d: (r.n_bytes, r.n_removed, bytes(r.kept)) for d, r in got.items()} == brute_bytes(pairs, widest)
+    with pytest.raises(ValueError, match="length"):
+        suffix_dedup.without_repeats(docs_of(pairs), length=widest + 1, gram=200)
+    with pytest.raises(ValueError, match="length"):
+        substring.without_repeats(docs_of(pairs), length=2000, gram=8)
+
+
+def brute_all_words(pairs, length):
+    """Remaining text without all occurrences of repeated windows of words, each word with the white space behind it."""
+    split = {d: re.findall(r"[^ \t\n\v\f\r]+[ \t\n\v\f\r]*", t or "") for d, t in pairs}
+    bare = {d: [w.strip(" \t\n\v\f\r") for w in ws] for d, ws in split.items()}
+    count = Counter(tuple(ws[i : i + length]) for ws in bare.values() for i in range(len(ws) - length + 1))
+    out = {}
+    for d, t in pairs:
+        ws, gone = bare[d], set()
+        for i in range(len(ws) - length + 1):
+            if count[tuple(ws[i : i + length])] > 1:
+                gone.update(range(i, i + length))
+        head = re.match(r"[ \t\n\v\f\r]*", t or "")[0]
+        out[d] = head + "".join(w for i, w in enumerate(split[d]) if i not in gone)
+    return out
+
+
+@pytest.mark.parametrize(("seed", "hot", "shard"), [(1, 64, 1 << 20), (2, 2, 400), (3, 2, 1 << 20), (4, 1000, 300)])
+def test_all_occurrences_of_words_as_by_brute_force(spark, docs_of, word_texts, rows_by_id, seed, hot, shard):
+    base.ready(spark)
+    pairs = list(enumerate(word_texts(seed, vocabulary=6 if seed == 3 else 30)))
+    got = rows_by_id(suffix_dedup.without_repeats(docs_of(pairs), length=9, gram=4, hot=hot, shard_bytes=shard, unit="word"))
+    assert {d: bytes(r.kept).decode() for d, r in got.items()} == brute_all_words(pairs, 9)
+    assert all(r.n_removed == r.n_bytes - len(r.kept) == sum(s.length for s in r.spans) for r in got.values())
 
 
 def test_suffix_array_and_common_prefixes():

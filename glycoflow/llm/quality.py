@@ -246,5 +246,24 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return out.select("doc_id", F.coalesce(F.col("fold") == HELD_OUT, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The rows that score ``threshold`` or more, each judged by its own text, with all their columns.
+
+    As in ``scored``, rows without doc_id and of a repeated one are documents of their own; nothing is joined back.
+    """
+    base.ready(docs.sparkSession)
+    marked = labels.where("quality IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct()
+    learned = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(marked, "doc_id", "left_semi")
+    model = fit(described(learned), labels)
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in rolling.batches(batch, "text", 1 << 18):
+                scores = model.score(statistics(part)) if model is not None else np.full(part.num_rows, 0.5)
+                yield part.filter(pa.array(scores >= threshold))
+
+    return docs.mapInArrow(judged, docs.schema)
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(base.table(spark, sf_dir, "documents"), base.table(spark, sf_dir, "labels"))

@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 def brute_stages(spark, docs, sf_dir):
     """The same decisions by plain Python; the classifier's own scores are taken as they are."""
     from tests.llm import test_near_duplicates as near
-    from tests.llm.test_repeats import brute_bytes
+    from tests.llm.test_repeats import brute_all_words
 
     rows = {r.doc_id: r for r in docs.collect()}
     bad = {r.doc_id for r in quality.scored(docs, base.table(spark, sf_dir, "labels")).where("predicted = 0").collect()}
@@ -19,8 +19,7 @@ def brute_stages(spark, docs, sf_dir):
     yield dict(texts)
     texts = keep_leaders(near.brute(texts.items()), texts)
     yield dict(texts)
-    cut = brute_bytes(list(texts.items()), 400)
-    texts = {d: whole_characters(texts[d], cut[d]) for d in texts}
+    texts = brute_all_words(list(texts.items()), 50)
     yield dict(texts)
     items = [re.findall(r"[^\W_]+", r.text.lower()) for r in base.table(spark, sf_dir, "benchmark").collect()]
     texts = {d: t for d, t in texts.items() if not any(holds(re.findall(r"[^\W_]+", t.lower()), item) for item in items)}
@@ -31,10 +30,6 @@ def keep_leaders(found, texts):
     return {d: t for d, t in texts.items() if found[d][1] == d}
 
 
-def whole_characters(text, cut):
-    return text if not cut[1] else bytes(cut[2]).decode("utf-8", "ignore")
-
-
 def holds(tokens, item):
     stretches = {tuple(item[i : i + 13]) for i in range(len(item) - 12)}
     first = {s[0] for s in stretches} | {s[1] for s in stretches} | {s[2] for s in stretches}
@@ -98,3 +93,29 @@ def test_repeats_keep_rows_without_id_and_of_one_id(spark):
     assert len(got) == len(rows)
     assert {r.source: (r.doc_id, r.text.strip(), r.lang) for r in got} == want
     assert all(r.n_chars == len(r.text) for r in got)
+
+
+def test_short_passages_of_many_words_are_cut(spark):
+    """51 words of 306 bytes, as planted passages are; columns named like the stage's own stay as they are."""
+    base.ready(spark)
+    passage = " ".join(f"w{i:04d}" for i in range(51))
+    assert len(passage) < 400
+    rows = [(d, f"head {d} {passage} {d} tail", "en", "a", 0) for d in range(3)] + [(3, passage.rpartition(" ")[0][6:], "en", "b", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.selectExpr("*", "5 AS _key", "6 AS key", "'x' AS row", "'y' AS kept", "struct(1 AS a) AS bucket")
+    got = {r.doc_id: r for r in corpus_pipeline.cut_repeats(spark, docs, SF).collect()}
+    assert {d: r.text for d, r in got.items()} == {**{d: f"head {d} {d} tail" for d in range(3)}, 3: rows[3][1]}
+    assert all((r._key, r.key, r.row, r.kept, r.bucket.a) == (5, 6, "x", "y", 1) for r in got.values())
+
+
+def test_quality_judges_each_row_of_a_doc_id(spark):
+    docs = base.table(spark, SF, "documents")
+    labels = base.table(spark, SF, "labels")
+    scores = {r.doc_id: r.predicted for r in quality.scored(docs, labels).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    good, bad = (next(t for d, t in sorted(texts.items()) if scores[d] == y and t) for y in (1, 0))
+    more = [(10**6, good, "en", "a", 1), (10**6, bad, "en", "b", 1), (None, good, "en", "c", 1), (None, bad, "en", "d", 1)]
+    extra = spark.createDataFrame(more, "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.accept(spark, docs.unionByName(extra), SF)
+    assert out.columns == docs.columns
+    assert sorted(r.source for r in out.where("doc_id IS NULL OR doc_id = 1000000").collect()) == ["a", "c"]

@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 from glycoflow.llm import base, decontam, minhash, packing, quality, suffix_dedup
 
 
+#: Passages of this many words go if they occur twice; they are looked for where as many words in a row do.
+REPEATED_WORDS, ANCHOR_WORDS = 50, 20
+
+
 def accept(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts. A row without doc_id cannot be told apart and stays."""
-    rejected = quality.scored(docs, base.table(spark, sf_dir, "labels")).where("predicted = 0").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(docs.columns)
+    """Rows that the quality classifier accepts, each by its own text."""
+    return quality.accepted(docs, base.table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,18 +30,20 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages of 400 bytes that occur twice; n_chars is that of the new text.
+    """Documents without passages of fifty words that occur twice; n_chars is that of the new text.
 
     Every row stays, with its own columns. Rows of equal doc_id and text are one document and do not cut each other;
-    others are documents of their own, also without doc_id or of a doc_id with several texts.
+    others are documents of their own, also without doc_id or of a doc_id with several texts. They are told apart by a
+    64-bit hash of both.
     """
     base.ready(spark)
     key = F.xxhash64(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    cut = suffix_dedup.without_repeats(docs.select(key.alias("doc_id"), "text"), whole_characters=True)
-    text = cut.select(F.col("doc_id").alias("_key"), F.col("kept").cast("string").alias("text"))
-    rest = docs.withColumn("_key", key).drop("text", "n_chars")
-    joined = text.join(rest, "_key").withColumn("n_chars", F.length("text").cast("bigint"))
-    return joined.select(docs.columns)
+    cut = suffix_dedup.without_repeats(docs.select(key.alias("doc_id"), "text"), REPEATED_WORDS, ANCHOR_WORDS, unit="word")
+    text = cut.select(F.col("doc_id").alias("key"), F.col("kept").cast("string").alias("kept"))
+    # Columns of any name stay apart from these in a structure.
+    rest = docs.select(key.alias("key"), F.struct(*(c for c in docs.columns if c not in ("text", "n_chars"))).alias("row"))
+    new = {"text": F.col("kept"), "n_chars": F.length("kept").cast("bigint")}
+    return text.join(rest, "key").select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

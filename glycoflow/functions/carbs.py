@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from glycoflow.functions.jsmath import clamp
 
 
+#: Share absorbed when the curve starts to fall.
+AT_PEAK = 0.4
+
+
 def peak_minutes(gi: Column) -> Column:
     return F.lit(120.0) - clamp(gi, 0.0, 100.0) / 100.0 * 90.0
 
@@ -23,6 +27,11 @@ def half_life_minutes(gi: Column) -> Column:
     return duration_minutes(gi) / 3.0
 
 
+def half_life_of(gi: float) -> float:
+    """`half_life_minutes` of a known index."""
+    return (120.0 + (100.0 - min(max(gi, 0.0), 100.0)) / 100.0 * 180.0) / 3.0
+
+
 def shape(minutes: Column, peak: Column, half_life: Column) -> Column:
     """Rising power, then falling exponential. The curve jumps at its peak; that is intended."""
     return F.when(minutes < peak, F.pow(minutes / peak, peak / half_life)).otherwise(
@@ -40,7 +49,7 @@ def absorbed_of(
 ) -> Column:
     """Grams absorbed so far, while inside the curve."""
     rising = grams * shape_ * minutes / ((peak / half_life + 1.0) * duration)
-    falling = grams * 0.4 + (grams - grams * 0.4) * (F.lit(1.0) - shape_)
+    falling = grams * AT_PEAK + (grams - grams * AT_PEAK) * (F.lit(1.0) - shape_)
     taken = F.when(minutes < peak, rising).otherwise(falling)
     return F.greatest(F.lit(0.0), F.least(grams, taken))
 

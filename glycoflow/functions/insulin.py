@@ -15,7 +15,8 @@ from glycoflow import values
 from glycoflow.functions.jsmath import clamp
 
 
-def _constants(kind: str) -> dict[str, float]:
+def constants(kind: str) -> dict[str, float]:
+    """Numbers of an insulin type, see `constant`."""
     kinetics = values.INSULIN[kind]
     slow = kinetics["half_life"] * 1.4
     fast = kinetics["onset"] * 0.7
@@ -30,8 +31,8 @@ def _constants(kind: str) -> dict[str, float]:
 
 def constant(kind: Column, name: str) -> Column:
     """`slow`, `fast` (decay minutes), `peak` (height) or `duration` (minutes) of a type."""
-    return F.when(kind == "basal", F.lit(_constants("basal")[name])).otherwise(
-        F.lit(_constants("bolus")[name])
+    return F.when(kind == "basal", F.lit(constants("basal")[name])).otherwise(
+        F.lit(constants("bolus")[name])
     )
 
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glycoflow import values
-from glycoflow.functions import alcohol, circadian, insulin
+from glycoflow.functions import alcohol, carbs, circadian, insulin
 from glycoflow.functions.jsmath import clamp, half_up
+from glycoflow.operators.decay import decaying_sums
 from glycoflow.plans.params import with_params
-from glycoflow.plans.state import PARTS
+from glycoflow.plans.state import carb_effects, carb_events, dose_events, drink_effects, drink_events
 
 BUCKET_MS = 3_600_000
 
@@ -28,20 +31,21 @@ def state_at(
 ) -> DataFrame:
     """Insulin, carbs and alcohol at the `as_of` of each request.
 
-    State depends on (subject, instant) only, so requests are first reduced to distinct
-    instants. Events are copied to the hours in which they act and meet the instants by
-    equality on (subject, hour); sums are taken map-side, pairs are never shuffled.
+    State depends on (subject, instant) only, so requests are first reduced to distinct instants. Insulin, and carbs
+    after their peak, are sums of exponentials that are carried from hour to hour (`decaying_sums`): a
+    request costs one row, however many doses act. The rising part of meals, up to two hours, and drinks, whose modifiers
+    multiply, meet the instants by equality on (subject, hour) and are summed map-side.
     """
-    instants = (
-        requests.select("subject_id", F.unix_millis("as_of").alias("at_ms"))
-        .distinct()
-        .withColumn("bucket", F.floor(F.col("at_ms") / F.lit(BUCKET_MS)))
-    )
-    pairs = None
-    for part in PARTS:
-        of_part = _paired(log, instants, part, params, meal_lookback_hours)
-        pairs = of_part if pairs is None else pairs.unionByName(of_part, allowMissingColumns=True)
-    found = pairs.groupBy("subject_id", "at_ms").agg(
+    instants = requests.select("subject_id", F.unix_millis("as_of").alias("at_ms")).distinct()
+    placed = instants.withColumn("bucket", F.floor(F.col("at_ms") / F.lit(BUCKET_MS)))
+    lookback = meal_lookback_hours * 60.0
+    parts = [
+        carried_state(log, instants, lookback),
+        _rising_carbs(log, placed, lookback),
+        _acting_drinks(log, placed, params, lookback),
+    ]
+    found = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    found = found.groupBy("subject_id", "at_ms").agg(
         F.sum("iob").alias("iob"),
         F.sum("cob").alias("cob"),
         F.sum("alcohol_in_system").alias("alcohol_in_system"),
@@ -58,25 +62,82 @@ def state_at(
     )
 
 
-def _paired(
-    log: DataFrame, instants: DataFrame, part: str, params: DataFrame | None, lookback_hours: int
-) -> DataFrame:
-    """Effects of one part at each instant, one row per event acting there."""
-    build, effects = PARTS[part]
+#: Fixed time constants: two of each insulin type, and one of each glycaemic index in use.
+_KINDS = ("bolus", "basal")
+_INDEXES = sorted({float(gi) for _, gi in values.GI_KEYWORDS + values.GI_MODIFIERS} | {float(values.GI_DEFAULT)})
+_TAUS = [insulin.constants(kind)[name] for kind in _KINDS for name in ("slow", "fast")] + [
+    carbs.half_life_of(gi) for gi in _INDEXES
+]
+
+
+def _ms_after(ms: Column, minutes: Column) -> Column:
+    """The first whole millisecond that many minutes later."""
+    return F.ceil(ms.cast("double") + minutes * 60000.0).cast("bigint")
+
+
+def carried_state(log: DataFrame, instants: DataFrame, lookback_minutes: float) -> DataFrame:
+    """subject_id, at_ms, iob, and cob of the meals past their peak; one row per instant."""
+    doses = dose_events(log)
+    slow, fast = F.col("slow"), F.col("fast")
+    first = F.when(F.col("kind") == "basal", F.lit(2)).otherwise(F.lit(0))
+
+    def of_dose(no: Column, weight: Column) -> Column:
+        return F.struct(no.alias("tau_no"), (F.col("dose") * weight / (slow - fast)).alias("weight"))
+
+    insulin_terms = doses.select(
+        "subject_id",
+        F.col("ms").alias("from_ms"),
+        _ms_after(F.col("ms"), F.col("minutes")).alias("to_ms"),
+        F.explode(F.array(of_dose(first, slow), of_dose(first + 1, -fast))).alias("t"),
+    ).select("subject_id", "from_ms", "to_ms", "t.tau_no", "t.weight")
+    grams, peak, half = F.col("grams"), F.col("peak"), F.col("half_life")
+    since = (F.col("from_ms") - F.col("ms")).cast("double") / 60000.0
+    until = F.least(
+        _ms_after(F.col("ms"), F.col("minutes")),
+        F.col("ms") + F.lit(int(lookback_minutes * 60000) + 1),
+    )
+    carb_terms = (
+        carb_events(log)
+        .withColumn("from_ms", _ms_after(F.col("ms"), peak))
+        .select(
+            "subject_id",
+            "from_ms",
+            until.alias("to_ms"),
+            (F.array_position(F.array(*map(F.lit, _INDEXES)), F.col("gi")).cast("int") + 3).alias("tau_no"),
+            (grams * (1.0 - carbs.AT_PEAK) * F.exp((peak - since) / half)).alias("weight"),
+        )
+    )
+    sums = decaying_sums(insulin_terms.unionByName(carb_terms), instants, _TAUS)
+    total = lambda names: reduce(lambda a, b: a + b, map(F.col, names))
+    return sums.select(
+        "subject_id",
+        "at_ms",
+        total(f"sum_{i}" for i in range(4)).alias("iob"),
+        total(f"sum_{i}" for i in range(4, len(_TAUS))).alias("cob"),
+    )
+
+
+def _met(events: DataFrame, instants: DataFrame, minutes: Column, lookback_minutes: float) -> DataFrame:
+    """Each event with the instants less than `minutes` after it, and `since`."""
     start = F.floor(F.col("ms") / F.lit(BUCKET_MS))
-    stop = F.floor((F.col("ms").cast("double") + F.col("minutes") * 60000.0) / F.lit(BUCKET_MS))
-    events = build(log, params).withColumn("bucket", F.explode(F.sequence(start, stop)))
+    stop = F.floor((F.col("ms").cast("double") + minutes * 60000.0) / F.lit(BUCKET_MS))
     since = F.col("since")
-    seen = F.lit(True) if part == "dose" else since <= lookback_hours * 60.0
-    acting = (
-        instants.join(events, ["subject_id", "bucket"])
+    return (
+        instants.join(events.withColumn("bucket", F.explode(F.sequence(start, stop))), ["subject_id", "bucket"])
         .withColumn("since", (F.col("at_ms") - F.col("ms")).cast("double") / 60000.0)
-        .filter((since >= 0) & (since < F.col("minutes")) & seen)
+        .filter((since >= 0) & (since < minutes) & (since <= lookback_minutes))
     )
-    out = effects(acting)
-    if part == "drink":
-        out = out.withColumn("sip", F.struct("ms", "id", "units")).drop("units")
-    return out.drop("ms", "id")
+
+
+def _rising_carbs(log: DataFrame, instants: DataFrame, lookback_minutes: float) -> DataFrame:
+    """cob of meals before their peak, one row per meal."""
+    return carb_effects(_met(carb_events(log), instants, F.col("peak"), lookback_minutes)).select("subject_id", "at_ms", "cob")
+
+
+def _acting_drinks(log: DataFrame, instants: DataFrame, params: DataFrame | None, lookback_minutes: float) -> DataFrame:
+    """Effects of drinks, one row per drink."""
+    met = _met(drink_events(log, params), instants, F.col("minutes"), lookback_minutes)
+    return drink_effects(met).withColumn("sip", F.struct("ms", "id", "units")).drop("ms", "id", "units")
 
 
 def _half_units(x: Column) -> Column:

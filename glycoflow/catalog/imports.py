@@ -12,7 +12,10 @@ from glycoflow.catalog.logs import FLAT, FLAT_SQL, _NUM, _with
 from glycoflow.catalog.registry import query, r6
 from glycoflow import values
 from glycoflow.operators import importing
-from glycoflow.sources import csvfiles, payloads, tables
+from glycoflow.session import shared_folder
+from glycoflow.sources import csvfiles, payloads, tables, versions
+from glycoflow.sources.versions import KeyIndex, Version, VersionedTable
+from glycoflow.streaming.ingest import merge_version
 
 LIBRE_HEADER = (
     "Device,Serial Number,Device Timestamp,Record Type,"
@@ -327,6 +330,24 @@ def missing_keys(spark, sf):
 # -- JSON, CSV and payloads ------------------------------------------------------------------
 
 
+def _batches(log):
+    """A stored log and two batches of changes to it, see `merged_batches`."""
+    kind = F.col("event_id") % 6
+    stored = log.withColumn("updated_at", F.when(kind != 3, F.col("updated_at")))
+    day = F.expr("INTERVAL 1 DAY")
+    stamp = F.when(kind == 1, F.col("updated_at") - day).otherwise(F.col("updated_at") + day)
+    change = F.when(kind == 0, 1).when(kind == 1, 100).when(kind == 3, 7).when(kind == 4, 20)
+    changed = {
+        "id": F.when(kind == 5, F.concat("id", F.lit("-new"))).otherwise(F.col("id")),
+        "ts": F.when(kind.isin(2, 4), F.col("ts") + day).otherwise(F.col("ts")),
+        "value": F.col("value") + F.coalesce(change, F.lit(0)),
+        "updated_at": stamp,
+    }
+    first = stored.select(*(changed.get(c, F.col(c)).alias(c) for c in stored.columns))
+    stale = first.filter(kind == 5).withColumns({"value": F.col("value") + 1, "updated_at": F.lit(None).cast("timestamp")})
+    return stored, first, stale
+
+
 @query("st1_merged_batches", _with(LOG) + f"""
 SELECT id, ms + CASE WHEN event_id % 6 IN (2, 4) THEN 86400000 ELSE 0 END AS ts,
   {r6('value + CASE event_id % 6 WHEN 0 THEN 1 WHEN 3 THEN 7 WHEN 4 THEN 20 ELSE 0 END')} AS value FROM log
@@ -339,27 +360,34 @@ def merged_batches(spark, sf):
     and a newer value at once (4) and a new event (5). The second repeats the first, after
     an older state of the new events that must not win.
     """
-    log = event_log(spark, sf, keep=("event_id",))
-    kind = F.col("event_id") % 6
-    stored = log.withColumn("updated_at", F.when(kind != 3, F.col("updated_at")))
-    day = F.expr("INTERVAL 1 DAY")
-    stamp = F.when(kind == 1, F.col("updated_at") - day).otherwise(F.col("updated_at") + day)
-    change = F.when(kind == 0, 1).when(kind == 1, 100).when(kind == 3, 7).when(kind == 4, 20)
-    first = stored.select(
-        F.when(kind == 5, F.concat("id", F.lit("-new"))).otherwise(F.col("id")).alias("id"),
-        F.when(kind.isin(2, 4), F.col("ts") + day).otherwise(F.col("ts")).alias("ts"),
-        (F.col("value") + F.coalesce(change, F.lit(0))).alias("value"),
-        stamp.alias("updated_at"), kind.alias("kind"),
-    )
-    stale = first.filter("kind = 5").select(
-        "id", "ts", (F.col("value") + 1).alias("value"), F.lit(None).cast("timestamp").alias("updated_at")
-    )
+    stored, first, stale = _batches(event_log(spark, sf, keep=("event_id",)))
     columns = ["id", "ts", "value", "updated_at"]
     merged = tables.upsert(stored.select(*columns), first.select(*columns), ["id"], "updated_at")
-    again = first.select(*columns).unionByName(stale)
+    again = first.unionByName(stale).select(*columns)
     return tables.upsert(merged, again, ["id"], "updated_at").drop("updated_at")
 
 
+@query("st5_compacted_table", _with(LOG) + f"""
+, r AS (
+SELECT id, ms + CASE WHEN event_id % 6 IN (2, 4) THEN 86400000 ELSE 0 END AS ts,
+  {r6('value + CASE event_id % 6 WHEN 0 THEN 1 WHEN 3 THEN 7 WHEN 4 THEN 20 ELSE 0 END')} AS value FROM log
+UNION ALL SELECT id || '-new', ms, {r6('value')} FROM log WHERE event_id % 6 = 5)
+SELECT *, strftime(make_timestamp(ts * 1000), '%Y-%m-%d') AS event_date FROM r""")
+def compacted_table(spark, sf):
+    """The table in versions after a load, a merge by key index and a compaction of every day."""
+    stored, first, _ = _batches(event_log(spark, sf, keep=("event_id",)))
+    root = shared_folder(spark)
+    loaded = VersionedTable(spark, f"{root}/events", stored.drop("event_id").schema)
+    index = KeyIndex(spark, f"{root}/ids")
+    dated = stored.withColumn("event_date", F.to_date("ts"))
+    index.rebuild(dated)
+    hours = dated.withColumn("_hour", F.hour("ts")).hint("rebalance", F.col("event_date"), F.col("_hour"))
+    loaded.commit(Version(), {}, loaded.stage(hours))
+    merged = merge_version(first, loaded, index)
+    versions.compact_days(loaded, sorted(merged.days))
+    return loaded.read().select("id", "ts", "value", "event_date")
+
+
 @query("s13_backup_restore", _with(LOG) + f"""
 , d AS (SELECT *, event_id // 3 AS doc FROM log)
 SELECT doc, id AS source_id, subject_id, ms AS ts, event_type, {r6('value')} AS value, descr AS description, {r6('aunits')} AS alcohol_units,

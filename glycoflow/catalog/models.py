@@ -17,6 +17,7 @@ from glycoflow.catalog.kernels import (
 from glycoflow.catalog.registry import query, r6
 from glycoflow.functions import carbs as carb_fn
 from glycoflow.functions import circadian, insulin
+from glycoflow.operators import dimensions
 from glycoflow.operators.ordered import asof_join
 from glycoflow.plans import dose, predict, state, tuning
 
@@ -64,11 +65,11 @@ ia AS (SELECT subject_id, t, sum(iob) AS iob, sum(rate) AS arate, max(clear_ms)
 ca AS (SELECT subject_id, t, sum(cob) AS cob, sum(rate) AS crate, max(done_ms) AS done_ms FROM carb GROUP BY ALL),
 aa AS (SELECT subject_id, t, sum(absorbing) AS absorbing, sum(in_system) AS in_system, product(md2) AS md,
          max(sober_ms) AS sober_ms FROM alc GROUP BY ALL),
-rd AS (SELECT subject_id, ms, arg_max(value, id) AS value FROM seen WHERE event_type = 'bsl' GROUP BY ALL),
+rd AS (SELECT subject_id, ms, arg_max(value, id) AS value, arg_max(coalesce(source, 'manual'), id) AS source FROM seen WHERE event_type = 'bsl' GROUP BY ALL),
 st AS (SELECT g.subject_id, g.t, coalesce(iob, 0) AS iob, coalesce(arate, 0) AS arate,
     greatest(coalesce(clear_ms, g.t), g.t) AS clear_ms, coalesce(cob, 0) AS cob, coalesce(crate, 0) AS crate,
     greatest(coalesce(done_ms, g.t), g.t) AS done_ms, coalesce(absorbing, 0) AS absorbing,
-    coalesce(in_system, 0) AS in_system, coalesce(md, 1) AS md, sober_ms, rd.value AS last_bsl, rd.ms AS last_ms,
+    coalesce(in_system, 0) AS in_system, coalesce(md, 1) AS md, sober_ms, rd.value AS last_bsl, rd.ms AS last_ms, rd.source AS last_source,
     {_G['combined_factor'].replace('t//', 'g.t//')} AS cf, {_G['insulin_sensitivity'].replace('t//', 'g.t//')} AS se,
     {_G['dawn_effect'].replace('t//', 'g.t//')} AS de, b, d
   FROM grid g CROSS JOIN circ LEFT JOIN ia ON ia.subject_id = g.subject_id AND ia.t = g.t
@@ -151,13 +152,41 @@ def asof_last_reading(spark, sf):
     )
 
 
+# The parameters once more, so that a slip in the engine's own tables shows.
+DIMENSIONS = """
+ik(insulin_type, onset_minutes, peak_minutes, duration_minutes, half_life_minutes) AS (
+  VALUES ('bolus', 15.0, 75.0, 240.0, 55.0), ('basal', 90.0, 360.0, 1440.0, 300.0)),
+dk(drink_type, absorption_half_life, lowest_modifier, effect_hours) AS (
+  VALUES ('beer', 20.0, 0.85, 12.0), ('wine', 25.0, 0.8, 14.0), ('spirit', 15.0, 0.75, 16.0), ('mixed', 25.0, 0.8, 12.0)),
+ch(hour, base_factor, dawn_effect, overnight_weight) AS (
+  VALUES (0, 0.95, 0.0, 0.0), (1, 0.9, 0.0, 0.0), (2, 0.85, 0.0, 0.0), (3, 0.85, 0.2, 0.0), (4, 0.9, 0.5, 0.15), (5, 1.0, 0.8, 0.2),
+         (6, 1.15, 1.0, 0.25), (7, 1.2, 0.8, 0.2), (8, 1.15, 0.4, 0.1), (9, 1.1, 0.1, 0.0), (10, 1.0, 0.0, 0.0), (11, 1.0, 0.0, 0.0),
+         (12, 1.05, 0.0, 0.0), (13, 1.0, 0.0, 0.0), (14, 0.95, 0.0, 0.0), (15, 0.95, 0.0, 0.0), (16, 1.0, 0.0, 0.0), (17, 1.05, 0.0, 0.0),
+         (18, 1.1, 0.0, 0.0), (19, 1.05, 0.0, 0.0), (20, 1.0, 0.0, 0.0), (21, 0.95, 0.0, 0.0), (22, 0.9, 0.0, 0.0), (23, 0.95, 0.0, 0.0))
+"""
+
+
+@query("j11_event_parameters", _with(LOG, DIMENSIONS) + """
+SELECT id, insulin_type, onset_minutes::DOUBLE AS onset_minutes, peak_minutes::DOUBLE AS peak_minutes, duration_minutes::DOUBLE AS duration_minutes,
+  half_life_minutes::DOUBLE AS half_life_minutes, drink_type, absorption_half_life::DOUBLE AS absorption_half_life,
+  lowest_modifier::DOUBLE AS lowest_modifier, effect_hours::DOUBLE AS effect_hours, base_factor::DOUBLE AS base_factor,
+  dawn_effect::DOUBLE AS dawn_effect, overnight_weight::DOUBLE AS overnight_weight
+FROM log LEFT JOIN ik ON event_type = 'insulin' AND insulin_type = itype LEFT JOIN dk ON aunits > 0 AND drink_type = atype
+JOIN ch ON hour = ms // 3600000 % 24""")
+def event_parameters(spark, sf):
+    return dimensions.with_dimensions(event_log(spark, sf)).select(
+        "id", "insulin_type", "onset_minutes", "peak_minutes", "duration_minutes", "half_life_minutes", "drink_type",
+        "absorption_half_life", "lowest_modifier", "effect_hours", "base_factor", "dawn_effect", "overnight_weight",
+    )
+
+
 @query("m1_metabolic_state", _with(*FULL) + f"""
 SELECT subject_id, t AS at_ts, {r6('iob')} AS iob, {r6('arate')} AS activity_rate, clear_ms,
   {r6('cob')} AS cob, {r6('crate')} AS absorption_rate, done_ms AS carbs_done_ms, {r6('absorbing')} AS alcohol_absorbing,
   {r6('in_system')} AS alcohol_in_system, {r6('md')} AS sensitivity_modifier,
   {r6('greatest(0.0::DOUBLE, in_system/(70.0::DOUBLE*0.6::DOUBLE)*10.0)')} AS blood_alcohol, sober_ms,
   CAST(t//3600000%24 AS BIGINT) AS hour, {r6('se')} AS insulin_sensitivity, {r6('de')} AS dawn_effect,
-  {r6('cf')} AS combined_factor, {r6('last_bsl')} AS last_bsl, last_ms AS last_bsl_ms FROM st""")
+  {r6('cf')} AS combined_factor, {r6('last_bsl')} AS last_bsl, last_ms AS last_bsl_ms, last_source AS last_bsl_source FROM st""")
 def metabolic_state(spark, sf):
     log = event_log(spark, sf)
     out = state.metabolic_state(log, log_grid(spark, sf), subjects(log))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -36,3 +39,16 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder in the one that the cluster names in ``spark.checkpoint.dir``, which all its machines see.
+
+    A local master, as in tests, may do without that setting.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines see")
+        root = f"file://{tempfile.mkdtemp(prefix='glycoflow-')}"
+    return f"{root.rstrip('/')}/glycoflow-{uuid.uuid4().hex}"

@@ -109,13 +109,14 @@ def event_window(
 # -- summaries -----------------------------------------------------------------
 
 
-def day_summary(log: DataFrame, tz: str | None = None) -> DataFrame:
-    """Insulin, carbohydrate and glucose of every subject and local day."""
+def day_summary(log: DataFrame, tz: str | None = None, by: list[str] | None = None) -> DataFrame:
+    """Insulin, carbohydrate and glucose of every subject and local day; `by` names further columns to group by."""
 
     def only(event_type: str) -> Column:
         return F.when(F.col("event_type") == event_type, F.col("value"))
 
-    return log.groupBy("subject_id", F.to_date(local_time(F.col("ts"), tz)).alias("day")).agg(
+    day = F.to_date(local_time(F.col("ts"), tz)).alias("day")
+    return log.groupBy("subject_id", day, *(by or [])).agg(
         F.coalesce(F.sum(only("insulin")), F.lit(0.0)).alias("total_insulin"),
         F.coalesce(F.sum(only("meal")), F.lit(0.0)).alias("total_carbs"),
         F.avg(only("bsl")).alias("avg_bsl"),

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glycoflow.functions import glucose
+from glycoflow.functions import circadian, glucose
 from glycoflow.operators import log as log_ops
 from glycoflow.operators.grid import Grid
 from glycoflow.plans.state import all_contributions
@@ -13,9 +13,11 @@ from glycoflow.plans.state import all_contributions
 LONGEST_EFFECT_HOURS = 24
 
 
-def once(events: DataFrame, delay: str) -> DataFrame:
-    """Events with their watermark, each id once: a file delivered again changes nothing."""
-    marked = events.withWatermark("ts", delay)
+def once(events: DataFrame, delay: str, at: str = "ts") -> DataFrame:
+    """Events with their watermark, each id once: a file delivered again changes nothing. Rows without an id column stay."""
+    marked = events.withWatermark(at, delay)
+    if "id" not in events.columns:
+        return marked
     if events.isStreaming:
         return marked.dropDuplicatesWithinWatermark(["id"])
     return marked.dropDuplicates(["id"])
@@ -44,9 +46,9 @@ def glucose_windows(events: DataFrame, minutes: int = 5, delay: str = "10 minute
 
 
 def session_windows(events: DataFrame, gap: str = "2 hours", delay: str = "10 minutes") -> DataFrame:
-    """Runs of events of one subject less than a gap apart, as a stream closes them."""
+    """Runs of events of one subject less than a gap apart, as a stream closes them. An id counts once."""
     return (
-        events.withWatermark("ts", delay)
+        once(events, delay)
         .groupBy("subject_id", F.session_window("ts", gap).alias("w"))
         .agg(F.count(F.lit(1)).alias("n_events"), F.min("ts").alias("session_start"),
              F.max("ts").alias("session_last"))
@@ -54,9 +56,35 @@ def session_windows(events: DataFrame, gap: str = "2 hours", delay: str = "10 mi
     )
 
 
-def day_totals(events: DataFrame, tz: str | None = None) -> DataFrame:
-    """The summary of each day, for a sink in update or complete mode."""
-    return log_ops.day_summary(events, tz)
+def day_totals(events: DataFrame, tz: str | None = None, delay_minutes: int = 10) -> DataFrame:
+    """The summary of each subject and local day, for a sink in update or append mode.
+
+    A day's event time is the instant at which it ends in the time zone, so its sums, and the ids seen in it, leave the
+    state once that instant is a delay behind: in update mode a day's row comes again whenever it changes
+    (`upsert_days` stores the last one), in append mode once, when the day is closed. An id counts once.
+    """
+    day = F.to_date(circadian.local_time(F.col("ts"), tz))
+    end = F.date_add(day, 1).cast("timestamp")
+    # The newest event's own day may end a whole day after it.
+    dated = events.withColumn("day", day).withColumn("day_end", end if tz is None else F.to_utc_timestamp(end, tz))
+    known = once(dated, f"{26 * 60 + delay_minutes} minutes", at="day_end")
+    return log_ops.day_summary(known, tz, by=["day_end"]).drop("day_end")
+
+
+def upsert_days(rows: DataFrame, path: str, batch_id: int) -> None:
+    """Store the rows of one batch of `day_totals` as the newest of their subject and day.
+
+    One folder per batch, so a batch that runs again writes the same; `stored_days` picks the last row of each day.
+    """
+    rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+
+def stored_days(spark: SparkSession, path: str) -> DataFrame:
+    """The last row of every subject and day, from what `upsert_days` has stored."""
+    rows = spark.read.parquet(path)
+    names = [c for c in rows.columns if c not in ("subject_id", "day", "batch")]
+    newest = rows.groupBy("subject_id", "day").agg(F.max_by(F.struct(*names), "batch").alias("row"))
+    return newest.select("subject_id", "day", *[F.col("row")[c].alias(c) for c in names])
 
 
 def decay_totals(

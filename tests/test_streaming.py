@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from conftest import BASE, at, event, utc_ms
 from glycoflow.operators.grid import Grid
+from glycoflow.operators.log import day_summary as log_day_summary
 from glycoflow.operators.log import recent_per_subject
 from glycoflow.sources.tables import export_documents, restore_lines
 from glycoflow.streaming import ingest, late, windows
@@ -164,6 +165,33 @@ def test_day_totals_in_complete_mode(spark, make_log, landed):
     }
 
 
+def test_day_totals_leave_the_state(spark, make_log, tmp_path):
+    """Forty days in ten files, the fifth delivered twice: few days are ever open, and stored rows are right."""
+    folder, path = tmp_path / "in", str(tmp_path / "view")
+    folder.mkdir()
+    rows = [event(f"x{i:04}", at(i * 60), "insulin", 1.0 + i % 3, subject=1 + i % 2) for i in range(960)]
+    land(make_log, rows, folder, 10)
+    (folder / "004b.json").write_text((folder / "004.json").read_text())
+    days = windows.day_totals(ingest.event_files(spark, str(folder), 1), "Australia/Sydney")
+    query = (
+        days.writeStream.outputMode("update").foreachBatch(lambda df, n: windows.upsert_days(df, path, n))
+        .option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    totals = [max(o["numRowsTotal"] for o in p["stateOperators"] if o["operatorName"] == "stateStoreSave") for p in query.recentProgress if p["stateOperators"]]
+    assert len(totals) >= 10 and max(totals[3:]) <= 2 * 7
+    got = {(r.subject_id, r.day): (r.event_count, r.total_insulin) for r in windows.stored_days(spark, path).collect()}
+    want = {(r.subject_id, r.day): (r.event_count, r.total_insulin) for r in log_day_summary(make_log(rows), "Australia/Sydney").collect()}
+    assert got == want
+
+
+def test_delivered_again_counts_once_everywhere(make_log):
+    rows = sample(60)
+    for view in (windows.session_windows, windows.day_totals):
+        one, two = (sorted(map(str, view(make_log(r)).collect())) for r in (rows, rows + rows))
+        assert one == two
+
+
 def test_late_rows_and_what_they_make_stale(spark):
     df = spark.createDataFrame(
         [(1, at(0), at(10)), (1, at(5), at(15, 1)), (1, at(50), at(100))], "subject_id long, ts timestamp, ingest_ts timestamp"

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from glycoflow.llm import base
 
-#: A line is above the limit in more documents of its host than this number and this percentage of them.
-LEAST_DOCUMENTS, PERCENT_OF_HOST = 5, 10
+#: A line is above the limit in more documents of its host than the first number, and either than the percentage of them or
+#: than the last number, which does not grow with the host.
+LEAST_DOCUMENTS, PERCENT_OF_HOST, MOST_DOCUMENTS = 5, 10, 1000
 #: A document is depleted if more than this percentage of its words goes.
 MOST_REMOVED = 50
 LEAST_WORDS, MOST_REPEATED = 20, 30
@@ -75,7 +76,7 @@ def with_signals(docs: DataFrame, host: str = "source") -> DataFrame:
     )
 
 
-def judged(docs: DataFrame, host: str = "source", least: int = LEAST_DOCUMENTS, percent: int = PERCENT_OF_HOST, most_removed: int = MOST_REMOVED) -> DataFrame:
+def judged(docs: DataFrame, host: str = "source", least: int = LEAST_DOCUMENTS, percent: int = PERCENT_OF_HOST, most_removed: int = MOST_REMOVED, most: int = MOST_DOCUMENTS) -> DataFrame:
     """Judge every document by base rules, then by what is left without the lines that its host repeats.
 
     A null text is empty; a null host is one host; rows of equal doc_id and text are one document, and a doc_id with
@@ -92,7 +93,8 @@ def judged(docs: DataFrame, host: str = "source", least: int = LEAST_DOCUMENTS,
     per_document = line.groupBy("host", "hash", "doc_id", "row").agg(F.sum("n").alias("n"))
     spread = per_document.groupBy("host", "hash").agg(F.count("*").alias("documents"))
     sizes = documents.groupBy("host").agg(F.count("*").alias("size"))
-    above = spread.where(F.col("documents") > least).join(sizes, "host").where(F.col("documents") * 100 > percent * F.col("size")).select("host", "hash")
+    many = (F.col("documents") * 100 > percent * F.col("size")) | (F.col("documents") > most)
+    above = spread.where(F.col("documents") > least).join(sizes, "host").where(many).select("host", "hash")
     removed = per_document.join(above, ["host", "hash"]).groupBy("doc_id", "row").agg(F.sum("n").alias("n_line_words"))
     removed = removed.select(F.col("doc_id").alias("d"), F.col("row").alias("r"), "n_line_words")
     joined = documents.join(removed, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r")), "left")
@@ -123,7 +125,7 @@ rep AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM again, range
 sizes AS (SELECT host, count(*) AS size FROM d GROUP BY host),
 above AS (
   SELECT host, norm FROM worded JOIN sizes USING (host) GROUP BY host, norm, size
-  HAVING count(DISTINCT doc_id) > 5 AND 100 * count(DISTINCT doc_id) > 10 * size
+  HAVING count(DISTINCT doc_id) > 5 AND (100 * count(DISTINCT doc_id) > 10 * size OR count(DISTINCT doc_id) > 1000)
 ),
 gone AS (SELECT doc_id, sum(n)::BIGINT AS n_line_words FROM worded JOIN above USING (host, norm) GROUP BY doc_id),
 s AS (

@@ -16,8 +16,8 @@ from glycoflow.llm import base
 MARKS = r"^(?:[ \t]*>)+"
 BLANK_RUN = r"[\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
-#: Digits of a turn in a path.
-DIGITS = 12
+#: A turn in a path: its distance from the least long, so that negative ones sort first, in as many digits as that takes.
+OFFSET, DIGITS = 1 << 63, 20
 
 
 def normalised(text: Column) -> Column:
@@ -78,6 +78,10 @@ def _paths(links: DataFrame) -> DataFrame:
     return rows.select("conv_id", "turn", "path")
 
 
+def _step(turn: Column) -> Column:
+    return F.lpad((turn.cast("decimal(20,0)") + F.lit(str(OFFSET)).cast("decimal(20,0)")).cast("decimal(20,0)").cast("string"), DIGITS, "0")
+
+
 def threaded(conversations: DataFrame) -> DataFrame:
     """Messages in reply order, without quotes.
 
@@ -103,7 +107,7 @@ def threaded(conversations: DataFrame) -> DataFrame:
     counted = passages.groupBy("conv_id", "turn").agg(F.count("*").alias("n_quotes"))
     keys = ["conv_id", "turn"]
     joined = messages.join(links, keys, "left").join(_paths(links), keys, "left").join(counted, keys, "left").join(linked, keys, "left")
-    path = F.transform(F.coalesce("path", F.array("turn")), lambda t: F.lpad(t.cast("string"), DIGITS, "0"))
+    path = F.transform(F.coalesce("path", F.array("turn")), _step)
     rows = joined.select(
         "conv_id", "turn", "role", F.col("parent").alias("parent_turn"), F.array_join(path, "/").alias("path"),
         F.coalesce("n_quotes", F.lit(0)).cast("bigint").alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).cast("bigint").alias("n_linked"),
@@ -119,6 +123,7 @@ def op6_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _NORM = "lower(regexp_replace(trim({0}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '[\\x20\\x09-\\x0D]+', ' ', 'g'))"
 _PARTS = "unnest(list_concat(list_concat([{0}], regexp_split_to_array({0}, '\\n[\\x20\\x09-\\x0D]*\\n')), string_split({0}, chr(10))))"
+_STEP = "lpad(({0}::HUGEINT + 9223372036854775808)::VARCHAR, 20, '0')"
 SQL = f"""
 WITH RECURSIVE m AS (
   SELECT conv_id, turn, max_by(role, (coalesce(text, ''), role)) AS role, max(coalesce(text, '')) AS text FROM conversations
@@ -145,9 +150,9 @@ lk AS (SELECT conv_id, turn, count(DISTINCT passage) AS n_linked FROM f GROUP BY
 mt AS (SELECT conv_id, turn, original, sum(length(unit)) AS size FROM f WHERE level = 1 GROUP BY conv_id, turn, original),
 par AS (SELECT conv_id, turn, arg_max(original, (size, original)) AS parent FROM mt GROUP BY conv_id, turn),
 path AS (
-  SELECT m.conv_id, m.turn, lpad(m.turn::VARCHAR, 12, '0') AS path FROM m ANTI JOIN par USING (conv_id, turn)
+  SELECT m.conv_id, m.turn, {_STEP.format('m.turn')} AS path FROM m ANTI JOIN par USING (conv_id, turn)
   UNION ALL
-  SELECT par.conv_id, par.turn, path.path || '/' || lpad(par.turn::VARCHAR, 12, '0') FROM par JOIN path ON par.conv_id = path.conv_id AND par.parent = path.turn
+  SELECT par.conv_id, par.turn, path.path || '/' || {_STEP.format('par.turn')} FROM par JOIN path ON par.conv_id = path.conv_id AND par.parent = path.turn
 ),
 q AS (SELECT conv_id, turn, count(*) AS n_quotes FROM p GROUP BY conv_id, turn)
 SELECT conv_id, turn, role, parent AS parent_turn, path, coalesce(n_quotes, 0)::BIGINT AS n_quotes, coalesce(n_linked, 0)::BIGINT AS n_linked,

@@ -1,6 +1,6 @@
 """WARC archives without repeated payloads.
 
-Payload digests, without the payloads, are shuffled; of equal payloads the record of the smallest page_id stays a
+Payloads are shuffled once, by page_id, to keep one row per page; resolution shuffles their digests alone. Of equal payloads the record of the smallest page_id stays a
 response and the others become revisit records with fresh headers that refer to it. Archives are written through
 Spark's text writer, whose line separator is what ends a WARC record, so any store and the usual commit protocol
 serve. Reading takes record after record by its Content-Length and joins revisits to their originals.
@@ -21,8 +21,10 @@ from glycoflow.llm import base
 #: Payloads below this size are never revisits.
 LEAST = 100
 DATE = "2025-01-01T00:00:00Z"
-#: Records of one archive file, which is read in one go.
+#: Records of one archive file.
 PER_FILE = 5_000
+#: Bytes that are unpacked at a time, and of payloads in a batch that is read; a record alone may be larger.
+STEP, BATCH_BYTES = 1 << 20, 8 << 20
 END_OF_RECORD = "\r\n\r\n"
 #: Fixed values of the format.
 VERSION = "WARC/1.1"
@@ -97,12 +99,44 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST, date: str
     records(pages, least, date).write.options(**options).text(folder)
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (names in lower case) and block of each record of an unpacked archive."""
+def unpacked(data: bytes, step: int = STEP) -> Iterator[bytes]:
+    """An archive's content piece by piece; it may consist of several gzip members."""
+    member = zlib.decompressobj(wbits=31)
+    while data:
+        piece = member.decompress(data, step)
+        if piece:
+            yield piece
+        data = member.unconsumed_tail
+        if member.eof:
+            data = member.unused_data
+            member = zlib.decompressobj(wbits=31)
+        elif not data:
+            piece = member.flush()
+            if piece:
+                yield piece
+
+
+def parse(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers (names in lower case) and block of each record of an unpacked archive; no more than a record and a piece
+    are held at once."""
+    have = bytearray()
     at = 0
-    while at < len(data):
-        stop = data.index(b"\r\n\r\n", at)
-        lines = data[at:stop].decode().split("\r\n")
+
+    def more() -> bool:
+        piece = next(pieces, None)
+        if piece is not None:
+            have.extend(piece)
+        return piece is not None
+
+    while True:
+        seen = 0
+        while (stop := have.find(b"\r\n\r\n", seen)) < 0:
+            seen = max(0, len(have) - 3)
+            if not more():
+                if have:
+                    raise ValueError(f"the record at byte {at} has no end of its headers")
+                return
+        lines = have[:stop].decode().split("\r\n")
         if not lines[0].startswith("WARC/"):
             raise ValueError(f"no record at byte {at}")
         headers = {}
@@ -110,29 +144,40 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
             name, _, value = line.partition(":")
             headers[name.lower()] = value.strip()
         begin = stop + 4
-        at = begin + int(headers["content-length"])
-        if data[at : at + 4] != b"\r\n\r\n":
-            raise ValueError(f"the record that ends at byte {at} has another length")
-        yield headers, data[begin:at]
-        at += 4
+        end = begin + int(headers["content-length"])
+        while len(have) < end + 4 and more():
+            pass
+        if have[end : end + 4] != b"\r\n\r\n":
+            raise ValueError(f"the record that ends at byte {at + end} has another length")
+        yield headers, bytes(have[begin:end])
+        del have[: end + 4]
+        at += end + 4
 
 
 def _parsed(batches: Iterator[pa.RecordBatch], with_payload: bool) -> Iterator[pa.RecordBatch]:
     kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
     names = ["record_id", "page_id", "record_type", "url", "header_digest", "refers_to_id", "payload_bytes", "payload_digest", "payload"]
+
+    def of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
     for batch in batches:
         for content in batch.column("content"):
-            rows = []
-            for h, block in parse(zlib.decompress(content.as_py(), wbits=31)):
+            rows, held = [], 0
+            for h, block in parse(unpacked(content.as_py())):
                 payload = block.partition(b"\r\n\r\n")[2] if h["warc-type"] == "response" else None
                 digest = h["warc-payload-digest"].removeprefix("sha256:")
                 own = hashlib.sha256(payload).hexdigest() if payload is not None else None
                 if own not in (None, digest):
                     raise ValueError(f"the payload of {h['warc-record-id']} does not match its digest")
                 size = len(payload) if payload is not None else None
+                held += len(payload or b"") if with_payload else 0
+                if held > BATCH_BYTES and rows:
+                    yield of(rows)
+                    rows, held = [], 0
                 rows.append((h["warc-record-id"], int(h["x-page-id"]), h["warc-type"], h["warc-target-uri"], digest, h.get("warc-refers-to"), size, own, payload if with_payload else None))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                yield of(rows)
 
 
 def read_archives(spark: SparkSession, folder: str, with_payload: bool = True) -> DataFrame:
@@ -147,15 +192,18 @@ def resolved(found: DataFrame) -> DataFrame:
         F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"),
         *(F.col(x).alias(f"full_{x}") for x in ("payload_bytes", "payload_digest", "payload")),
     )
-    joined = found.join(originals, "refers_to_id", "left")
+    # Responses refer to nothing and are not joined, so that no key is that of all of them.
+    revisits = found.where("record_type = 'revisit'").join(originals, "refers_to_id", "left")
     full = [F.coalesce(x, f"full_{x}").alias(x) for x in ("payload_bytes", "payload_digest", "payload")]
-    return joined.select("page_id", "record_type", "url", "header_digest", "refers_to", *full)
+    responses = found.where("record_type = 'response'").withColumn("refers_to", F.lit(None).cast("long"))
+    columns = ["page_id", "record_type", "url", "header_digest", "refers_to"]
+    return revisits.select(*columns, *full).union(responses.select(*columns, "payload_bytes", "payload_digest", "payload"))
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = base.shared_folder(spark)
     write_archives(base.table(spark, sf_dir, "pages"), folder)
-    out = resolved(read_archives(spark, folder, with_payload=False))
+    out = resolved(base.kept_table(read_archives(spark, folder, with_payload=False)))
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -79,6 +79,15 @@ def test_depleted_documents_are_rejected(spark, docs_of):
     assert all(r.kept == (r.doc_id % 2 == 0) for r in rows)
 
 
+def test_lines_of_many_documents_go_on_a_host_of_any_size(spark, docs_of):
+    """A line on 4 % of a host's documents, which the share alone would keep."""
+    shared = "one line that some pages of this host have in common with each other"
+    own = [" ".join(f"own{i}x{k}" for k in range(30)) for i in range(500)]
+    docs = docs_of([(i, f"{x}\n{shared}" if i % 25 == 0 else x) for i, x in enumerate(own)]).selectExpr("doc_id", "text", "'h' AS source")
+    assert {r.n_line_words for r in lines.judged(docs).collect()} == {0}
+    assert sum(r.n_line_words > 0 for r in lines.judged(docs, most=15).collect()) == 20
+
+
 def benchmark_of(spark, items):
     return spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, doc_id string")
 
@@ -162,7 +171,7 @@ def test_quotes_are_linked_and_removed(spark):
     out = {(r.conv_id, r.turn): r for r in rows.collect()}
     assert {k: r.parent_turn for k, r in out.items() if r.parent_turn is not None} == {(1, 1): 0, (1, 2): 1, (1, 4): 0, (1, 5): 2, (1, 6): 3, (2, 3): 0}
     assert out[1, 2].text == "Which one?"
-    assert out[1, 5].path == "/".join(f"{t:012}" for t in (0, 1, 2, 5))
+    assert out[1, 5].path == "/".join(f"{t + 2**63:020}" for t in (0, 1, 2, 5))
     ordered = [k[1] for k in sorted((k for k in out if k[0] == 1), key=lambda k: out[k].path)]
     assert ordered == [0, 1, 2, 5, 4, 3, 6]
     digest = rows.selectExpr("*", "sha2(text, 256) AS text_sha256").drop("text")
@@ -174,7 +183,19 @@ def test_long_reply_chain(spark):
     base.ready(spark)
     talk = spark.createDataFrame([(1, i, "user", f"> words {i - 1}\nwords {i}") for i in range(40)], "conv_id long, turn long, role string, text string")
     out = {r.turn: r.path for r in quotes.threaded(talk).collect()}
-    assert out[39] == "/".join(f"{t:012}" for t in range(40))
+    assert out[39] == "/".join(f"{t + 2**63:020}" for t in range(40))
+
+
+def test_turns_of_any_length_stay_apart(spark):
+    base.ready(spark)
+    turns = [-(2**63), -5, 3, 1_000_000_000_001, 1_000_000_000_004, 2**63 - 1]
+    rows = [(1, t, "user", f"> words {k - 1}\nwords {k}" if k % 2 else f"words {k}") for k, t in enumerate(turns)]
+    talk = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = quotes.threaded(talk)
+    paths = {r.turn: r.path for r in out.collect()}
+    assert len(set(paths.values())) == len(turns)
+    assert sorted(turns, key=paths.get) == turns
+    same_on(spark, out.selectExpr("*", "sha2(text, 256) AS text_sha256").drop("text"), {"conversations": talk}, quotes.SQL)
 
 
 PAGES = [
@@ -200,6 +221,29 @@ def test_archives_round_trip(spark):
     same_on(spark, out, {"pages": pages.where("page_id IS NOT NULL").distinct()}, warc.SQL)
 
 
+def test_archives_are_read_in_pieces(spark, monkeypatch):
+    """Payloads larger than a piece and a batch, ties between repeated rows, and members one after the other."""
+    import gzip
+
+    base.ready(spark)
+    monkeypatch.setattr(warc, "PER_FILE", 2)
+    large = "0123456789" * 400_000
+    pages = [(i, f"u{i}", large + str(i % 3)) for i in range(7)] + [(3, "u3", large + "0"), (3, "u3", large + "0")]
+    folder = base.shared_folder(spark)
+    warc.write_archives(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(2), folder)
+    found = {r.page_id: r for r in warc.resolved(warc.read_archives(spark, folder)).collect()}
+    assert {k: (bytes(r.payload).decode() == large + str(k % 3), r.refers_to) for k, r in found.items()} == {
+        k: (True, None if k < 3 else k % 3) for k in range(7)
+    }
+    record = b"WARC/1.1\r\nContent-Length: 5\r\n\r\na\r\n\r\n\r\n\r\n"
+    for step in (1, 3, 1000):
+        pieces = warc.unpacked(gzip.compress(record) + gzip.compress(record * 2), step)
+        assert [b for _, b in warc.parse(pieces)] == [b"a\r\n\r\n"] * 3
+    for broken in (record[:-1], record + b"X", record.replace(b"5", b"4")):
+        with pytest.raises(ValueError, match="record"):
+            list(warc.parse(iter([broken])))
+
+
 def test_archives_of_no_pages(spark):
     base.ready(spark)
     folder = base.shared_folder(spark)

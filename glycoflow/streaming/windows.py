@@ -96,12 +96,15 @@ def decay_totals(
     row of sums per open instant, in Spark's own state store. An instant closes when no
     event can reach it any more: the watermark runs behind the furthest instant seen by
     the longest effect plus the allowed delay. A late event within the delay thus still
-    reaches all its open instants.
+    reaches all its open instants. In batch an id counts once; a stream can mark time once
+    only, here by instants. For files that may be delivered again, a grid without an end and
+    instants told again when a late event changes them, see `decay.open_decay`.
     """
+    seen = events if events.isStreaming else events.dropDuplicates(["id"])
     behind = f"{LONGEST_EFFECT_HOURS * 60 + delay_minutes} minutes"
     at = F.timestamp_millis(grid.at_ms(F.col("idx")))
     return (
-        all_contributions(events, grid, params)
+        all_contributions(seen, grid, params)
         .withColumn("at_ts", at)
         .withWatermark("at_ts", behind)
         .groupBy("subject_id", "at_ts")

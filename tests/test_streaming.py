@@ -187,7 +187,8 @@ def test_day_totals_leave_the_state(spark, make_log, tmp_path):
 
 def test_delivered_again_counts_once_everywhere(make_log):
     rows = sample(60)
-    for view in (windows.session_windows, windows.day_totals):
+    grid = Grid(BASE, BASE + timedelta(days=3), 60)
+    for view in (windows.session_windows, windows.day_totals, lambda log: windows.decay_totals(log, grid)):
         one, two = (sorted(map(str, view(make_log(r)).collect())) for r in (rows, rows + rows))
         assert one == two
 

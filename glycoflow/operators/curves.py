@@ -1,7 +1,7 @@
 """Traced glucose curves: column medians, smoothing, scaling to values, resampling.
 
-Windows here run over one series, whose rows are bounded by the width of an image or by
-the instants of an axis: raw rows are always aggregated to that grain first.
+Series are handled in blocks: neighbours are copied over the edges of a block, running sums and last
+known samples are carried from block to block by one row each, so a series of any length spreads over many tasks.
 """
 
 from __future__ import annotations
@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 
 from glycoflow import values
 from glycoflow.functions.jsmath import half_up
+from glycoflow.operators.ordered import known_around, numbered, with_halo
+
+
+#: Points in a block, which are at most as many distinct x.
+BLOCK = 4096
 
 
 def column_medians(pixels: DataFrame, x_from: int | None = None, x_to: int | None = None):
@@ -34,15 +39,16 @@ def column_medians(pixels: DataFrame, x_from: int | None = None, x_to: int | Non
     )
 
 
-def smooth_mean(points: DataFrame, reach: int = 2) -> DataFrame:
+def smooth_mean(points: DataFrame, reach: int = 2, block: int = BLOCK) -> DataFrame:
     """Centred moving average of 2*reach+1 points, shorter at the ends."""
-    around = Window.partitionBy("series_id").orderBy("x").rowsBetween(-reach, reach)
-    return points.withColumn("y", F.avg("y").over(around))
+    dealt, order = with_halo(numbered(points, ["series_id"], "x", block), ["series_id"], reach, block)
+    smooth = dealt.withColumn("y", F.avg("y").over(order.rowsBetween(-reach, reach)))
+    return smooth.filter("_own").select(*points.columns)
 
 
-def smooth_weighted(points: DataFrame, reach: int = 3) -> DataFrame:
+def smooth_weighted(points: DataFrame, reach: int = 3, block: int = BLOCK) -> DataFrame:
     """Centred average with weights 1/(1 + d/2), renormalised at the ends."""
-    order = Window.partitionBy("series_id").orderBy("x")
+    dealt, order = with_halo(numbered(points, ["series_id"], "x", block), ["series_id"], reach, block)
     total = weight = None
     for step in range(-reach, reach + 1):
         y = F.lag("y", -step).over(order)
@@ -51,14 +57,14 @@ def smooth_weighted(points: DataFrame, reach: int = 3) -> DataFrame:
         share = F.when(y.isNotNull(), F.lit(w)).otherwise(F.lit(0.0))
         total = term if total is None else total + term
         weight = share if weight is None else weight + share
-    return points.withColumn("y", total / weight)
+    return dealt.withColumn("y", total / weight).filter("_own").select(*points.columns)
 
 
 def average_by_x(points: DataFrame) -> DataFrame:
     return points.groupBy("series_id", "x").agg(F.avg("y").alias("y"))
 
 
-def smooth_to(points: DataFrame, n: int) -> DataFrame:
+def smooth_to(points: DataFrame, n: int, block: int = BLOCK) -> DataFrame:
     """Moving average over point indexes down to `n` points per series.
 
     Series of fewer than four points come back as they are; of fewer than four distinct x
@@ -66,13 +72,9 @@ def smooth_to(points: DataFrame, n: int) -> DataFrame:
     the index, so no index range is joined.
     """
     size = points.groupBy("series_id").agg(F.count(F.lit(1)).alias("_raw"))
-    order = Window.partitionBy("series_id").orderBy("x")
-    averaged = (
-        average_by_x(points)
-        .join(size.filter("_raw >= 4"), "series_id")
-        .withColumn("_at", F.row_number().over(order))
-        .withColumn("_sx", F.sum("x").over(order))
-        .withColumn("_sy", F.sum("y").over(order))
+    known = average_by_x(points).join(size.filter("_raw >= 4"), "series_id")
+    averaged = numbered(known, ["series_id"], "x", block, sums=("x", "y")).withColumnsRenamed(
+        {"_sum_x": "_sx", "_sum_y": "_sy"}
     )
     lengths = averaged.groupBy("series_id").agg(F.max("_at").alias("_len"))
     length = F.col("_len")
@@ -110,7 +112,7 @@ def smooth_to(points: DataFrame, n: int) -> DataFrame:
         )
     )
 
-    def numbered(rows: DataFrame) -> DataFrame:
+    def in_order(rows: DataFrame) -> DataFrame:
         by_point = Window.partitionBy("series_id").orderBy("x", "y")
         return rows.select(
             "series_id",
@@ -119,12 +121,12 @@ def smooth_to(points: DataFrame, n: int) -> DataFrame:
             F.col("y").cast("double").alias("y"),
         )
 
-    short = numbered(averaged.join(lengths.filter(length < 4), "series_id", "left_semi"))
-    few = numbered(points.join(size.filter("_raw < 4"), "series_id", "left_semi"))
+    short = in_order(averaged.join(lengths.filter(length < 4), "series_id", "left_semi"))
+    few = in_order(points.join(size.filter("_raw < 4"), "series_id", "left_semi"))
     return smoothed.unionByName(short).unionByName(few)
 
 
-def resample_uniform(points: DataFrame, n: int) -> DataFrame:
+def resample_uniform(points: DataFrame, n: int, block: int = BLOCK) -> DataFrame:
     """`n` evenly spaced x per series, linear in between. Points: series_id, pos, x, y.
 
     Equal x are kept as their first and last y in `pos` order: a target just right of them
@@ -155,16 +157,8 @@ def resample_uniform(points: DataFrame, n: int) -> DataFrame:
         knots.select("series_id", "x", knot.alias("k"), F.lit(1).alias("_knot")),
         allowMissingColumns=True,
     )
-    run = (Window.unboundedPreceding, Window.currentRow)
-    rising = Window.partitionBy("series_id").orderBy("x", "_knot").rowsBetween(*run)
-    falling = (
-        Window.partitionBy("series_id").orderBy(F.desc("x"), F.desc("_knot")).rowsBetween(*run)
-    )
-    placed = (
-        merged.withColumn("left", F.last("k", ignorenulls=True).over(rising))
-        .withColumn("right", F.last("k", ignorenulls=True).over(falling))
-        .filter("_knot = 0")
-    )
+    merged = merged.withColumn("_block", F.floor(F.col("x") / F.lit(float(block))))
+    placed = known_around(merged, ["series_id"], "_block", ["x", "_knot"], ("k", "left"), ("k", "right")).filter("_knot = 0")
     ratio = (F.col("x") - F.col("left.x")) / (F.col("right.x") - F.col("left.x"))
     whole = (F.col("x") - F.col("x_min")) / (F.col("x_max") - F.col("x_min"))
     y = (
@@ -294,11 +288,14 @@ def given_or_default(given: DataFrame, guessed: DataFrame) -> DataFrame:
 # -- resampling in time ---------------------------------------------------------------
 
 
-def bracket(points: DataFrame, axis: DataFrame, interval_minutes: int = 5) -> DataFrame:
+def bracket(
+    points: DataFrame, axis: DataFrame, interval_minutes: int = 5, block: int = BLOCK
+) -> DataFrame:
     """Each axis instant with the nearest sample at or before and at or after it.
 
     Samples are first reduced to the newest and the oldest per grid cell, so the windows
-    that carry them along see axis instants only. Also returns `n_points` of the series.
+    that carry them along, over blocks of the axis, see its instants only. An axis that ends
+    before it starts has none. Also returns `n_points` of the series.
     """
     step = interval_minutes * 60_000
     ms, start = F.col("ms"), F.col("start_ms")
@@ -336,9 +333,11 @@ def bracket(points: DataFrame, axis: DataFrame, interval_minutes: int = 5) -> Da
             )
         ).alias("c"),
     ).select("series_id", "c.idx", "c.is_before", "p")
-    grid = bounds.select(
-        "series_id", F.explode(F.sequence(F.lit(0).cast("bigint"), "final")).alias("idx")
-    )
+    # Axis instants are opened block by block, so that no series is one array.
+    first = F.col("_block") * F.lit(block)
+    grid = bounds.filter("final >= 0").select(
+        "series_id", "final", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"final div {block}"))).alias("_block")
+    ).select("series_id", F.explode(F.sequence(first, F.least(first + (block - 1), F.col("final")))).alias("idx"))
     known = (
         cells.filter(F.col("idx").isNotNull())
         .unionByName(grid, allowMissingColumns=True)
@@ -348,13 +347,12 @@ def bracket(points: DataFrame, axis: DataFrame, interval_minutes: int = 5) -> Da
             F.min_by("p", F.when(~F.col("is_before"), F.col("p.ms"))).alias("_a"),
         )
     )
-    run = (Window.unboundedPreceding, Window.currentRow)
-    rising = Window.partitionBy("series_id").orderBy("idx").rowsBetween(*run)
-    falling = Window.partitionBy("series_id").orderBy(F.desc("idx")).rowsBetween(*run)
     counts = samples.groupBy("series_id").agg(F.sum("_n").alias("n_points"))
     return (
-        known.withColumn("before", F.last("_b", ignorenulls=True).over(rising))
-        .withColumn("after", F.last("_a", ignorenulls=True).over(falling))
+        known_around(
+            known.withColumn("_block", F.expr(f"idx div {block}")),
+            ["series_id"], "_block", ["idx"], ("_b", "before"), ("_a", "after"),
+        )
         .join(bounds.join(counts, "series_id"), "series_id")
         .select(
             "series_id", "n_points", (start + F.col("idx") * step).alias("at_ms"), "before", "after"

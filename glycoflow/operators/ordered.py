@@ -7,7 +7,7 @@ of the table is spread over as many tasks as it has blocks.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -135,3 +135,99 @@ def sessions(
             *[F.sum(name).alias(name) for name in aggregates],
         )
     )
+
+
+# -- long series in blocks ---------------------------------------------------------------
+
+
+def _with_blocks(rows: DataFrame, summary: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with the columns of their block's summary; NULL keys are keys like others."""
+    renamed = summary.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    same = [rows[k].eqNullSafe(renamed[f"_of_{k}"]) for k in keys]
+    return rows.join(renamed, same).drop(*[f"_of_{k}" for k in keys])
+
+
+def numbered(
+    rows: DataFrame, by: list[str], order: str, width: float = 4096, sums: tuple[str, ...] = ()
+) -> DataFrame:
+    """Add `_at`, the place of a row in its series (from 1), and `_sum_…`, the running sums of some columns.
+
+    Rows are numbered within cells of `width` units of `order`; counts and sums of the cells before come from one
+    row per cell. A cell is as large as it has values, so `order` should not repeat much.
+    """
+    keys = [*by, "_cell"]
+    placed = rows.withColumn("_cell", F.floor(F.col(order) / F.lit(float(width))).cast("bigint"))
+    summary = placed.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n0"), *[F.sum(c).alias(f"_sum0_{c}") for c in sums]
+    )
+    earlier = Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    before = summary.select(
+        *keys,
+        F.coalesce(F.sum("_n0").over(earlier), F.lit(0)).alias("_n0"),
+        *[F.coalesce(F.sum(f"_sum0_{c}").over(earlier), F.lit(0.0)).alias(f"_sum0_{c}") for c in sums],
+    )
+    inner = Window.partitionBy(*keys).orderBy(order)
+    so_far = inner.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = placed.select(
+        "*",
+        F.row_number().over(inner).cast("bigint").alias("_at"),
+        *[F.sum(c).over(so_far).alias(f"_sum_{c}") for c in sums],
+    )
+    total = {"_at": F.col("_at") + F.col("_n0")}
+    total |= {f"_sum_{c}": F.col(f"_sum_{c}") + F.col(f"_sum0_{c}") for c in sums}
+    return _with_blocks(local, before, keys).withColumns(total).drop("_cell", "_n0", *[f"_sum0_{c}" for c in sums])
+
+
+def with_halo(rows: DataFrame, by: list[str], reach: int, block: int = 4096) -> tuple[DataFrame, WindowSpec]:
+    """Numbered rows in blocks, each with copies of `reach` rows of its neighbours, and the window over a block.
+
+    Expressions that look at most `reach` rows to either side are right for the rows with `_own`.
+    """
+    if reach > block:
+        raise ValueError("a block has to hold what its neighbours reach")
+    index = F.col("_at") - 1
+    home, place = F.floor(index / F.lit(block)), F.pmod(index, F.lit(block))
+    homes = F.array(
+        home, F.when(place < reach, home - 1), F.when(place >= block - reach, home + 1)
+    )
+    dealt = rows.withColumn("_home", F.explode(F.array_compact(homes))).withColumn("_own", F.col("_home") == home)
+    return dealt, Window.partitionBy(*by, "_home").orderBy("_at")
+
+
+def known_around(
+    rows: DataFrame, by: list[str], block: str, order: list[str],
+    before: tuple[str, str], after: tuple[str, str],
+) -> DataFrame:
+    """Add the last known value at or before each row, and the first at or after it.
+
+    `before` and `after` name the column with the value, NULL where there is none, and the column to add. Values are
+    carried within a block by a window and between blocks by one row per block.
+    """
+    keys = [*by, block]
+    rank = F.struct(*order)
+    summary = rows.groupBy(*keys).agg(
+        F.max_by(before[0], F.when(F.col(before[0]).isNotNull(), rank)).alias("_last"),
+        F.min_by(after[0], F.when(F.col(after[0]).isNotNull(), rank)).alias("_first"),
+    )
+    run = (Window.unboundedPreceding, -1)
+    up = Window.partitionBy(*by).orderBy(block).rowsBetween(*run)
+    down = Window.partitionBy(*by).orderBy(F.desc(block)).rowsBetween(*run)
+    carried = summary.select(
+        *keys,
+        F.last("_last", ignorenulls=True).over(up).alias("_from_before"),
+        F.last("_first", ignorenulls=True).over(down).alias("_from_after"),
+    )
+    so_far = (Window.unboundedPreceding, Window.currentRow)
+    rising = Window.partitionBy(*keys).orderBy(*order).rowsBetween(*so_far)
+    falling = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order]).rowsBetween(*so_far)
+    found = rows.select(
+        "*",
+        F.last(before[0], ignorenulls=True).over(rising).alias("_near_before"),
+        F.last(after[0], ignorenulls=True).over(falling).alias("_near_after"),
+    )
+    return (
+        _with_blocks(found, carried, keys)
+        .withColumn(before[1], F.coalesce("_near_before", "_from_before"))
+        .withColumn(after[1], F.coalesce("_near_after", "_from_after"))
+        .drop("_near_before", "_near_after", "_from_before", "_from_after")
+    )

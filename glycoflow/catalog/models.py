@@ -88,14 +88,18 @@ series AS (SELECT *, greatest(2.0::DOUBLE, p - u) AS lower_b, p + u AS upper_b,
 FULL = [LOG, SPAN, GRID, SEEN, CIRC, INS, CARB, DRINK, STATE]
 
 
+#: Types that the model looks at; named to the scan, as a filter on types worked out later is not pushed down.
+MODELLED = ["bsl", "meal", "insulin"]
+
+
 @query("a10_insulin_on_board", _with(LOG, SPAN, GRID, SEEN, INS) + f"""
 SELECT subject_id, t AS at_ts, {r6('coalesce(sum(iob),0)')} AS iob, {r6('coalesce(sum(rate),0)')} AS activity_rate,
   greatest(coalesce(max(clear_ms), t), t) AS clear_ms, CAST(count(id) AS BIGINT) AS active_doses
 FROM (SELECT g.subject_id, g.t, id, iob, rate, clear_ms FROM grid g LEFT JOIN ins i ON i.subject_id = g.subject_id AND i.t = g.t)
 GROUP BY subject_id, t""")
 def insulin_on_board(spark, sf):
-    log = event_log(spark, sf)
-    return state.insulin_on_board(log, log_grid(spark, sf), subjects(log))
+    log = event_log(spark, sf, ["insulin"])
+    return state.insulin_on_board(log, log_grid(spark, sf), subjects(event_log(spark, sf)))
 
 
 @query("a11_carbs_on_board", _with(LOG, SPAN, GRID, SEEN, CARB) + f"""
@@ -104,8 +108,8 @@ SELECT subject_id, t AS at_ts, {r6('coalesce(sum(cob),0)')} AS cob, {r6('coalesc
 FROM (SELECT g.subject_id, g.t, id, cob, rate, done_ms FROM grid g LEFT JOIN carb i ON i.subject_id = g.subject_id AND i.t = g.t)
 GROUP BY subject_id, t""")
 def carbs_on_board(spark, sf):
-    log = event_log(spark, sf)
-    return state.carbs_on_board(log, log_grid(spark, sf), subjects(log))
+    log = event_log(spark, sf, ["meal"])
+    return state.carbs_on_board(log, log_grid(spark, sf), subjects(event_log(spark, sf)))
 
 
 @query("a12_blood_alcohol", _with(LOG, SPAN, GRID, SEEN, DRINK) + f"""
@@ -116,15 +120,15 @@ SELECT subject_id, t AS at_ts, {r6('coalesce(sum(absorbing),0)')} AS alcohol_abs
 FROM (SELECT g.subject_id, g.t, id, absorbing, in_system, md2, sober_ms FROM grid g LEFT JOIN alc i ON i.subject_id = g.subject_id AND i.t = g.t)
 GROUP BY subject_id, t""")
 def blood_alcohol(spark, sf):
-    log = event_log(spark, sf)
-    return state.blood_alcohol(log, log_grid(spark, sf), subjects(log))
+    log = event_log(spark, sf, ["meal"])
+    return state.blood_alcohol(log, log_grid(spark, sf), subjects(event_log(spark, sf)))
 
 
 @query("j4_insulin_contributions", _with(LOG, SPAN, GRID, SEEN, INS) + f"""
 SELECT subject_id, t AS at_ts, id AS dose_id, {r6('iob')} AS iob FROM ins""")
 def insulin_contributions(spark, sf):
     grid = log_grid(spark, sf)
-    return state.contributions(event_log(spark, sf), grid, "dose").select(
+    return state.contributions(event_log(spark, sf, ["insulin"]), grid, "dose").select(
         "subject_id",
         F.timestamp_millis(grid.at_ms(F.col("idx"))).alias("at_ts"),
         F.col("id").alias("dose_id"),
@@ -188,8 +192,8 @@ SELECT subject_id, t AS at_ts, {r6('iob')} AS iob, {r6('arate')} AS activity_rat
   CAST(t//3600000%24 AS BIGINT) AS hour, {r6('se')} AS insulin_sensitivity, {r6('de')} AS dawn_effect,
   {r6('cf')} AS combined_factor, {r6('last_bsl')} AS last_bsl, last_ms AS last_bsl_ms, last_source AS last_bsl_source FROM st""")
 def metabolic_state(spark, sf):
-    log = event_log(spark, sf)
-    out = state.metabolic_state(log, log_grid(spark, sf), subjects(log))
+    log = event_log(spark, sf, MODELLED)
+    out = state.metabolic_state(log, log_grid(spark, sf), subjects(event_log(spark, sf)))
     return out.drop("idx", *values.USER_DEFAULTS)
 
 
@@ -197,8 +201,8 @@ def metabolic_state(spark, sf):
 SELECT subject_id, t AS at_ts, {r6('e1')} AS insulin_effect, {r6('e2')} AS carb_effect, {r6('e3')} AS alcohol_effect,
   {r6('e4')} AS circadian_adjustment, {r6('e5')} AS baseline_drift FROM series""")
 def prediction_factors(spark, sf):
-    log, grid = event_log(spark, sf), log_grid(spark, sf)
-    known = state.metabolic_state(log, grid, subjects(log))
+    log, grid = event_log(spark, sf, MODELLED), log_grid(spark, sf)
+    known = state.metabolic_state(log, grid, subjects(event_log(spark, sf)))
     return predict.prediction_factors(known, grid.start).select(
         "subject_id", "at_ts", "insulin_effect", "carb_effect", "alcohol_effect",
         "circadian_adjustment", "baseline_drift",
@@ -217,8 +221,8 @@ SERIES_COLUMNS = [
 
 @query("m4_glucose_series", _with(*FULL, SERIES) + SERIES_OUT)
 def glucose_series(spark, sf):
-    log, grid = event_log(spark, sf), log_grid(spark, sf)
-    return predict.glucose_series(log, grid, subjects(log), grid.start).select(*SERIES_COLUMNS)
+    log, grid = event_log(spark, sf, MODELLED), log_grid(spark, sf)
+    return predict.glucose_series(log, grid, subjects(event_log(spark, sf)), grid.start).select(*SERIES_COLUMNS)
 
 
 
@@ -230,10 +234,10 @@ def glucose_series(spark, sf):
 def predict_at_instant(spark, sf):
     from glycoflow.operators.grid import Grid
 
-    log = event_log(spark, sf)
+    log = event_log(spark, sf, MODELLED)
     start, _ = log_span(spark, sf)
     moment = start + timedelta(days=7)
-    return predict.glucose_series(log, Grid(moment, moment), subjects(log), moment).select(
+    return predict.glucose_series(log, Grid(moment, moment), subjects(event_log(spark, sf)), moment).select(
         *SERIES_COLUMNS
     )
 
@@ -253,8 +257,8 @@ SELECT subject_id, t AS predicted_ts, kind AS type, severity, {r6('p')} AS predi
   {r6('1 - (upper_b - lower_b)/10.0')} AS confidence
 FROM al2 WHERE k0 IS NULL OR k0 <> kind OR t - t0 > 1800000""")
 def alerts(spark, sf):
-    log, grid = event_log(spark, sf), log_grid(spark, sf)
-    series = predict.glucose_series(log, grid, subjects(log), grid.start)
+    log, grid = event_log(spark, sf, MODELLED), log_grid(spark, sf)
+    series = predict.glucose_series(log, grid, subjects(event_log(spark, sf)), grid.start)
     return predict.alerts(series, grid)
 
 
@@ -269,9 +273,9 @@ SELECT f.subject_id, {r6('p0')} AS now_bsl, CASE WHEN abs(p0 - 6) < 0.5 THEN lo
   {r6('CASE WHEN abs(p0 - 6) < 0.5 THEN p0 ELSE p1 END')} AS target_bsl_predicted
 FROM first_p f LEFT JOIN crossed c ON c.subject_id = f.subject_id""")
 def time_to_target(spark, sf):
-    log = event_log(spark, sf)
+    log = event_log(spark, sf, MODELLED)
     start, _ = log_span(spark, sf)
-    return predict.time_to_target(log, subjects(log), start + timedelta(days=15), 6.0)
+    return predict.time_to_target(log, subjects(event_log(spark, sf)), start + timedelta(days=15), 6.0)
 
 
 @query("r6_projections", _with(*FULL) + f"""
@@ -280,8 +284,8 @@ SELECT subject_id, t AS at_ts, {r6('iob')} AS iob, {r6('cob')} AS cob,
 FROM st WHERE t % 900000 = 0""")
 def projections(spark, sf):
     """The three decay projections side by side on a 15-minute grid."""
-    log = event_log(spark, sf)
-    out = state.metabolic_state(log, log_grid(spark, sf, 15), subjects(log))
+    log = event_log(spark, sf, MODELLED)
+    out = state.metabolic_state(log, log_grid(spark, sf, 15), subjects(event_log(spark, sf)))
     return out.select(
         "subject_id", "at_ts", "iob", "cob", "blood_alcohol", "sensitivity_modifier"
     )

@@ -2,50 +2,100 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glycoflow import values
 from glycoflow.functions.circadian import local_time
 from glycoflow.functions.jsmath import half_up, or_default
-from glycoflow.operators.ordered import asof_join
 from glycoflow.plans.params import with_params
 
 
+#: Nothing a meal looks for is as far away as a block is long.
+BLOCK_MS = 4 * 3_600_000
+DOSE_NEAR_MS, MEASURED_FROM_MS, MEASURED_TO_MS = 30 * 60_000, 2 * 3_600_000, 4 * 3_600_000
+
+
 def meal_outcomes(log: DataFrame) -> DataFrame:
     """Meals with the dose given around them and the glucose two to four hours later.
 
-    Each "first match" is a search forward from one end of its interval, so no pairs of
-    meals and doses are formed: the first dose after (meal - 30 min) either lies before
-    (meal + 30 min) or there is none in between.
+    Each "first match" is a search forward from one end of its interval, so no pairs of meals and doses are formed: the
+    first dose after (meal - 30 min) either lies before (meal + 30 min) or there is none in between. Doses, readings
+    and what meals ask for lie in one order, which one pass from late to early goes through; as intervals are
+    shorter than a block, a block needs to know the first dose and the first reading of the next one only.
     """
+    kind, ms = F.col("event_type"), F.unix_millis("ts")
     carbs = or_default(F.col("meta.carbs"), F.col("value"))
-    meals = (
-        log.filter(F.col("event_type") == "meal")
-        .select("subject_id", "id", "ts", carbs.alias("carbs"))
-        .filter(F.col("carbs") >= 10)
+    hit = F.struct(ms.alias("ms"), "ts", "value")
+    none = F.lit(None)
+    asks = (kind == "meal") & (carbs >= 10)
+
+    def row(pos: Column, rank: int, dose: Column, reading: Column) -> Column:
+        return F.struct(
+            pos.alias("pos"), F.lit(rank).alias("rank"), dose.alias("dose"), reading.alias("reading")
+        )
+
+    # Looking back from later rows, a dose at the very instant comes after its ask, a reading before.
+    event = row(ms, 1, F.when(kind == "insulin", hit), F.when(kind == "bsl", hit))
+    for_dose = row(ms - DOSE_NEAR_MS, 2, none, none)
+    for_reading = row(ms + MEASURED_FROM_MS, 0, none, none)
+    placed = (
+        log.filter(kind.isin("meal", "insulin", "bsl") & F.col("ts").isNotNull())
+        .select(
+            "subject_id", "id", "ts", carbs.alias("carbs"),
+            F.explode(
+                F.when(kind != "meal", F.array(event)).when(asks, F.array(for_dose, for_reading))
+            ).alias("r"),
+        )
+        .select("subject_id", "id", "ts", "carbs", "r.*")
+        .withColumn("block", F.floor(F.col("pos") / F.lit(BLOCK_MS)))
+    )
+    place = F.struct("pos", "id")
+    following = placed.filter("rank = 1").groupBy("subject_id", (F.col("block") - 1).alias("block")).agg(
+        F.min_by("dose", F.when(F.col("dose").isNotNull(), place)).alias("next_dose"),
+        F.min_by("reading", F.when(F.col("reading").isNotNull(), place)).alias("next_reading"),
     )
-    doses = log.filter(F.col("event_type") == "insulin").select(
-        "subject_id", F.col("id").alias("tie"), F.col("ts").alias("dose_ts"),
-        F.col("value").alias("units"),
+    later = (
+        Window.partitionBy("subject_id", "block")
+        .orderBy(F.desc("pos"), F.desc("rank"), F.desc("id"))
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    after = log.filter(F.col("event_type") == "bsl").select(
-        "subject_id", F.col("id").alias("tie"), F.col("ts").alias("after_ts"),
-        F.col("value").alias("after_bsl"),
+    found = (
+        placed.select(
+            "subject_id", "id", "ts", "carbs", "rank", "block",
+            F.last("dose", ignorenulls=True).over(later).alias("dose"),
+            F.last("reading", ignorenulls=True).over(later).alias("reading"),
+        )
+        .filter("rank <> 1")
+        .join(following, ["subject_id", "block"], "left")
+    )
+    asked_dose, asked_reading = F.col("rank") == 2, F.col("rank") == 0
+    meals = (
+        found.groupBy("subject_id", "id", "ts", "carbs")
+        .agg(
+            F.max(F.when(asked_dose, F.coalesce("dose", "next_dose"))).alias("dose"),
+            F.max(F.when(asked_reading, F.coalesce("reading", "next_reading"))).alias("reading"),
+            F.count_if(asked_dose).cast("int").alias("n"),
+        )
+        .withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("n"))))
     )
-    minutes_30 = F.expr("INTERVAL 30 MINUTES")
-    dosed = asof_join(
-        meals, doses, ["subject_id"], F.col("ts") - minutes_30, "dose_ts",
-        ["dose_ts", "units"], "tie", direction="forward", strict=True,
-    ).filter((F.col("dose_ts") < F.col("ts") + minutes_30) & (F.col("units") >= 1))
-    measured = asof_join(
-        dosed, after, ["subject_id"], F.col("ts") + F.expr("INTERVAL 2 HOURS"), "after_ts",
-        ["after_ts", "after_bsl"], "tie", direction="forward",
-    ).filter(F.col("after_ts") <= F.col("ts") + F.expr("INTERVAL 4 HOURS"))
+    at = F.unix_millis("ts")
     bsl = F.col("after_bsl")
-    return measured.withColumn(
-        "outcome",
-        F.when(bsl < 4.5, F.lit("low")).when(bsl > 9, F.lit("high")).otherwise(F.lit("good")),
+    return (
+        meals.filter(
+            (F.col("dose.ms") < at + DOSE_NEAR_MS)
+            & (F.col("dose.value") >= 1)
+            & (F.col("reading.ms") <= at + MEASURED_TO_MS)
+        )
+        .select(
+            "subject_id", "id", "ts", "carbs",
+            F.col("dose.ts").alias("dose_ts"), F.col("dose.value").alias("units"),
+            F.col("reading.ts").alias("after_ts"), F.col("reading.value").alias("after_bsl"),
+        )
+        .withColumn(
+            "outcome",
+            F.when(bsl < 4.5, F.lit("low")).when(bsl > 9, F.lit("high")).otherwise(F.lit("good")),
+        )
     )
 
 

@@ -15,7 +15,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from glycoflow.llm import base, rolling
 
@@ -99,11 +98,8 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def described(docs: DataFrame) -> DataFrame:
     """doc_id, statistics and fold (crc32 of doc_id as text, modulo 3)."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return _folded(rows.mapInArrow(_described, "doc_id long, statistics array<double>"))
-
-
-def _folded(described: DataFrame) -> DataFrame:
-    return described.withColumn("fold", (F.crc32(F.col("doc_id").cast("string")) % FOLDS).cast("int"))
+    out = rows.mapInArrow(_described, "doc_id long, statistics array<double>")
+    return out.withColumn("fold", (F.crc32(F.col("doc_id").cast("string")) % FOLDS).cast("int"))
 
 
 def _matrix(batch: pa.RecordBatch) -> np.ndarray:
@@ -253,31 +249,19 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows that score ``threshold`` or more, each judged by its own text, with all their columns.
 
-    As in ``scored``, rows without doc_id and of a repeated one are documents of their own. Statistics are written beside the
-    rows, once; texts are not shuffled and nothing is joined back.
+    As in ``scored``, rows without doc_id and of a repeated one are documents of their own. Statistics are taken once to learn and
+    once more to judge, rather than kept beside a copy of all texts: texts are neither shuffled nor written, and nothing is joined back.
     """
     base.ready(docs.sparkSession)
-    name = "statistics"
-    while name in docs.columns:
-        name += "_"
-
-    def described_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in rolling.batches(batch, "text", 1 << 18):
-                lists = pa.FixedSizeListArray.from_arrays(pa.array(statistics(part).ravel()), STATISTICS).cast(pa.list_(pa.float64()))
-                yield part.append_column(name, lists)
-
-    schema = StructType([*docs.schema.fields, StructField(name, ArrayType(DoubleType()))])
-    rows = base.kept_table(docs.mapInArrow(described_rows, schema))
-    model = fit(_folded(rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(name).alias("statistics"))), labels)
+    model = fit(described(docs), labels)
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = batch.column(name).flatten().to_numpy().reshape(-1, STATISTICS)
-            scores = model.score(values) if model is not None else np.full(batch.num_rows, 0.5)
-            yield batch.drop_columns([name]).filter(pa.array(scores >= threshold))
+            for part in rolling.batches(batch, "text", 1 << 18):
+                scores = model.score(statistics(part)) if model is not None else np.full(part.num_rows, 0.5)
+                yield part.filter(pa.array(scores >= threshold))
 
-    return rows.mapInArrow(judged, docs.schema)
+    return docs.mapInArrow(judged, docs.schema)
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from glycoflow import values
 from glycoflow.functions.jsmath import half_up
-from glycoflow.operators.ordered import known_around, numbered, with_halo
+from glycoflow.operators.ordered import known_around, numbered, with_blocks, with_halo
 
 
 #: Points in a block, which are at most as many distinct x.
@@ -146,19 +146,41 @@ def resample_uniform(points: DataFrame, n: int, block: int = BLOCK) -> DataFrame
             F.sum("_n").alias("n_points"),
         )
     )
+    # Each knot with the next one makes the targets between them, so only knots are ordered.
     step = (F.col("x_max") - F.col("x_min")) / F.lit(float(n - 1))
-    targets = (
-        ends.filter("n_points >= 2")
-        .withColumn("position", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-        .withColumn("x", F.col("x_min") + F.col("position") * step)
-    )
     knot = F.struct(F.col("x").alias("x"), "y_first", "y_last")
-    merged = targets.withColumn("_knot", F.lit(0)).unionByName(
-        knots.select("series_id", "x", knot.alias("k"), F.lit(1).alias("_knot")),
-        allowMissingColumns=True,
+    keys = ["series_id", "_block"]
+    placed = knots.select(
+        "series_id", "x", knot.alias("left"), F.floor(F.col("x") / F.lit(float(block))).alias("_block")
+    )
+    blocks = placed.groupBy(*keys).agg(F.min_by("left", "x").alias("_knot"))
+    following = blocks.select(
+        *keys, F.lead("_knot").over(Window.partitionBy("series_id").orderBy("_block")).alias("_knot")
+    )
+    next_knot = F.lead("left").over(Window.partitionBy(*keys).orderBy("x"))
+    pairs = with_blocks(placed.withColumn("_next", next_knot), following, keys).select(
+        "series_id", "left", F.coalesce("_next", "_knot").alias("right")
+    )
+    pairs = with_blocks(pairs, ends.filter("n_points >= 2"), ["series_id"])
+
+    def place(x: Column) -> Column:
+        """Position of x among the targets, one off at most."""
+        return F.coalesce(F.try_divide(x - F.col("x_min"), step), F.lit(0.0))
+
+    # Positions a little beyond both knots; which target lies between them is asked of its x below.
+    low = F.greatest(F.lit(0.0), F.floor(place(F.col("left.x"))) - 1)
+    high = F.when(F.col("right").isNull(), F.lit(n - 1.0)).otherwise(
+        F.least(F.lit(n - 1.0), F.ceil(place(F.col("right.x"))) + 1)
+    )
+    x, first_x = F.col("x"), F.col("left.x") == F.col("x_min")
+    between = (x > F.col("left.x")) & (F.col("right").isNull() | (x <= F.col("right.x")))
+    targets = pairs.select(
+        "*", F.explode(F.sequence(low.cast("int"), F.greatest(low, high).cast("int"))).alias("position")
+    ).withColumn("x", F.col("x_min") + F.col("position") * step)
+    at_start = F.col("x_min").isNull() | (first_x & (x <= F.col("x_min")))
+    placed = targets.filter(between | at_start).withColumn(
+        "left", F.when(x > F.col("x_min"), F.col("left"))
     )
-    merged = merged.withColumn("_block", F.floor(F.col("x") / F.lit(float(block))))
-    placed = known_around(merged, ["series_id"], "_block", ["x", "_knot"], ("k", "left"), ("k", "right")).filter("_knot = 0")
     ratio = (F.col("x") - F.col("left.x")) / (F.col("right.x") - F.col("left.x"))
     whole = (F.col("x") - F.col("x_min")) / (F.col("x_max") - F.col("x_min"))
     y = (
@@ -293,9 +315,9 @@ def bracket(
 ) -> DataFrame:
     """Each axis instant with the nearest sample at or before and at or after it.
 
-    Samples are first reduced to the newest and the oldest per grid cell, so the windows
-    that carry them along, over blocks of the axis, see its instants only. An axis that ends
-    before it starts has none. Also returns `n_points` of the series.
+    Samples are first reduced to the newest and the oldest per grid cell. Windows over blocks of the
+    axis carry them from cell to cell; the instants between two cells are made last and neither
+    shuffled nor ordered. An axis that ends before it starts has none. Also returns `n_points` of the series.
     """
     step = interval_minutes * 60_000
     ms, start = F.col("ms"), F.col("start_ms")
@@ -333,14 +355,20 @@ def bracket(
             )
         ).alias("c"),
     ).select("series_id", "c.idx", "c.is_before", "p")
-    # Axis instants are opened block by block, so that no series is one array.
-    first = F.col("_block") * F.lit(block)
-    grid = bounds.filter("final >= 0").select(
-        "series_id", "final", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"final div {block}"))).alias("_block")
-    ).select("series_id", F.explode(F.sequence(first, F.least(first + (block - 1), F.col("final")))).alias("idx"))
+    # A block has a row at its first and its last instant, and one per cell with a sample.
+    size = F.lit(block)
+    first = F.col("_block") * size
+    final = F.least(first + (block - 1), F.col("final"))
+    blocks = F.sequence(F.lit(0).cast("bigint"), F.expr(f"final div {block}"))
+    edges = (
+        bounds.filter("final >= 0")
+        .join(samples.select("series_id").distinct(), "series_id", "left_semi")
+        .select("series_id", "final", F.explode(blocks).alias("_block"))
+        .select("series_id", F.explode(F.array(first, final)).alias("idx"))
+    )
     known = (
         cells.filter(F.col("idx").isNotNull())
-        .unionByName(grid, allowMissingColumns=True)
+        .unionByName(edges, allowMissingColumns=True)
         .groupBy("series_id", "idx")
         .agg(
             F.max_by("p", F.when(F.col("is_before"), F.col("p.ms"))).alias("_b"),
@@ -348,15 +376,20 @@ def bracket(
         )
     )
     counts = samples.groupBy("series_id").agg(F.sum("_n").alias("n_points"))
-    return (
+    order = Window.partitionBy("series_id", "_block").orderBy("idx")
+    runs = (
         known_around(
             known.withColumn("_block", F.expr(f"idx div {block}")),
             ["series_id"], "_block", ["idx"], ("_b", "before"), ("_a", "after"),
         )
+        .withColumn("_next", F.coalesce(F.lead("idx").over(order), F.col("idx") + 1))
+        .withColumn("_later", F.lead("after").over(order))
         .join(bounds.join(counts, "series_id"), "series_id")
-        .select(
-            "series_id", "n_points", (start + F.col("idx") * step).alias("at_ms"), "before", "after"
-        )
+    )
+    at = F.col("_at")
+    return runs.withColumn("_at", F.explode(F.sequence(F.col("idx"), F.col("_next") - 1))).select(
+        "series_id", "n_points", (start + at * step).alias("at_ms"), "before",
+        F.when(at == F.col("idx"), F.col("after")).otherwise(F.col("_later")).alias("after"),
     )
 
 

@@ -140,7 +140,7 @@ def sessions(
 # -- long series in blocks ---------------------------------------------------------------
 
 
-def _with_blocks(rows: DataFrame, summary: DataFrame, keys: list[str]) -> DataFrame:
+def with_blocks(rows: DataFrame, summary: DataFrame, keys: list[str]) -> DataFrame:
     """Rows with the columns of their block's summary; NULL keys are keys like others."""
     renamed = summary.withColumnsRenamed({k: f"_of_{k}" for k in keys})
     same = [rows[k].eqNullSafe(renamed[f"_of_{k}"]) for k in keys]
@@ -175,7 +175,7 @@ def numbered(
     )
     total = {"_at": F.col("_at") + F.col("_n0")}
     total |= {f"_sum_{c}": F.col(f"_sum_{c}") + F.col(f"_sum0_{c}") for c in sums}
-    return _with_blocks(local, before, keys).withColumns(total).drop("_cell", "_n0", *[f"_sum0_{c}" for c in sums])
+    return with_blocks(local, before, keys).withColumns(total).drop("_cell", "_n0", *[f"_sum0_{c}" for c in sums])
 
 
 def with_halo(rows: DataFrame, by: list[str], reach: int, block: int = 4096) -> tuple[DataFrame, WindowSpec]:
@@ -226,7 +226,7 @@ def known_around(
         F.last(after[0], ignorenulls=True).over(falling).alias("_near_after"),
     )
     return (
-        _with_blocks(found, carried, keys)
+        with_blocks(found, carried, keys)
         .withColumn(before[1], F.coalesce("_near_before", "_from_before"))
         .withColumn(after[1], F.coalesce("_near_after", "_from_after"))
         .drop("_near_before", "_near_after", "_from_before", "_from_after")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from glycoflow.functions import circadian, glucose
 from glycoflow.operators import log as log_ops
 from glycoflow.operators.grid import Grid
-from glycoflow.plans.state import all_contributions
+from glycoflow.plans import state
 
 LONGEST_EFFECT_HOURS = 24
 
@@ -103,15 +103,21 @@ def decay_totals(
     seen = events if events.isStreaming else events.dropDuplicates(["id"])
     behind = f"{LONGEST_EFFECT_HOURS * 60 + delay_minutes} minutes"
     at = F.timestamp_millis(grid.at_ms(F.col("idx")))
+    sums = {
+        "iob": F.coalesce(F.sum("iob"), F.lit(0.0)),
+        "cob": F.coalesce(F.sum("cob"), F.lit(0.0)),
+        "alcohol_in_system": F.coalesce(F.sum("alcohol_in_system"), F.lit(0.0)),
+        "sensitivity_modifier": F.coalesce(F.product("sensitivity_modifier"), F.lit(1.0)),
+    }
+    if not events.isStreaming:
+        tasks = state.tasks_for(events.select("subject_id").distinct(), grid)
+        return state.summed_effects(seen, grid, tasks, sums, params).select(
+            "subject_id", at.alias("at_ts"), *sums
+        )
     return (
-        all_contributions(seen, grid, params)
+        state.all_contributions(seen, grid, params)
         .withColumn("at_ts", at)
         .withWatermark("at_ts", behind)
         .groupBy("subject_id", "at_ts")
-        .agg(
-            F.coalesce(F.sum("iob"), F.lit(0.0)).alias("iob"),
-            F.coalesce(F.sum("cob"), F.lit(0.0)).alias("cob"),
-            F.coalesce(F.sum("alcohol_in_system"), F.lit(0.0)).alias("alcohol_in_system"),
-            F.coalesce(F.product("sensitivity_modifier"), F.lit(1.0)).alias("sensitivity_modifier"),
-        )
+        .agg(*[total.alias(name) for name, total in sums.items()])
     )

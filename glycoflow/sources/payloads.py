@@ -43,7 +43,8 @@ def libre_readings(
         tail = F.slice("_points", F.greatest(n - max_count + 1, F.lit(1)), F.lit(max_count))
         kept = kept.withColumn("_points", tail)
     others = [c for c in docs.columns if c != body]
-    return kept.select(*others, F.explode("_points").alias("p")).select(
+    # explode_outer and a filter on its result: a condition on `_points` would parse the document once more.
+    return kept.select(*others, F.explode_outer("_points").alias("p")).filter(F.col("p").isNotNull()).select(
         *others, "p.ts", "p.value", F.lit("mmol/L").alias("unit"), F.lit("cgm").alias("source")
     )
 
@@ -52,8 +53,9 @@ def libre_current(docs: DataFrame, body: str) -> DataFrame:
     """The current measurement of each Libre payload that has one."""
     m = F.from_json(F.col(body), schemas.LIBRE_PAYLOAD)["data"]["glucoseMeasurement"]
     others = [c for c in docs.columns if c != body]
+    # Opened as an array, so that the filter is not pushed below and parses the document once more.
     return (
-        docs.withColumn("_m", m)
+        docs.withColumn("_m", F.explode_outer(F.array(m)))
         .filter(F.col("_m").isNotNull())
         .select(
             *others,

@@ -144,6 +144,7 @@ def resample_uniform(points: DataFrame, n: int, block: int = BLOCK) -> DataFrame
             F.min_by("y_first", "x").alias("y_start"),
             F.max_by("y_last", "x").alias("y_end"),
             F.sum("_n").alias("n_points"),
+            F.bool_or(F.col("x").isNull()).alias("_unplaced"),
         )
     )
     # Each knot with the next one makes the targets between them, so only knots are ordered.
@@ -183,8 +184,9 @@ def resample_uniform(points: DataFrame, n: int, block: int = BLOCK) -> DataFrame
     )
     ratio = (F.col("x") - F.col("left.x")) / (F.col("right.x") - F.col("left.x"))
     whole = (F.col("x") - F.col("x_min")) / (F.col("x_max") - F.col("x_min"))
+    # Points without x come before all others, so what the first target starts from is not known.
     y = (
-        F.when(F.col("left").isNull(), F.col("y_start"))
+        F.when(F.col("left").isNull(), F.when(~F.col("_unplaced") | F.col("right").isNull(), F.col("y_start")))
         .when(F.col("right").isNull(), F.col("y_start") + whole * (F.col("y_end") - F.col("y_start")))
         .otherwise(
             F.col("left.y_last") + ratio * (F.col("right.y_first") - F.col("left.y_last"))

@@ -80,6 +80,12 @@ def test_uniform_targets_equal_a_search_and_are_not_shuffled(spark, block):
             assert y == pytest.approx(want, abs=1e-9)
 
 
+def test_points_without_x_leave_the_first_target_unknown(spark):
+    rows = [(1, 0, None, 7.0), (1, 1, 2.0, 4.0), (1, 2, 6.0, 8.0)]
+    out = curves.resample_uniform(spark.createDataFrame(rows, "series_id long, pos long, x double, y double"), 5)
+    assert [(r.x, r.y) for r in out.orderBy("position").collect()] == [(2.0, None), (3.0, 5.0), (4.0, 6.0), (5.0, 7.0), (6.0, 8.0)]
+
+
 def test_decay_totals_of_a_batch_shuffle_no_instant(make_log):
     log = make_log([event("d1", at(1400), "insulin", 4.0), event("m1", at(1430), "meal", 30.0)])
     out = windows.decay_totals(log, Grid(BASE, BASE + timedelta(days=2)))

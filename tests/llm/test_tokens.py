@@ -29,6 +29,47 @@ def test_words_give_the_ids_of_the_whole_text():
         assert np.frombuffer(ids, "<u4").tolist() == plain(text)
 
 
+def test_white_space_beyond_ascii_gives_the_ids_of_the_whole_text():
+    rng = random.Random(5)
+    odd = [chr(x) for x in (0x09, 0x0A, 0x0D, 0x1C, 0x1F, 0x20, 0x85, 0xA0, 0x1680, 0x180E, 0x2003, 0x200A, 0x200B, 0x2028, 0x202F, 0x205F, 0x3000)]
+    some = odd + [" ", "  ", " a", "B", "7", "é", "à", "É ", "中", "'s", "!!", "(x)", ".", ", ", "½", "é́", "<|", "|>"]
+    texts = ["".join(rng.choices(some, k=rng.randint(1, 60))) for _ in range(2000)]
+    for text, ids in zip(texts, tokens.encoder().encode(pa.array(texts, pa.string())), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == plain(text)
+
+
+def test_texts_with_double_blanks_encode_each_piece_once(monkeypatch):
+    import public_tokenizers
+
+    rng = random.Random(6)
+    words = ["".join(rng.choices("abcdefg", k=6)) for _ in range(50)]
+    texts = ["  ".join(w + rng.choice(["", "!", "??", ")"]) for w in rng.choices(words, k=40)) for _ in range(200)]
+    encoder = tokens.Encoder(public_tokenizers.path(tokens.TOKENIZER), tokens.END)
+    sent = []
+    inner = encoder._ids
+    monkeypatch.setattr(encoder, "_ids", lambda some: sent.append(sum(map(len, some))) or inner(some))
+    for _ in range(2):
+        out = encoder.encode(pa.array(texts))
+        assert [np.frombuffer(x, "<u4").tolist() for x in out] == [plain(x) for x in texts]
+    assert sum(sent) < 0.1 * sum(map(len, texts))
+
+
+def test_known_pieces_of_one_slot_stay_apart():
+    known = tokens.Known()
+    n = 40_000
+    for batch in range(6):
+        number = np.arange(batch * n, (batch + 1) * n, dtype=np.uint64)
+        # By twos equal in the first hash.
+        high, low = number // np.uint64(2) << np.uint64(1), number
+        assert (known.find(high, low) == -1).all()
+        assert known.add(high, low, np.repeat(number, 2).astype("<u4"), np.full(n, 2)).tolist() == number.tolist()
+    number = np.arange(6 * n, dtype=np.uint64)
+    rows = known.find(number // np.uint64(2) << np.uint64(1), number)
+    assert rows.tolist() == number.tolist()
+    begins, counts = known.places[:, rows]
+    assert (known.ids[begins] == number).all() and (counts == 2).all()
+
+
 def test_frames_round_trip_and_random_access():
     class Source(io.BytesIO):
         def size(self):

@@ -2,7 +2,7 @@
 
 A document's sketch has one coordinate per bucket of a term hash, with the largest impact of the document's terms in
 that bucket. A query looks its terms' buckets up in all sketches of a batch at once (one matrix product); the sums are
-upper bounds of the scores. Documents are then scored exactly in descending order of their bounds, until the bound
+upper bounds of the scores. Each document has two sketches, by other bits of the hash, and the lower bound of both counts. Documents are then scored exactly in descending order of their bounds, until the bound
 falls below the lowest of the best scores so far. Each task keeps its best documents per item, which are merged.
 
 Documents are read twice, for the statistics and for the search, and never shuffled.
@@ -23,6 +23,8 @@ from glycoflow.llm import base, rolling
 TOP = 50
 #: Coordinates of a sketch, and sketches of one matrix product.
 WIDTH, ROWS = 1024, 2048
+#: Lowest bit of the hash that the buckets of each sketch go by.
+SHIFTS = (0, 32)
 #: Documents that are scored between two looks at the threshold.
 STEP = 64
 #: Bytes of query text that are searched in one pass over the documents; a longer item alone is one block.
@@ -116,11 +118,15 @@ def impacts(tf: np.ndarray, n: np.ndarray, stats: Statistics) -> np.ndarray:
     return 1_000_000_000 * tf // (1000 * tf + 20 * m)
 
 
-def lookups(queries: Queries, weights: np.ndarray, width: int) -> np.ndarray:
+def buckets(hashes: np.ndarray, width: int, shift: int) -> np.ndarray:
+    return ((hashes >> np.uint64(shift)) % np.uint64(width)).astype(np.int64)
+
+
+def lookups(queries: Queries, weights: np.ndarray, width: int, shift: int) -> np.ndarray:
     """The matrix that turns sketches into bounds: weights by coordinate and item."""
     out = np.zeros((width, len(queries.items)))
     for item, places in enumerate(queries.places):
-        np.add.at(out[:, item], (queries.terms[places] % np.uint64(width)).astype(np.int64), weights[places])
+        np.add.at(out[:, item], buckets(queries.terms[places], width, shift), weights[places])
     return out
 
 
@@ -160,7 +166,7 @@ def _rescored(bounds: np.ndarray, places: np.ndarray, best: Best, keys: np.ndarr
 
 
 def _searched(batches: Iterator[pa.RecordBatch], queries: Queries, stats: Statistics, top: int, width: int) -> Iterator[pa.RecordBatch]:
-    matrix = lookups(queries, stats.weights, width)
+    matrices = [lookups(queries, stats.weights, width, shift) for shift in SHIFTS]
     best = [Best(top) for _ in queries.items]
     size = len(queries.terms)
     for batch in batches:
@@ -177,9 +183,11 @@ def _searched(batches: Iterator[pa.RecordBatch], queries: Queries, stats: Statis
                 tf = np.diff(np.concatenate((new, [len(order)])))
                 number, hashes = number[new], hashes[order[new]]
                 impact = impacts(tf, n[number], stats)
-                sketch = np.zeros(len(n) * width)
-                np.maximum.at(sketch, number * width + (hashes % np.uint64(width)).astype(np.int64), impact)
-                bounds = sketch.reshape(len(n), width) @ matrix
+                bounds = np.full((len(n), len(queries.items)), np.inf)
+                for shift, matrix in zip(SHIFTS, matrices, strict=True):
+                    sketch = np.zeros(len(n) * width)
+                    np.maximum.at(sketch, number * width + buckets(hashes, width, shift), impact)
+                    np.minimum(bounds, sketch.reshape(len(n), width) @ matrix, out=bounds)
                 hit, at = _places(queries.terms, hashes)
                 if not len(hit):
                     continue

@@ -30,6 +30,16 @@ def event(id, ts, event_type, value, subject=1, **meta):
     return (id, subject, ts, event_type, value, known, ts, ts, False)
 
 
+@pytest.fixture(autouse=True)
+def shuffle_partitions_kept(request):
+    """A test that changes the number of shuffle partitions does not change it for those after it."""
+    session = request.getfixturevalue("spark") if "spark" in request.fixturenames else None
+    before = session and session.conf.get("spark.sql.shuffle.partitions")
+    yield
+    if session:
+        session.conf.set("spark.sql.shuffle.partitions", before)
+
+
 @pytest.fixture(scope="session")
 def make_log(spark):
     return lambda rows: spark.createDataFrame(rows, EVENTS)

@@ -97,6 +97,18 @@ def test_bytes_as_by_brute_force(spark, docs_of, word_texts, rows_by_id, seed, h
     assert all(sum(s.length for s in r.spans) == r.n_removed for r in got.values())
 
 
+def test_many_runs_of_one_anchor_in_a_row(spark, docs_of, rows_by_id):
+    """A block comes back with another byte behind it each time; no run is found as a whole, only its halves are."""
+    base.ready(spark)
+    data = np.random.default_rng(1).integers(97, 123, 1 << 20).astype(np.uint8)
+    at = int(rolling.windows(data.astype(np.uint64) + np.uint64(1), 200, rolling.BASES[0]).argmin())
+    block = data[at : at + 200].tobytes().decode()
+    whole = "".join(block + chr(0x30 + k) for k in range(40))
+    pairs = [(0, whole)] + [(1000 * (k + 1) + j, whole[201 * k + j : 201 * k + j + 500]) for k in range(38) for j in (1, 101)]
+    got = rows_by_id(suffix_dedup.without_repeats(docs_of(pairs)))
+    assert {d: (r.n_bytes, r.n_removed, bytes(r.kept)) for d, r in got.items()} == brute_bytes(pairs, 400)
+
+
 def test_characters_stay_whole(spark, docs_of, rows_by_id):
     base.ready(spark)
     rng = random.Random(5)

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from glycoflow.llm import base, rolling
 from glycoflow.llm.links import components
+from glycoflow.llm.workers import frugal
 
 SHINGLE, PERCENT = 5, 75
 REGISTERS, ROWS = 160, 4
@@ -91,6 +92,7 @@ def registers(items: np.ndarray, level: int) -> np.ndarray:
     return np.where(least < 1 << 32, out, EMPTY).astype(np.uint16)
 
 
+@frugal
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in rolling.batches(batch, "text", 1 << 18):
@@ -105,6 +107,7 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+@frugal
 def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in rolling.batches(batch, "text", 1 << 18):

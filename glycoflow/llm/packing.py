@@ -17,8 +17,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glycoflow.llm import base, rolling, tokens
+from glycoflow.llm.workers import encoding, frugal
 
 SIZE = 1024
+#: Bytes of text that are encoded at once; the executor has to hold their arrays for every core.
+TEXT_BYTES = 1 << 19
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long, ids binary"
 
 
@@ -81,6 +84,7 @@ def places(plan: list[tuple[list[int], int]], size: int) -> dict[str, np.ndarray
     return {"key": table[:, 0], "sequence": table[:, 1], "offset": table[:, 2]}
 
 
+@encoding
 def _pieces(batches: Iterator[pa.RecordBatch], size: int, name: str, end: int, keep_ids: bool) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
@@ -89,7 +93,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], size: int, name: str, end: int, k
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "nth", "ids"]
     for batch in batches:
-        for part in rolling.batches(batch, "text", tokens.TEXT_BYTES):
+        for part in rolling.batches(batch, "text", TEXT_BYTES):
             rows = []
             for doc, ids in zip(part.column("doc_id").to_pylist(), tokens.encoded(part, name, end), strict=True):
                 total = len(ids) // 4
@@ -127,6 +131,7 @@ def packed(docs: DataFrame, size: int = SIZE, name: str = tokens.TOKENIZER, end:
     ranks = by_task.select("length", "task", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     ranked = pieces.join(ranks, ["length", "task"]).withColumn("nth", F.col("nth") + F.col("before"))
 
+    @frugal
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             length, rank = batch.column("length").to_numpy(), batch.column("nth").to_numpy()

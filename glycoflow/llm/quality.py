@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glycoflow.llm import base, rolling
+from glycoflow.llm.workers import frugal
 
 FEATURES, RIDGE, SEED = 384, 1.0, 7
 #: Width of the kernel in standard deviations of all statistics together.
@@ -87,6 +88,7 @@ def statistics(part: pa.RecordBatch) -> np.ndarray:
     return out
 
 
+@frugal
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in rolling.batches(batch, "text", 1 << 18):
@@ -135,6 +137,7 @@ def _equations(rows: DataFrame, center: np.ndarray, scale: np.ndarray) -> dict[i
     """Left and right side of the normal equations of each fold, summed over all tasks."""
     width = FEATURES + 1
 
+    @frugal
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
@@ -211,6 +214,7 @@ def fit(features: DataFrame, labels: DataFrame) -> Model | None:
     # The other fold's model; with one fold alone, its own.
     other = {fold: next((w for f, w in weights.items() if f != fold), weights[fold]) for fold in weights}
 
+    @frugal
     def gridded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             z = fourier(_matrix(batch), center, scale)
@@ -237,6 +241,7 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     features = base.kept_table(described(docs))
     model = fit(features, labels)
 
+    @frugal
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores = model.score(_matrix(batch)) if model is not None else np.full(batch.num_rows, 0.5)
@@ -255,6 +260,7 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Data
     base.ready(docs.sparkSession)
     model = fit(described(docs), labels)
 
+    @frugal
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in rolling.batches(batch, "text", 1 << 18):

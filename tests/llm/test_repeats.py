@@ -1,12 +1,15 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from glycoflow.llm import base, rolling, runs, substring, suffix_dedup, suffixes
+from glycoflow.llm import base, packing, rolling, runs, substring, suffix_dedup, suffixes, tokens
 from glycoflow.llm.substring import spread
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -240,3 +243,31 @@ def test_query_has_the_contract(spark):
     row = out.where("n_removed = 0").first()
     assert re.fullmatch("[0-9a-f]{64}", row.kept_sha256)
     assert hashlib.sha256(b"").hexdigest() != row.kept_sha256
+
+
+def test_workers_keep_nothing_of_other_stages(monkeypatch):
+    monkeypatch.setattr("pyspark.TaskContext.get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["a few words " * 30, None])], names=["doc_id", "text"])
+    pieces = list(packing._pieces(iter([batch]), 16, tokens.TOKENIZER, tokens.END, False))
+    assert sum(x.num_rows for x in pieces) > 2
+    assert tokens.encoder.cache_info().currsize and not rolling._powers
+    assert list(runs._counted(iter([batch]), "word", 4, 9))
+    assert not tokens.encoder.cache_info().currsize and not rolling._powers
+
+
+def test_suffix_arrays_take_few_bytes_a_place():
+    rng = random.Random(3)
+    passage = rng.randbytes(2000).hex()
+    texts = [(rng.randbytes(1500).hex() + passage[: rng.randrange(4000)]).encode() for _ in range(100)]
+    data, starts = suffixes.joined(texts)
+    counts = np.array([len(t) - 399 for t in texts])
+    tracemalloc.start()
+    try:
+        order = suffixes.suffix_array(data, 400)
+        first = tracemalloc.get_traced_memory()[1]
+        tracemalloc.reset_peak()
+        suffixes.common_prefixes(data, order, starts, counts, 400)
+        second = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert first < 46 * len(data) and second < 26 * len(data)
